@@ -31,12 +31,19 @@ def minima(hashes: Column, length: int) -> Column:
     k = (length + 1) // 2
     width = length - k + 1
 
+    def wider(x: Column, step: int) -> Column:
+        later = F.slice(x, F.lit(step + 1), F.greatest(F.size(x) - step, F.lit(0)))
+        return F.zip_with(x, later, lambda a, b: F.least(a, b))
+
+    def widen(column: Column, step: int) -> Column:
+        return let(column, lambda x: wider(x, step))
+
     def runs(g: Column) -> Column:
         # Minima over 1, 2, 4 ... grams, each from two of the size before.
         out, done = g, 1
         while done < width:
             step = min(done, width - done)
-            out = let(out, lambda x, step=step: F.zip_with(x, F.slice(x, F.lit(step + 1), F.greatest(F.size(x) - step, F.lit(0))), lambda a, b: F.least(a, b)))
+            out = widen(out, step)
             done += step
         return F.slice(out, F.lit(1), F.greatest(F.size(g) - (width - 1), F.lit(0)))
 
