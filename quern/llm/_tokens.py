@@ -9,6 +9,7 @@ form of an added token are passed to the library whole.
 
 from __future__ import annotations
 
+import json
 import sys
 from array import array
 
@@ -47,15 +48,34 @@ class _Bounded(dict):
         return packed
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letter for each byte in byte-level vocabularies: printable bytes stand for
+    themselves, the others take the code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_LETTERS = _byte_letters()
+
+
 class _Pieces(_Bounded):
     """Piece of text -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer: Tokenizer, limit: int):
         super().__init__(limit)
-        self.tokenizer = tokenizer
+        self.merge = tokenizer.model.tokenize
 
     def make(self, piece: str) -> bytes:
-        return pack_ids(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        return pack_ids([t.id for t in self.merge(piece.encode().decode("latin-1").translate(_LETTERS))])
+
+
+def _by_pieces(tokenizer: Tokenizer) -> bool:
+    """Whether ids of a text are those of its pieces under ``PIECES``, joined."""
+    spec = json.loads(tokenizer.to_str())
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    return plain and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
 
 
 class TextEncoder:
@@ -68,13 +88,13 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self.tokenizer, limit)
+        self.pieces = _Pieces(self.tokenizer, limit) if _by_pieces(self.tokenizer) else None
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text as packed little-endian uint32; null counts as empty."""
         if not text:
             return b""
-        if any(token in text for token in self.added):
+        if self.pieces is None or any(token in text for token in self.added):
             return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
 
