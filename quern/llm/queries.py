@@ -23,6 +23,19 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe_path(), capacity=1024, end_id=0)
 
 
+def op2_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op3_histogram_gbdt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_gbdt import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_host_beta_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
 
@@ -30,6 +43,12 @@ def op4_host_beta_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_interleaved_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), byte_bpe_path(), end_id=0)
+
+
 def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import judge
 
@@ -40,6 +59,18 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import KINDS, scan, spans_text
+
+    found = scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.sha2(spans_text(F.col("spans"), KINDS[:3]), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, KINDS[:3]), base, spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -47,6 +78,12 @@ def op8_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import label_documents
+
+    return label_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
