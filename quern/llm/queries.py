@@ -78,6 +78,12 @@ def op8_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_stupid_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
 def op10_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import label_documents
 
