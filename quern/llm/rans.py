@@ -42,8 +42,9 @@ _BLOCK = struct.Struct("<IIII")
 
 def frequencies(ids: np.ndarray, bits: int = SCALE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Symbols in use and their frequencies, which sum to ``2**bits`` and are all positive."""
-    symbols, counts = np.unique(ids, return_counts=True)
-    total = 1 << bits
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts, total = counts[symbols], 1 << bits
     if len(symbols) > total:
         raise ValueError("more symbols than the scale has places")
     f = np.maximum(1, counts.astype(np.int64) * total // max(counts.sum(), 1))
@@ -103,7 +104,9 @@ def encode_segment(doc_ids: list, lengths: list[int], packed: bytes, bits: int =
     ids = np.frombuffer(packed, dtype="<u4")
     symbols, f = frequencies(ids, bits)
     wide, cum = f.astype(np.uint64), np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.uint64) if len(f) else np.empty(0, np.uint64)
-    places = np.searchsorted(symbols, ids)
+    place = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, dtype=np.int32)
+    place[symbols] = np.arange(len(symbols))
+    places = place[ids]
     n_blocks = -(-len(ids) // BLOCK_TOKENS)
     nulls = np.array([d is None for d in doc_ids], dtype=np.uint8)
     head = b"".join([
