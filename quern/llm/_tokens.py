@@ -10,6 +10,7 @@ form of an added token are passed to the library whole.
 from __future__ import annotations
 
 import json
+import re
 import sys
 from array import array
 
@@ -18,6 +19,8 @@ from tokenizers import Tokenizer
 
 #: The byte-level pre-tokenizer's pattern (public GPT-2 pattern, a fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same pattern for texts of ASCII alone, which the standard library splits faster.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 ID_BYTES = 4
 
 
@@ -96,7 +99,8 @@ class TextEncoder:
             return b""
         if self.pieces is None or any(token in text for token in self.added):
             return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
+        pattern = ASCII_PIECES if text.isascii() else PIECES
+        return b"".join(map(self.pieces.__getitem__, pattern.findall(text)))
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
