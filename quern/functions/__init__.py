@@ -1 +1 @@
-"""."""
+"""Scalar functions: hashes and ids, texts, URLs, intervals, nested JSON, page objects."""

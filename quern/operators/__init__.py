@@ -1 +1 @@
-"""."""
+"""Relational operators over manifests, scores and pairs of views."""

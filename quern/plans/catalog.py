@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def query(name: str, sql: str | None = None):
+    """Register a query under a name that starts with its operator's number."""
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import metric_queries, relational_queries, row_queries  # noqa: F401  they register themselves
+
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)

@@ -1 +1 @@
-"""."""
+"""Readers of manifests, score files, ledgers, listings and archives, and the sinks."""
