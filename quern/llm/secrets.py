@@ -116,21 +116,20 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are replaced as one. Rows without a finding are passed as they are.
     """
-    found = scan(docs).where(F.size("spans") > 0).select("blob", "spans").distinct()
+    found = scan(docs).where(F.size("spans") > 0).select(F.col("blob").alias("_quern_blob"), F.col("spans").alias("_quern_spans")).distinct()
     found = stage(found, "redactions")
-    blob = F.sha2(F.coalesce("text", F.lit("")), 256)
-    both = docs.withColumn("_blob", blob).join(found.withColumnRenamed("blob", "_b"), F.col("_blob") == F.col("_b"), "left")
+    text, spans = F.col("text"), F.col("_quern_spans")
+    both = docs.join(found, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == found["_quern_blob"], "left")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     def rest(acc):
-        return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
 
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", zero, step, rest))
-    changed = both.withColumn("_text", text)
-    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
-    return changed.select(*[{"text": F.col("_text").alias("text"), "n_chars": n_chars.alias("n_chars")}.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    changed = both.withColumn("_quern_text", F.when(spans.isNull(), text).otherwise(F.aggregate(spans, zero, step, rest)))
+    new = {"text": F.col("_quern_text").alias("text"), "n_chars": F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("_quern_text").cast("long")).alias("n_chars")}
+    return changed.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
