@@ -139,5 +139,5 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_passed(docs: DataFrame) -> DataFrame:
     """``docs`` less the rows that the rules reject."""
     gone = apply_rules(docs).where(~F.col("kept")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
-    gone = stage(gone, "rejected")
+    gone = stage(gone, "rejected").hint("shuffle_hash")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["t"]), "left_anti")

@@ -116,10 +116,12 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are replaced as one. Rows without a finding are passed as they are.
     """
-    found = scan(docs).where(F.size("spans") > 0).select(F.col("blob").alias("_quern_blob"), F.col("spans").alias("_quern_spans")).distinct()
-    found = stage(found, "redactions")
+    found = scan(docs).where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("_quern_id"), F.col("blob").alias("_quern_blob"), F.col("spans").alias("_quern_spans")).dropDuplicates(["_quern_id", "_quern_blob"])
+    found = stage(found, "redactions").hint("shuffle_hash")
     text, spans = F.col("text"), F.col("_quern_spans")
-    both = docs.join(found, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == found["_quern_blob"], "left")
+    # By id and blob: copies of one text do not meet in one task.
+    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_quern_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == found["_quern_blob"]), "left")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):

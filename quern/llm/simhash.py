@@ -237,7 +237,7 @@ def keep_one_each(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> D
     """
     found = near_duplicates(docs, shingle_words, radius)
     gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
-    gone = stage(gone.select("doc_id").distinct(), "near-duplicates")
+    gone = stage(gone.select("doc_id").distinct(), "near-duplicates").hint("shuffle_hash")
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if ids.isEmpty():

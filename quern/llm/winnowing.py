@@ -154,5 +154,5 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, one
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` less the contaminated rows."""
     gone = judge(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
-    gone = stage(gone, "contaminated")
+    gone = stage(gone, "contaminated").hint("shuffle_hash")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["t"]), "left_anti")
