@@ -1,12 +1,12 @@
-"""Connected components: in one task with numpy, and over a DataFrame of links."""
+"""Connected components in one task, with numpy; over links as a table see ``operators.graph``."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._store import stage
+from ..operators.graph import components
+
+__all__ = ["components", "local_components"]
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
@@ -27,31 +27,3 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray |
             if np.array_equal(jumped, labels):
                 break
             labels = jumped
-
-
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """``(node, root)`` for every node of ``links(a, b)``; the root is the smallest node.
-
-    Alternating large-star and small-star steps (Kiveris et al., "Connected components in
-    MapReduce and beyond"). Every step is a partial minimum and an equi-join, which AQE
-    splits where a node has very many links; each round is written to the shared folder,
-    so neither plan nor lineage grows. Links of a node to itself and repeated links change
-    nothing; an empty table gives no rows.
-    """
-    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = stage(e, name)
-    before = None
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        e = stage(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -1,55 +1,24 @@
-"""Shared stage tables, table reads and worker set-up of the training-data operators."""
+"""Table reads and worker set-up of the training-data operators."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import importable, shared_dir, stage
+
+__all__ = ["columns_or_null", "prepare", "shared_dir", "shuffle_partitions", "stage", "table"]
+
 #: Rows in one Arrow batch that goes to Python; bounds a worker's memory with long texts.
 ARROW_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and keep their batches small."""
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in paths.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}" if paths else root
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent, as in local tests, a temporary folder is used.
-    """
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = spark.conf.get("quern.shared.dir", None)
-    if not given:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        given = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("quern.shared.dir", given)
-    return given.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage, so a lost executor costs a re-read and not a second run, and
-    values that depend on partition numbers are frozen.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return importable(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
