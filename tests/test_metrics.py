@@ -131,12 +131,21 @@ def test_clusters_are_drawn_whole_in_joined_strata(spark):
     for r in found:
         strata.setdefault(r["stratum"], set()).add(r["cluster"])
     assert strata["ai|s1"] == {"c0", "c1", "c2"} and strata["real|r"] == {"c3", "c4", "c5"} and strata["real|q"] == {"c6"}
+    pairs = [(r["cluster"], r["cell"]) for r in entries(spark).collect()]
+    assert {k: set(v) for k, v in bootstrap._members(pairs).items()} == strata
     weights = bootstrap.bootstrap_weights(entries(spark), 50).toPandas()
     assert weights.equals(bootstrap.bootstrap_weights(entries(spark), 50).toPandas())
     sums = weights.assign(s=weights.cluster.map({c: s for s, cs in strata.items() for c in cs})).groupby(["replicate", "s"]).w.sum().unstack()
     assert (sums["ai|s1"] == 3).all() and (sums["real|r"] == 3).all() and (sums["real|q"] == 1).all()
 
 
+def test_weights_by_hash_where_clusters_are_many(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "DRIVER_CLUSTERS", 3)
+    many = spark.range(400).select(F.concat(F.lit("c"), "id").alias("cluster"), F.lit("x").alias("cell"))
+    w = bootstrap.bootstrap_weights(many, 50).agg(F.sum("w").alias("s"), F.max("w").alias("m")).first()
+    assert abs(w["s"] / (400 * 50) - 1) < 0.05 and w["m"] <= 12
+
+
 def test_weights_follow_the_generator():
     members = {"a": ["x", "y", "z"], "b": ["u"]}
     drawn = bootstrap.draw_weights(members, 20, 7)
