@@ -24,39 +24,39 @@ def j04(spark, sf):
     return rounded(a.join(b, "track_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("prob") - F.col("q")).alias("mean_difference")))
 
 
-LEDGER = """p as (select o_orderkey::varchar as path, o_custkey as size from orders where o_orderkey % 4 = 0),
-l as (select o_orderkey::varchar as path, case when o_orderkey % 12 = 0 then -1 else o_custkey end as size, sha256(o_orderkey::varchar) as sha256 from orders where o_orderkey % 8 = 0)"""
+LEDGER = """p as (select o_orderkey::varchar as path, o_custkey as size from orders where o_orderstatus = 'F'),
+l as (select o_orderkey::varchar as path, case when o_orderpriority = '1-URGENT' then -1 else o_custkey end as size, sha256(o_orderkey::varchar) as sha256 from orders where o_orderpriority <> '5-LOW')"""
 
 
 @query("j05_p11_runtime_manifest", f"with {LEDGER} select 'mb_' || substr(sha1(p.path), 1, 16) as track_id, p.path, l.sha256 as audio_sha256 from p join l on p.path = l.path and p.size = l.size")
 def j05(spark, sf):
     orders = table(spark, sf, "orders")
     path = F.col("o_orderkey").cast("string").alias("path")
-    plan = orders.where("o_orderkey % 4 = 0").select(path, F.col("o_custkey").alias("size"))
-    ledger = orders.where("o_orderkey % 8 = 0").select(path, F.when(F.col("o_orderkey") % 12 == 0, -1).otherwise(F.col("o_custkey")).alias("size"), hashing.sha256_hex("o_orderkey").alias("sha256"))
+    plan = orders.where("o_orderstatus = 'F'").select(path, F.col("o_custkey").alias("size"))
+    ledger = orders.where("o_orderpriority <> '5-LOW'").select(path, F.when(F.col("o_orderpriority") == "1-URGENT", -1).otherwise(F.col("o_custkey")).alias("size"), hashing.sha256_hex("o_orderkey").alias("sha256"))
     return runs.runtime_manifest(plan, ledger)[0].select("track_id", "path", "audio_sha256")
 
 
-@query("j09_j10_stem_exposure", """with e as (select doc_id, source, n_chars % 500 as stem from documents where doc_id % 2 = 0), t as (select doc_id as other, source as other_source, n_chars % 500 as stem from documents where doc_id % 2 = 1)
+@query("j09_j10_stem_exposure", """with e as (select doc_id, source, n_chars % 500 as stem from documents where lang = 'en'), t as (select doc_id as other, source as other_source, n_chars % 500 as stem from documents where lang <> 'en')
 select doc_id, other from e join t using (stem) where source = other_source""")
 def j09(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", (F.col("n_chars") % 500).alias("stem"))
-    train = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("other"), F.col("source").alias("other_source"), "stem")
-    return docs.where("doc_id % 2 = 0").join(train, "stem").where("source = other_source").select("doc_id", "other")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", (F.col("n_chars") % 500).alias("stem"))
+    train = docs.where("lang <> 'en'").select(F.col("doc_id").alias("other"), F.col("source").alias("other_source"), "stem")
+    return docs.where("lang = 'en'").join(train, "stem").where("source = other_source").select("doc_id", "other")
 
 
-@query("j14_c39_digest_checked_join", """with a as (select doc_id as key, sha256(text) as d from documents where doc_id % 3 <> 1), b as (select doc_id as key, case when doc_id % 6 = 0 then 'x' else sha256(text) end as d from documents where doc_id % 5 <> 0)
+@query("j14_c39_digest_checked_join", """with a as (select doc_id as key, sha256(text) as d from documents where lang <> 'fr'), b as (select doc_id as key, case when source = 'src3' then 'x' else sha256(text) end as d from documents where lang <> 'de')
 select coalesce(a.key, b.key) as key, case when b.key is null then 'missing' when a.key is null then 'unlisted' else 'changed' end as rule from a full join b on a.key = b.key where a.d is distinct from b.d""")
 def j14(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), hashing.sha256_hex("text").alias("d"))
-    actual = docs.where("key % 5 <> 0").withColumn("d", F.when(F.col("key") % 6 == 0, "x").otherwise(F.col("d")))
-    return constraints.unequal_digests(docs.where("key % 3 <> 1"), actual, "key", "d")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "lang", "source", hashing.sha256_hex("text").alias("d"))
+    actual = docs.where("lang <> 'de'").withColumn("d", F.when(F.col("source") == "src3", "x").otherwise(F.col("d")))
+    return constraints.unequal_digests(docs.where("lang <> 'fr'"), actual, "key", "d")
 
 
-@query("j15_s19_preferred_match", """with l as (select l_orderkey, l_partkey, case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end as p from lineitem where l_orderkey % 10 = 0)
+@query("j15_s19_preferred_match", """with l as (select l_orderkey, l_partkey, case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end as p from lineitem)
 select l_orderkey, l_partkey from l qualify row_number() over (partition by l_orderkey order by p, l_partkey) = 1""")
 def j15(spark, sf):
-    items = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_partkey", "l_returnflag")
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     links = items.withColumnRenamed("l_returnflag", "name").dropDuplicates(["l_orderkey", "l_partkey", "name"])
     rows = items.select("l_orderkey", "l_partkey").distinct()
     return joins.preferred_match(rows, links, "l_partkey", "l_orderkey", ["R", "A", "N"]).select("l_orderkey", "l_partkey")
@@ -143,11 +143,11 @@ def f07(spark, sf):
     return table(spark, sf, "documents").where((F.col("lang") == "en") & (F.col("source").startswith("src1") | (F.col("source") == "src5"))).select("doc_id")
 
 
-@query("f16_audio_names", "select o_orderkey, o_orderkey % 3 <> 0 as audio from orders where o_orderkey % 10 = 0")
+@query("f16_audio_names", "select o_orderkey, o_orderkey % 3 <> 0 as audio from orders")
 def f16(spark, sf):
     k = F.col("o_orderkey") % 3
     name = F.when(k == 0, "x.txt").when(k == 1, "X.WAV").otherwise("y.mp3")
-    return table(spark, sf, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", texts.is_audio(name).alias("audio"))
+    return table(spark, sf, "orders").select("o_orderkey", texts.is_audio(name).alias("audio"))
 
 
 @query("f19_disguised_pages", r"select page_id, regexp_matches(lower(left(ltrim(html), 15)), '^(<!doctype html|<html)') as is_page from pages")
@@ -275,12 +275,12 @@ def w14(spark, sf):
     return selection.top_per_group(cohort(spark, sf), ["lang", "label"], [hashing.rank_key("track_id"), F.col("track_id")], 1).select("track_id")
 
 
-@query("w18_preference_sort", "select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_returnflag <> 'R', l_linenumber) as place from lineitem where l_orderkey % 10 = 0")
+@query("w18_preference_sort", "select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_returnflag <> 'R', l_linenumber)::int as place from lineitem")
 def w18(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy(F.col("l_returnflag") != "R", "l_linenumber")
-    return table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("place"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("place"))
 
 
 @query("s03_s51_short_ids", "select doc_id, 'ab2-' || substr(sha256(doc_id::varchar), 1, 20) as public_id, 'ab2l-' || substr(sha256(source), 1, 20) as lineage, source || ':' || doc_id as entry_key from documents")
@@ -299,11 +299,11 @@ def s39(spark, sf):
     return cohort(spark, sf).select("track_id", F.when(F.col("toxic") == 1, "seen").otherwise("unseen").alias("part"), F.concat(F.lit("set_"), "lang").alias("name"))
 
 
-@query("s42_sequence_tokens", """with f as (select vec_id, list_transform(embedding, lambda x: floor(abs(x)::double * 1000000)::bigint % 4294967296) as v from embeddings where vec_id < 50)
+@query("s42_sequence_tokens", """with f as (select vec_id, list_transform(embedding, lambda x: floor(abs(x)::double * 1000000)::bigint % 4294967296) as v from embeddings)
 select vec_id as key, (i - 1)::int as at, ((v[i] & 65535) * 65536 + (v[i + 3] & 65535))::bigint as token from f, unnest(generate_series(1, len(v) - 3)) u(i)
 union all select vec_id, (i - 1)::int, (4294967296 + ((v[i] >> 16) & 65535) * 65536 + ((v[i + 3] >> 16) & 65535))::bigint from f, unnest(generate_series(1, len(v) - 3)) u(i)""")
 def s42(spark, sf):
-    rows = table(spark, sf, "embeddings").where("vec_id < 50").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000000.0).cast("long") % 4294967296).alias("v"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000000.0).cast("long") % 4294967296).alias("v"))
     return similarity.sequence_tokens(rows, "vec_id", "v")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, texts
 from ..operators import catalogue, constraints, graph, joins, projections, selection, similarity, summaries
-from .base import cohort, cohort_sql, rounded, table, unit
+from ..storage import stage
+from .base import cohort, cohort_sql, rounded, table
 from .catalog import query
 
 C = cohort_sql()
@@ -46,11 +47,11 @@ def f08(spark, sf):
     return cohort(spark, sf).select("track_id", selection.first_reason(rules, "selected").alias("reason"))
 
 
-@query("f09_disjoint_families", """with e as (select l_orderkey as f from lineitem where l_linenumber = 1 and l_suppkey % 3 = 0)
+@query("f09_disjoint_families", """with e as (select l_orderkey as f from lineitem where l_returnflag = 'R')
 select count(*) as n, sum(l_linenumber)::bigint as s from lineitem where l_orderkey not in (select f from e)""")
 def f09(spark, sf):
     items = table(spark, sf, "lineitem")
-    held = items.where("l_linenumber = 1 and l_suppkey % 3 = 0").select("l_orderkey")
+    held = items.where("l_returnflag = 'R'").select("l_orderkey")
     return items.join(held, "l_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").cast("long").alias("s"))
 
 
@@ -95,10 +96,10 @@ def j03(spark, sf):
     return joins.common_keys(both[0].unionByName(both[1]), "track_id", "model", 2)
 
 
-@query("j06_p20_three_way", f"""with {C}, l as (select doc_id as track_id, n_chars / 1000.0 as v from documents where doc_id % 3 = 0)
+@query("j06_p20_three_way", f"""with {C}, l as (select doc_id as track_id, n_chars / 1000.0 as v from documents where lang <> 'en')
 select track_id, case when c.source is null then 'line_only' when l.v is null then 'row_only' else 'both' end as matched from cohort c full join l using (track_id)""")
 def j06(spark, sf):
-    lines = _docs(spark, sf).where("doc_id % 3 = 0").select(F.col("doc_id").alias("track_id"), (F.col("n_chars") / 1000.0).alias("v"))
+    lines = _docs(spark, sf).where("lang <> 'en'").select(F.col("doc_id").alias("track_id"), (F.col("n_chars") / 1000.0).alias("v"))
     return joins.three_way(cohort(spark, sf).select("track_id", "source"), lines, "track_id").select("track_id", "matched")
 
 
@@ -110,31 +111,31 @@ def j07(spark, sf):
     return joins.content_match(files, manifest, "h", "doc_id", "doc_id").drop("h")
 
 
-@query("j08_compare_tables", """with a as (select doc_id, source, lang from documents where doc_id % 5 <> 0), b as (select doc_id, case when doc_id % 7 = 0 then 'x' else source end as source, lang from documents where doc_id % 4 <> 0)
+@query("j08_compare_tables", """with a as (select doc_id, source, lang from documents where lang <> 'fr'), b as (select doc_id, case when source = 'src7' then 'x' else source end as source, lang from documents where lang <> 'de')
 select coalesce(a.doc_id, b.doc_id) as key, case when b.doc_id is null then 'left_only' when a.doc_id is null then 'right_only' when a.source <> b.source then 'conflict' else 'equal' end as side,
   case when a.source <> b.source then 'source' else '' end as fields from a full join b on a.doc_id = b.doc_id""")
 def j08(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "source", "lang")
-    right = docs.where("doc_id % 4 <> 0").withColumn("source", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("source")))
-    return joins.compare_tables(docs.where("doc_id % 5 <> 0"), right, "doc_id", ["source", "lang"])
+    right = docs.where("lang <> 'de'").withColumn("source", F.when(F.col("source") == "src7", "x").otherwise(F.col("source")))
+    return joins.compare_tables(docs.where("lang <> 'fr'"), right, "doc_id", ["source", "lang"])
 
 
 @query("j11_j12_title_matches", """with t as (select p_partkey as id, string_split(p_name, ' ') as w from part), r as (select id, w[1] as title, array_to_string(w[2:], ' ') as artist from t where len(w) > 1)
-select p_partkey as key, r.id from (select p_partkey, string_split(p_name, ' ') as w from part where p_partkey % 10 = 0), unnest(generate_series(1, len(w) - 1)) u(i), r
+select p_partkey as key, r.id from (select p_partkey, string_split(p_name, ' ') as w from part), unnest(generate_series(1, len(w) - 1)) u(i), r
 where lower(array_to_string(w[1:i], ' - ')) = lower(r.title) and lower(array_to_string(w[i + 1:], ' - ')) = lower(replace(r.artist, ' ', ' - '))""")
 def j11(spark, sf):
     part = table(spark, sf, "part")
     ref = part.where(F.size(F.split("p_name", " ")) > 1).select(F.col("p_partkey").alias("id"), F.substring_index("p_name", " ", 1).alias("title"), F.replace(F.regexp_replace("p_name", "^[^ ]* ", ""), F.lit(" "), F.lit(" - ")).alias("artist"))
-    rows = part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("key"), F.replace("p_name", F.lit(" "), F.lit(" - ")).alias("name"))
+    rows = part.select(F.col("p_partkey").alias("key"), F.replace("p_name", F.lit(" "), F.lit(" - ")).alias("name"))
     return catalogue.title_matches(rows, ref, "key", "name")
 
 
 @query("j13_unique_lookup", """with k as (select l_suppkey, l_linenumber, count(distinct l_returnflag) as n, min(l_returnflag) as v from lineitem where l_linestatus = 'F' group by l_suppkey, l_linenumber)
-select l.l_orderkey, l.l_linenumber, case when n = 1 then v else 'unknown' end as flag from lineitem l left join k using (l_suppkey, l_linenumber) where l_linestatus = 'O' and l_orderkey % 10 = 0""")
+select l.l_orderkey, l.l_linenumber, case when n = 1 then v else 'unknown' end as flag from lineitem l left join k using (l_suppkey, l_linenumber) where l_linestatus = 'O'""")
 def j13(spark, sf):
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", F.col("l_returnflag").alias("flag"))
     out = joins.unique_lookup(items, ["l_suppkey", "l_linenumber"], "flag", F.col("l_linestatus") == "F", F.col("l_linestatus") == "O")
-    return out.where("l_linestatus = 'O' and l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "flag")
+    return out.where("l_linestatus = 'O'").select("l_orderkey", "l_linenumber", "flag")
 
 
 @query("j21_override", f"with {C}, {cohort_sql('other', '260906')} select a.track_id, coalesce(b.prob, a.prob) as prob, b.prob is not null as recovered from cohort a join other b using (track_id)")
@@ -143,12 +144,13 @@ def j21(spark, sf):
     return joins.override(a, b, "track_id", "prob")
 
 
-@query("j22_merge_shards", """with a as (select doc_id from documents where doc_id % 3 = 0 union all select doc_id from documents where doc_id % 6 = 0 and doc_id > 20), m as (select doc_id from documents where doc_id % 2 = 0),
+@query("j22_merge_shards", """with a as (select doc_id from documents where lang = 'en' union all select doc_id from documents where source in ('src0', 'src1')), m as (select doc_id from documents where lang in ('en', 'de')),
 r as (select doc_id, count(*) as n from a group by doc_id)
 select coalesce(m.doc_id, r.doc_id) as key, coalesce(n, 0) as n, case when m.doc_id is null then 'extra' when r.doc_id is null then 'missing' when n > 1 then 'duplicate' else 'ok' end as status from m full join r on m.doc_id = r.doc_id""")
 def j22(spark, sf):
-    docs = _docs(spark, sf).select("doc_id")
-    return joins.merge_shards(docs.where("doc_id % 2 = 0"), [docs.where("doc_id % 3 = 0"), docs.where("doc_id % 6 = 0 and doc_id > 20")], "doc_id")
+    docs = _docs(spark, sf)
+    shards = [docs.where("lang = 'en'").select("doc_id"), docs.where("source in ('src0', 'src1')").select("doc_id")]
+    return joins.merge_shards(docs.where("lang in ('en', 'de')"), shards, "doc_id")
 
 
 @query("j24_cohort_restriction", f"with {C} select track_id, source from cohort where track_id in (select doc_id from documents where lang = 'fr')")
@@ -242,7 +244,7 @@ def w11(spark, sf):
 
 
 @query("w12_runs", """with e as (select user_id, event_id, value >= 50 as hit, row_number() over (partition by user_id order by event_id) - 1 as n from events), f as (select *, n - row_number() over (partition by user_id, hit order by event_id) as isl from e)
-select user_id, min(n) * 5 as start, (max(n) + 1) * 5 as "end" from f where hit group by user_id, isl having count(*) >= 2""")
+select user_id, (min(n) * 5)::int as start, ((max(n) + 1) * 5)::int as "end" from f where hit group by user_id, isl having count(*) >= 2""")
 def w12(spark, sf):
     return selection.runs(table(spark, sf, "events"), ["user_id"], "event_id", F.col("value"), 50.0)
 
@@ -258,7 +260,7 @@ def w15(spark, sf):
     return selection.stride(table(spark, sf, "events"), [F.col("event_id")], 17, ["event_type"]).select("event_id")
 
 
-@query("w19_ranking", f"""with {C}, s as (select source, round(avg(prob), 9) as mean from cohort where prob is not null group by source) select source, mean, row_number() over (order by mean desc, source) as place from s""")
+@query("w19_ranking", f"""with {C}, s as (select source, round(avg(prob), 9) as mean from cohort where prob is not null group by source) select source, mean, row_number() over (order by mean desc, source)::int as place from s""")
 def w19(spark, sf):
     from pyspark.sql import Window
 
@@ -342,14 +344,20 @@ def a28(spark, sf):
 
 # --- graphs --------------------------------------------------------------------
 
-LINKS = """l as (select l_orderkey as a, 1000000 + l_partkey as b from lineitem where l_partkey % 7 = 0 and l_orderkey % 5 = 0)"""
+LINKS = """l as (select o_orderkey as a, 1000000000000 + o_custkey as b from orders)"""
 
 
 @query("g01_components", f"""with recursive {LINKS}, e as (select a, b from l union select b, a from l), r(node, root) as (select a, a from e union select e.b, r.root from r join e on r.node = e.a)
 select node, min(root) as root from r group by node""")
 def g01(spark, sf):
-    items = table(spark, sf, "lineitem").where("l_partkey % 7 = 0 and l_orderkey % 5 = 0")
-    return graph.components(items.select(F.col("l_orderkey").alias("a"), (1000000 + F.col("l_partkey")).alias("b")))
+    orders = table(spark, sf, "orders")
+    return graph.components(orders.select(F.col("o_orderkey").alias("a"), (F.lit(1000000000000) + F.col("o_custkey")).alias("b")))
+
+
+@query("g01_one_large_component")
+def g01_large(spark, sf):
+    items = table(spark, sf, "lineitem")
+    return graph.components(items.select(F.col("l_orderkey").alias("a"), (F.lit(1000000000000) + F.col("l_partkey")).alias("b")))
 
 
 @query("g02_g03_recording_groups", f"""with d as (select doc_id::varchar as key, sha256(text) as h from documents), g as (select h, 'recording:' || substr(sha256(string_agg(key, chr(10) order by key)), 1, 24) as label from d group by h)
@@ -362,7 +370,7 @@ def g02(spark, sf):
 
 @query("g04_dependence_clusters")
 def g04(spark, sf):
-    docs = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("key"), hashing.sha256_hex("text").alias("h"), F.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", "source", F.col("n_chars"))).alias("owner"))
+    docs = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("key"), hashing.sha256_hex("text").alias("h"), F.when(F.col("lang") == "fr", F.concat_ws("/", "source", F.col("n_chars"))).alias("owner"))
     return graph.group_labels(docs, graph.shared_value_links(docs, "key", ["h", "owner"]), "cluster:").select("key", "label")
 
 
@@ -411,8 +419,8 @@ def p07(spark, sf):
 
 @query("j13_g07_exposure_in_families")
 def g07(spark, sf):
-    rows = catalogue.resolved_captions(catalogue.classified(_members(spark, sf)).where("kind <> 'meta'"))
-    seen = rows.where(F.col("generator").isin("human", "suno") & (F.col("variant") == "clean") & (F.col("id") % 3 == 0)).select("family", F.lit("named in a training list").alias("evidence")).distinct()
+    rows = catalogue.resolved_captions(stage(catalogue.classified(_members(spark, sf)).where("kind <> 'meta'"), "members"))
+    seen = rows.where(F.col("generator").isin("human", "suno") & (F.col("variant") == "clean") & (F.length("base_key") == 7)).select("family", F.lit("named in a training list").alias("evidence")).distinct()
     return catalogue.inherited_exposure(rows, seen).select("id", "seen", "evidence")
 
 
@@ -435,7 +443,7 @@ def j16(spark, sf):
 
 def _sequences(spark, sf):
     """Sequences of 32-bit frames for pairs of documents, the second shifted by ten frames."""
-    ids = _docs(spark, sf).where("doc_id < 200").select(F.col("doc_id"))
+    ids = _docs(spark, sf).select("doc_id")
     frames = F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: F.xxhash64(F.floor(F.col("doc_id") / 2), i + (F.col("doc_id") % 2) * 10).bitwiseAND(0xFFFFFFFF))
     return ids.select("doc_id", frames.alias("fp"))
 

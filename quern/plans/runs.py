@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import RANK_SEED, rank_key, short_id
 from ..operators import catalogue, constraints, graph, joins, metrics, selection, similarity, summaries
+from ..storage import stage
 
 
 def detector_report(rows: DataFrame, threshold: float = 0.5, max_fpr: float = 0.05) -> dict[str, DataFrame]:
@@ -56,7 +57,9 @@ def corpus_plan(members: DataFrame, caps: dict[str, int], tiers: list[dict[str,
     transformed first, transforms of chosen clean tracks first. Training takes no family
     and no path of the evaluation.
     """
-    rows = catalogue.resolved_captions(catalogue.classified(members.where("type = 'file'")).where("kind in ('human', 'ai')"))
+    # Written once: every group below is drawn from these rows.
+    named = stage(catalogue.classified(members.where("type = 'file'")).where("kind in ('human', 'ai')"), "plan-members")
+    rows = stage(catalogue.resolved_captions(named), "plan-rows")
     changed = rows.where(~F.col("variant").isin("clean", "co_created")).select("generator", "family").distinct().withColumn("_t", F.lit(True))
     rows = rows.join(changed, ["generator", "family"], "left")
     transform = F.col("group").contains("__")
@@ -67,10 +70,11 @@ def corpus_plan(members: DataFrame, caps: dict[str, int], tiers: list[dict[str,
 
     human = [taken(rows.where(F.col("group") == g), F.lit(False), caps[g]) for g in ("human_jamendo", "human_fma_ood", "co_created")]
     clean = taken(rows.where((F.col("variant") == "clean") & (F.col("kind") == "ai")), F.coalesce("_t", F.lit(False)), caps["clean_per_generator"])
+    clean = stage(clean, "plan-clean")
     paired = clean.select("generator", "family").distinct().withColumn("_p", F.lit(True))
     transforms = rows.where(transform).join(paired, ["generator", "family"], "left")
     transforms = taken(transforms, F.coalesce("_p", F.lit(False)), caps["transform_per_generator"]).drop("_p")
-    chosen = reduce(DataFrame.unionByName, [*human, clean, transforms]).drop("_t")
+    chosen = stage(reduce(DataFrame.unionByName, [*human, clean, transforms]).drop("_t"), "plan-eval")
     pool = rows.drop("_t").join(chosen.select("family").distinct(), "family", "left_anti").join(chosen.select("path"), "path", "left_anti")
     train = selection.budget_fill(pool, tiers, budget, "group", "family", "path", "size", seed)
     return chosen.withColumn("role", F.lit("eval")).unionByName(train.withColumn("role", F.lit("train_pool")))
