@@ -11,6 +11,10 @@ the counts, so each is judged by the rest of the corpus.
 
 S(w | v) = c(v w) / c(v) if the pair is known, else 0.4 c(w) / N, and 0.4 / (N + 1) for a
 word that no other document has; a document's first word has no pair and no factor 0.4.
+
+Slices are packed as long as a group has many n-grams in a bucket. With very many groups and
+buckets a slice comes down to one n-gram, and the exchange to a row for each distinct n-gram
+of a group: linear in the corpus, never groups times buckets.
 """
 
 from __future__ import annotations

@@ -162,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         u = F.xxhash64("i").bitwiseAND((1 << 40) - 1) / F.lit(float(1 << 40))
         known = known.where(u < 0.97 * max_rows / n).limit(max_rows)
     rows = columns_or_null(docs, doc_id=(id_col, "long"), text=(text_col, "binary"))
-    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("i")).select("doc_id", "label", "text").limit(max_rows)
-    got = rows.mapInArrow(_statistics_task, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
+    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("i")).select("doc_id", "label", "text")
+    # Texts stay where they are; only statistics come to the driver.
+    got = rows.mapInArrow(_statistics_task, "doc_id long, label int, x array<double>").limit(max_rows).toArrow().sort_by("doc_id")
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(got.num_rows, len(STATISTICS))
     order = np.lexsort((x[:, 0], x[:, BYTE_CLASSES.shape[1]], got["doc_id"].to_numpy())) if len(x) else np.empty(0, dtype=int)
     return fit(x[order], got["label"].to_numpy().astype(float)[order], **options)

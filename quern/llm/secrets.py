@@ -9,7 +9,6 @@ are never scanned; texts move in one join on the document's id, where no key is
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
