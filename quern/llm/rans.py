@@ -30,9 +30,9 @@ SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 WORD_MASK = np.uint64((1 << 32) - 1)
-LANES = 1024
+LANES = 2048
 BLOCK_TOKENS = 1 << 19
-CHECKPOINT_STEPS = 256
+CHECKPOINT_STEPS = 128
 SEGMENT_TOKENS = 1 << 22
 #: magic, version, scale bits, documents, ids, symbols, blocks.
 _HEAD = struct.Struct("<4sHHQQII")
