@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays."""
-    return simhash.keep_one_each(docs, shingle_words=3, radius=3)
+    """Of documents linked by a similarity of 0.8 that with the smallest id stays."""
+    return simhash.keep_one_each(docs, shingle_words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,11 +10,19 @@ search adds up the differing shared bits from the root down and drops a node, an
 below it, when the sum passes the radius, or when all below it already belong to the
 searcher's component. A task returns the forest of the links it found, not the links, so
 its output stays below its input. Connected components then run over those forests.
+
+``keep_one_each`` has a contract of its own: texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more are linked. No radius of a 64-bit SimHash promises that, so
+its links are only first candidates. The others come from prefixes: with shingles in one order
+for all texts, sets that similar share one of the first ``n - ceil(0.8 n) + 1``. Candidates are
+checked on their words' shingles, first one or two for each text, then every pair that is left
+in different components, so that a large group of copies is not checked pair by pair.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,29 +43,42 @@ SCAN_ROWS = 48
 #: Larger groups are cut into chunks of this many, and every pair of chunks is its own group.
 GROUP_ROWS = 20_000
 QUERY_BLOCK = 2_048
-
-
-def simhash(text: bytes, shingle_words: int = 3) -> int:
-    """Fingerprint of a UTF-8 text: bit set if set in over half the shingle hashes."""
+#: Texts, at most about, in which common shingles are looked for; those in at least
+#: HOT_TEXTS of them (HOT_GRAMS at most) stand last in the order of shingles.
+SAMPLE_ROWS = 20_000
+HOT_TEXTS = 5
+HOT_GRAMS = 100_000
+#: Rounds in which a text is checked with one other, before all pairs that are left.
+STAR_ROUNDS = 2
+_ROUNDING = 1e-9
+
+
+def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
+    """Hash of the shingle at each place of a UTF-8 text; a shorter text is one shingle."""
     words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle_words:
-        return xxhash.xxh64_intdigest(joined, SHINGLE_SEED)
+        return np.array([digest(joined, SHINGLE_SEED)] if words else [], dtype=np.uint64)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - shingle_words + 1].tolist()
-    digest = xxhash.xxh64_intdigest
     ends = ends[shingle_words - 1 :].tolist()
-    counts, n = np.zeros(FINGERPRINT_BITS, dtype=np.int64), len(starts)
+    return np.fromiter((digest(joined[s:e], SHINGLE_SEED) for s, e in zip(starts, ends)), dtype=np.uint64, count=len(starts))
+
+
+def _fold(hashes: np.ndarray) -> int:
+    counts, n = np.zeros(FINGERPRINT_BITS, dtype=np.int64), len(hashes)
     for at in range(0, n, 1 << 15):
-        hashes = [digest(joined[s:e], SHINGLE_SEED) for s, e in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)])]
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8), bitorder="little")
+        bits = np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8), bitorder="little")
         counts += bits.reshape(-1, FINGERPRINT_BITS).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def simhash(text: bytes, shingle_words: int = 3) -> int:
+    """Fingerprint of a UTF-8 text: bit set if set in over half the shingle hashes."""
+    return _fold(shingle_hashes(text, shingle_words))
+
+
 def _fingerprint_task(batches: Iterable[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([simhash(t or b"", shingle_words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
@@ -188,6 +209,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _deal(keyed: DataFrame, item: str, group_rows: int) -> DataFrame:
+    """``keyed`` with groups of a ``key`` over ``group_rows`` dealt anew for every pair of chunks."""
+    columns = [c for c in keyed.columns if c != "key"]
+    hot = stage(keyed.groupBy("key").count().where(F.col("count") > group_rows), "hot-groups")
+    if hot.isEmpty():
+        return keyed
+    chunks = F.ceil(F.col("count") / F.lit(group_rows)).cast("int")
+    own = F.pmod(F.xxhash64(item), F.col("chunks")).cast("int")
+    dealt = keyed.join(hot.select("key", chunks.alias("chunks")), "key", "left").withColumn("own", own)
+    other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("other", other)
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(*columns, F.when(F.col("chunks").isNull(), F.col("key")).otherwise(pair).alias("key"))
+
+
 def near_links(distinct: DataFrame, rows: int, radius: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links ``(a, b)`` that connect exactly what links within ``radius`` connect.
 
@@ -198,15 +234,7 @@ def near_links(distinct: DataFrame, rows: int, radius: int = 3, group_rows: int
     keyed = distinct.select(
         "fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])).alias("key")
     )
-    hot = stage(keyed.groupBy("key").count().where(F.col("count") > group_rows), "hot-groups")
-    if not hot.isEmpty():
-        chunks = F.ceil(F.col("count") / F.lit(group_rows)).cast("int")
-        own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        dealt = keyed.join(hot.select("key", chunks.alias("chunks")), "key", "left").withColumn("own", own)
-        other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        dealt = dealt.withColumn("other", other)
-        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        keyed = dealt.select("fp", F.when(F.col("chunks").isNull(), F.col("key")).otherwise(pair).alias("key"))
+    keyed = _deal(keyed, "fp", group_rows)
     parts = shuffle_partitions(spark, rows * len(masks))
     return keyed.repartition(parts, "key").mapInArrow(lambda batches: _link_task(batches, radius), "a long, b long")
 
@@ -229,13 +257,173 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3, id
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` less all but one document of each component: that with the smallest id.
+def _prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - _ROUNDING) + 1 if n else 0
+
+
+def _hot_task(batches: Iterable[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text or b"", shingle_words)).view(np.int64))], names=["gram"])
+
+
+def _hot_grams(rows: DataFrame, shingle_words: int) -> np.ndarray:
+    """Common shingles, by a sample of the texts. Any set gives the same links."""
+    one_in = max(1, rows.count() // SAMPLE_ROWS)
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text")
+    grams = some.mapInArrow(lambda b: _hot_task(b, shingle_words), "gram long").groupBy("gram").count().where(F.col("count") >= HOT_TEXTS)
+    found = grams.orderBy(F.desc("count"), "gram").limit(HOT_GRAMS).select("gram").toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def _set_task(batches: Iterable[pa.RecordBatch], shingle_words: int, similarity: float, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes, prints, sizes, prefixes = [], [], [], []
+        for text in batch.column("text").to_pylist():
+            hashes = shingle_hashes(text or b"", shingle_words)
+            found = np.unique(hashes)
+            common = np.isin(found, hot)
+            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SHINGLE_SEED))
+            prints.append(_fold(hashes))
+            sizes.append(len(found))
+            prefixes.append(np.r_[found[~common], found[common]][: _prefix_length(len(found), similarity)].view(np.int64))
+        node, fp = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, prints))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("b"), node, fp, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+            names=["doc_id", "b", "node", "fp", "n", "prefix"],
+        )
+
+
+def _read(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray] | None:
+    read = [[b.column(n).to_numpy() for n in names] for b in batches]
+    return [np.concatenate(x) for x in zip(*read)] if read else None
+
+
+def _shared_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose gram another row has."""
+    names = ("gram", "node", "n", "at")
+    if (read := _read(batches, names)) is not None:
+        order = np.argsort(read[0], kind="stable")
+        same = read[0][order][1:] == read[0][order][:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        for at in range(0, len(order), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[order[at : at + (1 << 16)]]) for x in read], names=list(names))
+
+
+def _possible(n, at, other_n, other_at, similarity: float, least):
+    """Whether sets whose first common gram stands at these places can be similar enough."""
+    return 1 + least(n - at - 1, other_n - other_at - 1) >= similarity / (1 + similarity) * (n + other_n) - _ROUNDING
+
+
+def _cross_task(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs with a common gram that can be similar and stand in different components."""
+    if (read := _read(batches, ("key", "node", "n", "at", "root"))) is None or not len(read[0]):
+        return
+    order = np.lexsort((read[2], read[0]))
+    key, node, n, at, root = (x[order] for x in read)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[starts[1:], len(key)]
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    for start, end in zip(starts[mixed], ends[mixed]):
+        for i in range(start, end - 1):
+            # Rows stand by size: the first that is too large ends the search.
+            last = start + np.searchsorted(n[start:end], n[i] / similarity + _ROUNDING, side="right")
+            j = np.arange(i + 1, last)
+            j = j[(root[j] != root[i]) & _possible(n[i], at[i], n[j], at[j], similarity, np.minimum)]
+            if len(j):
+                low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+
+def _check_task(batches: Iterable[pa.RecordBatch], shingle_words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    def grams(text: bytes | None) -> np.ndarray:
+        return np.unique(shingle_hashes(text or b"", shingle_words))
+
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        good, hub, held = [], None, None
+        for x, first, second in zip(a, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+            if x != hub:
+                hub, held = x, grams(first)
+            other = grams(second)
+            both = len(np.intersect1d(held, other, assume_unique=True))
+            good.append(both >= similarity * (len(held) + len(other) - both) - _ROUNDING)
+        keep = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+
+def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``(doc_id, b, component_id)`` of every row; ``b`` is the text's hash.
+
+    Texts are linked if their sets of shingles have a Jaccard similarity of ``similarity`` or
+    more; all such pairs are linked. Texts without words are equal. ``component_id`` is as in
+    ``near_duplicates``.
+    """
+    spark = prepare(docs.sparkSession)
+    rows = columns_or_null(docs, doc_id=("doc_id", "long"), text=("text", "binary")).withColumn("b", F.xxhash64("text"))
+    hot = _hot_grams(rows, shingle_words)
+    schema = "doc_id long, b long, node long, fp long, n int, prefix array<long>"
+    sets = stage(rows.mapInArrow(lambda x: _set_task(x, shingle_words, similarity, hot), schema), "shingle-sets")
+    stands = F.min(F.struct("doc_id", "b")).alias("stands")
+    nodes = stage(sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), stands, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct-sets")
+    grams = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "gram")).select("gram", "node", "n", "at")
+    entries = entries.repartition(shuffle_partitions(spark, grams), "gram")
+    shared = stage(entries.mapInArrow(_shared_task, "gram long, node long, n int, at int"), "shared-grams")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "stands.*"), "node").select("node", F.col("doc_id").alias("_id"), F.col("b").alias("_b")).hint("shuffle_hash")
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"]) & rows["b"].eqNullSafe(wanted["_b"])).select("node", "text")
+    texts = stage(texts, "candidate-texts")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+        both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+        return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: _check_task(x, shingle_words, similarity), "a long, b long"), "similar-pairs")
+
+    def labelled(found: DataFrame, roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return found.withColumn("root", F.col("node"))
+        return found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def by_fingerprint() -> DataFrame:
+        distinct = stage(nodes.select("fp").distinct(), "distinct-fingerprints")
+        near = stage(components(near_links(distinct, distinct.count(), radius, group_rows)), "roots")
+        known = nodes.select("node", "fp").join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        hubs = known.groupBy("root").agg(F.min("node").alias("a"))
+        return known.join(hubs, "root").where("a <> node").select("a", F.col("node").alias("b"))
+
+    def by_star(found: DataFrame, salt: int) -> DataFrame:
+        hub = F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node", "n", "at", "root")).alias("hub")
+        both = found.join(found.groupBy("gram").agg(hub), "gram").where(F.col("root") != F.col("hub.root"))
+        both = both.where(_possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), similarity, F.least))
+        votes = both.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+        return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
+
+    links, roots = None, None
+    for round in range(STAR_ROUNDS + 1):
+        found = labelled(shared, roots)
+        if round < STAR_ROUNDS:
+            pairs = by_star(found, round)
+            pairs = pairs if round else pairs.union(by_fingerprint()).distinct()
+        else:
+            keyed = _deal(found.withColumnRenamed("gram", "key"), "node", group_rows).repartition(shuffle_partitions(spark, grams), "key")
+            pairs = keyed.mapInArrow(lambda x: _cross_task(x, similarity), "a long, b long").distinct()
+        new = checked(pairs)
+        links = new if links is None else links.union(new)
+        roots = stage(components(links), "roots")
+    known = labelled(nodes.select("node", "least_id"), roots)
+    least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = known.join(least, "root").select("node", "component_id")
+    return sets.select("doc_id", "b", "node").join(named, "node", "left").select("doc_id", "b", "component_id")
+
+
+def keep_one_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` less all but one document of each component of similar texts: that with the smallest id.
 
     Rows that repeat an id count as copies of one document. A component whose ids are all
     null keeps its rows.
     """
-    found = near_duplicates(docs, shingle_words, radius)
+    found = similar_components(docs, shingle_words, similarity)
     gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
     gone = stage(gone.select("doc_id").distinct(), "near-duplicates").hint("shuffle_hash")
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")

@@ -100,6 +100,32 @@ def test_keep_one_each(docs, hard_rows):
     assert left.columns == table.columns and ids.count(50) == 1 and not set(ids) & set(range(51, 80)) and ids.count(1) == 1 and 2 not in ids and 10 not in ids
 
 
+def jaccard(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("group_rows,hot_texts", [(20_000, 5), (3, 2)])
+def test_similar_texts_are_linked(docs, monkeypatch, group_rows, hot_texts):
+    monkeypatch.setattr(s, "HOT_TEXTS", hot_texts)
+    rng = np.random.default_rng(3)
+    rows = []
+    for group in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 50 + 30 * group)]
+        for copy in range(6):
+            words = list(base)
+            for at in rng.integers(0, len(words), copy * (1 + group // 4)):
+                words[at] = f"new{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    n, texts = len(rows), [t for _, t in rows]
+    near = [(i, j) for i in range(n) for j in range(i + 1, n) if jaccard(texts[i], texts[j]) >= 0.8]
+    far = [1 for i, j in near if bin(s.simhash(texts[i].encode(), 3) ^ s.simhash(texts[j].encode(), 3)).count("1") > 3]
+    assert far  # which the fingerprints of three words miss
+    want = local_components(n, *(np.array(x) for x in zip(*near)))
+    found = {r["doc_id"]: r["component_id"] for r in s.similar_components(docs(rows), group_rows=group_rows).collect()}
+    assert [found[i] for i in range(n)] == want.tolist()
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(600)] + [(1000, 1001), (5, 5)], "a long, b long")
     roots = {r["node"]: r["root"] for r in components(links).collect()}
