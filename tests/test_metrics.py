@@ -146,6 +146,16 @@ def test_weights_by_hash_where_clusters_are_many(spark, monkeypatch):
     assert abs(w["s"] / (400 * 50) - 1) < 0.05 and w["m"] <= 12
 
 
+def test_strata_keep_their_size_where_clusters_are_many(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "DRIVER_CLUSTERS", 3)
+    many = spark.range(300).select(F.concat(F.lit("c"), "id").alias("cluster"), F.when(F.col("id") < 3, "a").when(F.col("id") < 40, "b").otherwise("c").alias("cell"))
+    linked = many.union(spark.createDataFrame([("c2", "b")], "cluster string, cell string"))
+    for rows, sizes in ((many, {"a": 3, "b": 37, "c": 260}), (linked, {"a": 40, "c": 260})):
+        weights = bootstrap.bootstrap_weights(rows, 40).join(bootstrap.cluster_strata(rows), "cluster")
+        sums = weights.groupBy("replicate", "stratum").agg(F.sum("w").alias("s")).collect()
+        assert len(sums) == 40 * len(sizes) and all(r["s"] == sizes[r["stratum"]] for r in sums)
+
+
 def test_weights_follow_the_generator():
     members = {"a": ["x", "y", "z"], "b": ["u"]}
     drawn = bootstrap.draw_weights(members, 20, 7)
