@@ -292,7 +292,7 @@ def _boot_rows(spark, sf):
 
 @query("m18_bootstrap_weights")
 def m18(spark, sf):
-    return bootstrap.bootstrap_weights(_boot_rows(spark, sf), 200)
+    return bootstrap.bootstrap_weights(_boot_rows(spark, sf))
 
 
 @query("m13_weighted_metrics", f"""with {C}, t as (select *, (track_id % 5)::bigint as w from cohort where split = 'test'),
@@ -314,26 +314,26 @@ def m13(spark, sf):
 @query("m16_bootstrap_summary")
 def m16(spark, sf):
     rows = _boot_rows(spark, sf)
-    return bootstrap.summarize(rows, bootstrap.bootstrap_weights(rows, 200), 200)
+    return bootstrap.summarize(rows, bootstrap.bootstrap_weights(rows), bootstrap.REPLICATES)
 
 
 @query("m17_paired_difference")
 def m17(spark, sf):
-    rows, weights = _boot_rows(spark, sf), bootstrap.bootstrap_weights(_boot_rows(spark, sf), 200)
+    rows, weights = _boot_rows(spark, sf), bootstrap.bootstrap_weights(_boot_rows(spark, sf))
     other = cohort(spark, sf, "260906").where("split = 'test'").withColumn("cell", F.concat_ws("|", "label", "source"))
-    return bootstrap.paired_difference(rows, other, weights, "track_id", 200)
+    return bootstrap.paired_difference(rows, other, weights, "track_id", bootstrap.REPLICATES)
 
 
 @query("m20_value_summary")
 def m20(spark, sf):
     rows = _boot_rows(spark, sf)
-    return bootstrap.summarize_values(rows.withColumn("value", F.col("prob")), bootstrap.bootstrap_weights(rows, 200), 200)
+    return bootstrap.summarize_values(rows.withColumn("value", F.col("prob")), bootstrap.bootstrap_weights(rows), bootstrap.REPLICATES)
 
 
 @query("m19_lineage_bootstrap")
 def m19(spark, sf):
     pdf = cohort(spark, sf).where("split = 'test' and prob is not null").select("track_id", F.concat_ws("|", "cluster", "label").alias("lineage"), "label", "prob").toPandas().sort_values("track_id")
-    drawn = bootstrap.lineage_bootstrap(pdf, 0.5, 200)
+    drawn = bootstrap.lineage_bootstrap(pdf, 0.5)
     rows = [(name, *map(float, np.nanquantile(v, [0.025, 0.975]))) for name, v in drawn.items()]
     return spark.createDataFrame(rows, "metric string, lower double, upper double")
 
