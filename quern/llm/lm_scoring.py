@@ -11,6 +11,8 @@ the counts, so each is judged by the rest of the corpus.
 
 S(w | v) = c(v w) / c(v) if the pair is known, else 0.4 c(w) / N, and 0.4 / (N + 1) for a
 word that no other document has; a document's first word has no pair and no factor 0.4.
+With ``order`` n the longest known of n, n - 1 ... words is taken, and each step down that the
+place in its document allows costs a factor of 0.4.
 
 Slices are packed as long as a group has many n-grams in a bucket. With very many groups and
 buckets a slice comes down to one n-gram, and the exchange to a row for each distinct n-gram
@@ -106,14 +108,17 @@ def _unpack_hashes(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _grams(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the pair that ends at each place, and whether the place has one."""
-    paired = np.ones(len(ids), dtype=bool)
-    paired[starts[starts < len(ids)]] = False
-    pairs = np.zeros(len(ids), dtype=np.uint64)
-    if len(ids) > 1:
-        pairs[1:] = pair_hashes(hashes[ids[:-1]], hashes[ids[1:]])
-    return pairs, paired
+def _grams(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 2 to ``order`` words: hash of the n-gram that ends at each place, and whether the place has one."""
+    single = hashes[ids] if len(ids) else np.zeros(0, dtype=np.uint64)
+    last, whole = single, np.ones(len(ids), dtype=bool)
+    for n in range(2, order + 1):
+        grams, full = np.zeros(len(ids), dtype=np.uint64), np.zeros(len(ids), dtype=bool)
+        grams[1:] = pair_hashes(last[:-1], single[1:])
+        full[1:] = whole[:-1]
+        full[starts[starts < len(ids)]] = False
+        last, whole = grams, full
+        yield grams, full
 
 
 _DEAL = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("group", pa.int64()), ("body", pa.binary()), ("counts", pa.binary())])
@@ -132,7 +137,7 @@ def _slices(order: int, group: int, hashes: np.ndarray, counts: np.ndarray, bits
         yield order, int(buckets[lo]), group, _pack_hashes(hashes[lo:hi]), _pack(_narrow(counts[lo:hi]))
 
 
-def _count_task(batches: Iterable[pa.RecordBatch], bits: tuple[int, int], group_words: int) -> Iterator[pa.RecordBatch]:
+def _count_task(batches: Iterable[pa.RecordBatch], bits: tuple[int, ...], group_words: int) -> Iterator[pa.RecordBatch]:
     base, chunk = TaskContext.get().partitionId() << 32, 0
     words, keys, nulls, places, sizes = _Words(), [], [], [], []
     total = 0
@@ -142,7 +147,6 @@ def _count_task(batches: Iterable[pa.RecordBatch], bits: tuple[int, int], group_
         ids = np.concatenate(places) if places else np.empty(0, dtype=np.int32)
         n = np.array(sizes, dtype=np.int64)
         starts = np.cumsum(n) - n
-        pairs, paired = _grams(hashes, ids, starts)
         group = base + chunk
         # Frequent words get small numbers, which take fewest bytes.
         seen = np.bincount(ids, minlength=len(hashes))
@@ -153,7 +157,8 @@ def _count_task(batches: Iterable[pa.RecordBatch], bits: tuple[int, int], group_
         rows = [(DOCUMENTS, group, group, body, b"")]
         sort = np.argsort(hashes)
         rows += _slices(1, group, hashes[sort], seen[sort], bits[0])
-        rows += _slices(2, group, *np.unique(pairs[paired], return_counts=True), bits[1])
+        for n, (grams, full) in enumerate(_grams(hashes, ids, starts, len(bits)), 2):
+            rows += _slices(n, group, *np.unique(grams[full], return_counts=True), bits[n - 1])
         return _batch(rows)
 
     for b in batches:
@@ -197,11 +202,11 @@ def _less_own(at: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray
     return totals[at] - own[back]
 
 
-def _score_group(body: bytes, answers: dict[int, list]) -> list[np.ndarray]:
+def _score_group(body: bytes, answers: dict[int, list], order: int) -> list[np.ndarray]:
     keys, nulls, n, hashes, ids = _unpack(body)
     ids, docs = ids.astype(np.int64), len(n)
     doc = np.repeat(np.arange(docs), n)
-    pairs, paired = _grams(hashes, ids, np.cumsum(n) - n)
+    starts = np.cumsum(n) - n
 
     def totals(order: int) -> np.ndarray:
         parts = [_unpack(c)[0] for _, c in sorted(answers.get(order, []))]
@@ -211,40 +216,54 @@ def _score_group(body: bytes, answers: dict[int, list]) -> list[np.ndarray]:
     ones = np.empty(len(hashes), dtype=np.int64)
     ones[sort] = totals(1)
     single = _less_own(ids, doc, ones) if len(ids) else np.empty(0, dtype=np.int64)
-    double = np.zeros(len(ids), dtype=np.int64)
-    if paired.any():
-        _, at = np.unique(pairs[paired], return_inverse=True)
-        double[paired] = _less_own(at, doc[paired], totals(2))
-    before = np.r_[0, single[:-1]] if len(single) else single
-    known, seen = double > 0, single > 0
-    value = np.zeros(len(ids))
-    value[known] = np.log(double[known]) - np.log(before[known])
-    back = ~known & seen
-    value[back] = np.log(single[back])
-    value[~known & paired] += math.log(BACKOFF)
-    counted = [np.bincount(doc, x, docs) for x in (value, known, back, ~known & ~seen)]
+    counts, whole = [single], [np.ones(len(ids), dtype=bool)]
+    for k, (grams, full) in enumerate(_grams(hashes, ids, starts, order), 2):
+        count = np.zeros(len(ids), dtype=np.int64)
+        if full.any():
+            _, at = np.unique(grams[full], return_inverse=True)
+            count[full] = _less_own(at, doc[full], totals(k))
+        counts.append(count)
+        whole.append(full)
+    value, left, kinds = np.zeros(len(ids)), np.ones(len(ids), dtype=bool), []
+    for k in range(order, 0, -1):
+        known = left & (counts[k - 1] > 0)
+        value[known] += np.log(counts[k - 1][known])
+        if k > 1:
+            before = np.r_[0, counts[k - 2][:-1]] if len(ids) else counts[k - 2]
+            value[known] -= np.log(before[known])
+            value[left & ~known & whole[k - 1]] += math.log(BACKOFF)
+        left = left & ~known
+        kinds.append(known)
+    counted = [np.bincount(doc, x, docs) for x in (value, *kinds, left)]
     return [keys, nulls, n, *counted]
 
 
-def _document_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _document_task(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     bodies: dict[int, bytes] = {}
     answers: dict[int, dict[int, list]] = {}
     for b in batches:
-        for order, bucket, group, body, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if order == DOCUMENTS:
+        for n, bucket, group, body, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if n == DOCUMENTS:
                 bodies[group] = body
             else:
-                answers.setdefault(group, {}).setdefault(order, []).append((bucket, counts))
+                answers.setdefault(group, {}).setdefault(n, []).append((bucket, counts))
     for group, body in bodies.items():
-        keys, nulls, n, value, two, one, none = _score_group(body, answers.pop(group, {}))
+        keys, nulls, n, value, *kinds = _score_group(body, answers.pop(group, {}), order)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, mask=nulls.astype(bool)), *(pa.array(x.astype(np.int64)) for x in (n, two, one, none)), pa.array(value)],
-            names=["doc_id", "n_words", "n_pairs", "n_singles", "n_unseen", "value"],
+            [pa.array(keys, mask=nulls.astype(bool)), *(pa.array(x.astype(np.int64)) for x in (n, *kinds)), pa.array(value)],
+            names=["doc_id", "n_words", *_kinds(order), "value"],
         )
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_words: int = GROUP_WORDS, bucket_ngrams: int = BUCKET_NGRAMS) -> DataFrame:
-    """``(doc_id, n_words, n_pairs, n_singles, n_unseen, score)`` of every row.
+def _kinds(order: int) -> list[str]:
+    """Names of the counts of words scored at each step, from the longest."""
+    names = {1: "n_singles", 2: "n_pairs", 3: "n_triples"}
+    return [*[names.get(k, f"n_{k}_grams") for k in range(order, 0, -1)], "n_unseen"]
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_words: int = GROUP_WORDS, bucket_ngrams: int = BUCKET_NGRAMS, order: int = 2) -> DataFrame:
+    """``(doc_id, n_words, n_pairs, n_singles, n_unseen, score)`` of every row;
+    above order 2 the counts of longer n-grams (``n_triples``, ``n_4_grams`` ...) stand before ``n_pairs``.
 
     ``score`` is the mean natural logarithm of S over the document's words (A-Z in lower
     case, split at ASCII white space); ``n_pairs``, ``n_singles`` and ``n_unseen`` tell how
@@ -261,12 +280,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return max(0, math.ceil(math.log2(max(1.0, words * share / bucket_ngrams))))
 
     parts = shuffle_partitions(spark, words, 4 * bucket_ngrams)
-    widths = (bits(0.25), bits(1.0))
+    widths = (bits(0.25), *[bits(1.0)] * (order - 1))
     dealt = rows.mapInArrow(lambda b: _count_task(b, widths, group_words), DEAL_SCHEMA)
     answered = dealt.repartition(parts, "order", "bucket").mapInArrow(_bucket_task, DEAL_SCHEMA)
-    scored = answered.repartition(parts, "group").mapInArrow(_document_task, "doc_id long, n_words long, n_pairs long, n_singles long, n_unseen long, value double")
+    scored = answered.repartition(parts, "group").mapInArrow(lambda b: _document_task(b, order), ", ".join(["doc_id long, n_words long", *[f"{k} long" for k in _kinds(order)], "value double"]))
     scored = stage(scored, "lm-scores")
     total = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     others = F.lit(total) - F.col("n_words")
     value = F.col("value") - F.col("n_singles") * F.log(F.greatest(others, F.lit(1)).cast("double")) - F.col("n_unseen") * F.log(others + 1.0)
-    return scored.select("doc_id", "n_words", "n_pairs", "n_singles", "n_unseen", F.when(F.col("n_words") > 0, value / F.col("n_words")).alias("score"))
+    return scored.select("doc_id", "n_words", *_kinds(order), F.when(F.col("n_words") > 0, value / F.col("n_words")).alias("score"))

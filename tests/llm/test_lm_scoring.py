@@ -55,3 +55,35 @@ def test_only_document_and_empty(docs):
     r = lm.score_documents(docs([(1, "a b a")])).first()
     assert (r["n_unseen"], r["n_words"]) == (3, 3) and r["score"] == pytest.approx(2 * math.log(0.4) / 3)
     assert lm.score_documents(docs([])).count() == 0
+
+
+def test_order_three_equals_brute_force(docs):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 25) % 20)) for i in range(40)] + [(50, ""), (51, "w1"), (52, "w1 w2"), (53, "w1 never w2 w1")]
+    texts = [t.encode().split() for _, t in rows]
+    grams = [[Counter(tuple(t[i : i + k]) for i in range(len(t) - k + 1)) for k in (1, 2, 3)] for t in texts]
+    whole = [sum((g[k] for g in grams), Counter()) for k in range(3)]
+    total, want = sum(map(len, texts)), {}
+    for (key, _), t, own in zip(rows, texts, grams):
+        value, kinds, others = 0.0, [0, 0, 0, 0], total - len(t)
+
+        def count(g):
+            return whole[len(g) - 1][g] - own[len(g) - 1][g]
+
+        for i in range(len(t)):
+            for step, k in enumerate((3, 2, 1)):
+                g = tuple(t[i - k + 1 : i + 1]) if i >= k - 1 else None
+                if g and count(g):
+                    kinds[step] += 1
+                    value += math.log(count(g) / (count(g[:-1]) if k > 1 else others))
+                    break
+                value += math.log(0.4) if g and k > 1 else 0.0
+            else:
+                kinds[3] += 1
+                value -= math.log(others + 1)
+        want[key] = (*kinds, pytest.approx(value / len(t)) if t else None)
+    for group_words, bucket_ngrams in ((1_000_000, 2_000_000), (60, 50)):
+        found = lm.score_documents(docs(rows), group_words=group_words, bucket_ngrams=bucket_ngrams, order=3).collect()
+        assert len(found) == len(rows) and sum(r["n_triples"] for r in found) > 0
+        for r in found:
+            assert (r["n_triples"], r["n_pairs"], r["n_singles"], r["n_unseen"], r["score"]) == want[r["doc_id"]]
