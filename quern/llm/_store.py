@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import importable, shared_dir, stage
 
-__all__ = ["columns_or_null", "prepare", "shared_dir", "shuffle_partitions", "stage", "table"]
+__all__ = ["columns_or_null", "frequent", "join_spread", "prepare", "shared_dir", "shuffle_partitions", "stage", "table"]
 
 #: Rows in one Arrow batch that goes to Python; bounds a worker's memory with long texts.
 ARROW_ROWS = 512
@@ -34,3 +34,28 @@ def columns_or_null(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
     """Exactly the wanted columns, each as ``new_name=(column, type)``; other columns go,
     so names that clash with an operator's own do no harm."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(n) for n, (c, t) in wanted.items()])
+
+
+#: Keys with more than one in so many of all rows are frequent; there are fewer of them than that.
+FREQUENT_ONE_IN = 1_000
+SALTS = 64
+
+
+def frequent(counted: DataFrame, key: str, count: str = "rows") -> DataFrame:
+    """Frequent keys of a table ``(key, count)`` that has each key once: at most FREQUENT_ONE_IN."""
+    total = counted.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    return counted.where(F.col(count) * FREQUENT_ONE_IN > total).select(key)
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has each key once, on ``key``.
+
+    Rows of the ``hot`` keys (see ``frequent``; few, so they are broadcast) are dealt to SALTS
+    tasks each, to which the table's rows of these keys go in as many copies.
+    """
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    own = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = rows.join(hot, key, "left").withColumn("_salt", own).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")

@@ -2,14 +2,16 @@
 
 Fingerprints are made once for each text and reduced to the distinct ones. Two that
 differ in at most ``radius`` of 64 bits agree on all bits of some choice of blocks, so
-each distinct fingerprint is dealt to the groups named by its blocks' values. Inside a
-group the fingerprints stand in order of their Gray rank, in which neighbours differ in
-few bits; runs of neighbours form leaves, runs of leaves form upper nodes, and every node
-keeps the bits that all below it share (mask and pattern), less those its parent has. A
-search adds up the differing shared bits from the root down and drops a node, and all
-below it, when the sum passes the radius, or when all below it already belong to the
-searcher's component. A task returns the forest of the links it found, not the links, so
-its output stays below its input. Connected components then run over those forests.
+each distinct fingerprint is dealt to the groups named by its blocks' values; that deals
+the work to tasks and loses no pair. In a task all fingerprints, whatever the size of
+their groups, stand in an index in order of group and Gray rank, in which neighbours
+differ in few bits: runs of neighbours form nodes, runs of nodes upper nodes, and every
+node keeps the groups below it and the bits that all below it share (mask and pattern),
+less those its parent has. A search goes down from the top, adds up the differing shared
+bits, and drops a node and all below it when it holds other groups only, when the sum
+passes the radius, or when all below it already belong to the searcher's component. A
+task returns the forest of the links it found, not the links, so its output stays below
+its input. Connected components then run over those forests.
 
 ``keep_one_each`` has a contract of its own: texts whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more are linked. No radius of a 64-bit SimHash promises that, so
@@ -28,21 +30,24 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components, local_components
-from ._store import columns_or_null, prepare, shuffle_partitions, stage
+from ._store import columns_or_null, frequent, join_spread, prepare, shuffle_partitions, stage
 
 FINGERPRINT_BITS = 64
 SHINGLE_SEED = 42
-#: Consecutive fingerprints in a leaf, and children of an upper node.
+#: Consecutive fingerprints or nodes below a node.
 FAN_OUT = 8
-#: Groups up to this size are one leaf: they are scanned as a whole.
-SCAN_ROWS = 48
+#: Whole groups that make up one index, in rows; a larger group has one of its own.
+INDEX_ROWS = 32_768
 #: Larger groups are cut into chunks of this many, and every pair of chunks is its own group.
 GROUP_ROWS = 20_000
-QUERY_BLOCK = 2_048
+#: Searches run together while they have at most so many rows of their groups before them.
+SEARCH_PAIRS = 1_000_000
+#: Bytes of text that are hashed together.
+TEXT_BYTES = 4_000_000
 #: Texts, at most about, in which common shingles are looked for; those in at least
 #: HOT_TEXTS of them (HOT_GRAMS at most) stand last in the order of shingles.
 SAMPLE_ROWS = 20_000
@@ -101,40 +106,53 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchical index over distinct 64-bit fingerprints in Gray order."""
+    """Hierarchical index over 64-bit fingerprints that stand by group, then in Gray order."""
 
-    def __init__(self, prints: np.ndarray, fan_out: int = FAN_OUT):
+    def __init__(self, prints: np.ndarray, groups: np.ndarray | None = None, fan_out: int = FAN_OUT):
         self.prints, self.fan_out = prints, fan_out
-        ones, any_, mask = [prints], [prints], []
+        self.groups = np.zeros(len(prints), dtype=np.int64) if groups is None else groups
+        ones, any_, first, last = [prints], [prints], [self.groups], [self.groups]
         while len(ones[-1]) > fan_out:
             at = np.arange(0, len(ones[-1]), fan_out)
             ones.append(np.bitwise_and.reduceat(ones[-1], at))
             any_.append(np.bitwise_or.reduceat(any_[-1], at))
+            last.append(last[-1][np.minimum(at + fan_out, len(first[-1])) - 1])
+            first.append(first[-1][at])
         mask = [~(o ^ a) for o, a in zip(ones, any_)]
         # Bits that a node shares and its parent does not: each bit counts once on a path.
         self.own = [m & ~np.repeat(up, fan_out)[: len(m)] for m, up in zip(mask, mask[1:])] + [mask[-1]]
-        self.pattern = ones
+        self.pattern, self.first, self.last = ones, first, last
+
+    def _blocks(self) -> list[int]:
+        """Ends of runs of searches with SEARCH_PAIRS rows of their groups before them at most."""
+        n = len(self.prints)
+        behind = np.cumsum(np.searchsorted(self.groups, self.groups, side="right") - np.arange(n))
+        ends = [0]
+        while ends[-1] < n:
+            done = behind[ends[-1] - 1] if ends[-1] else 0
+            ends.append(max(ends[-1] + 1, int(np.searchsorted(behind, done + SEARCH_PAIRS, side="right"))))
+        return ends
 
     def links(self, radius: int) -> np.ndarray:
-        """A label for each fingerprint: equal for those connected by links within radius."""
-        n, labels = len(self.prints), np.arange(len(self.prints))
-        for at in range(0, n, QUERY_BLOCK):
+        """A label for each fingerprint: equal for those connected by links within radius and group."""
+        n, labels, top = len(self.prints), np.arange(len(self.prints)), len(self.pattern) - 1
+        blocks = self._blocks()
+        for begin, end in zip(blocks, blocks[1:]):
             low, high = [labels], [labels]
-            for level in range(1, len(self.pattern)):
+            for _ in range(top):
                 cut = np.arange(0, len(low[-1]), self.fan_out)
                 low.append(np.minimum.reduceat(low[-1], cut))
                 high.append(np.maximum.reduceat(high[-1], cut))
-            q = np.arange(at, min(at + QUERY_BLOCK, n))
-            top = len(self.pattern) - 1
-            query, node = (x.ravel() for x in np.meshgrid(q, np.arange(len(self.pattern[top])), indexing="ij"))
+            query, node = (x.ravel() for x in np.meshgrid(np.arange(begin, end), np.arange(len(self.pattern[top])), indexing="ij"))
             far = np.zeros(len(query), dtype=np.int64)
             for level in range(top, -1, -1):
-                differ = (self.prints[query] ^ self.pattern[level][node]) & self.own[level][node]
-                far = far + np.bitwise_count(differ)
-                # Only what stands behind the query; not what is all in its component already.
-                last = (node + 1) * self.fan_out**level > query + 1
-                one = (low[level][node] == high[level][node]) & (low[level][node] == labels[query])
-                keep = (far <= radius) & last & ~one
+                # Only what stands behind the query in its group; not what is all in its component already.
+                group = self.groups[query]
+                keep = ((node + 1) * self.fan_out**level > query + 1) & (self.first[level][node] <= group) & (group <= self.last[level][node])
+                keep &= (low[level][node] != high[level][node]) | (low[level][node] != labels[query])
+                query, node, far = query[keep], node[keep], far[keep]
+                far = far + np.bitwise_count((self.prints[query] ^ self.pattern[level][node]) & self.own[level][node])
+                keep = far <= radius
                 query, node, far = query[keep], node[keep], far[keep]
                 if level:
                     child = node[:, None] * self.fan_out + np.arange(self.fan_out)
@@ -145,40 +163,22 @@ class GrayIndex:
         return labels
 
 
-def _scan_small(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside groups of at most SCAN_ROWS, all groups at once; rows stand by key."""
-    a, b = [], []
-    for gap in range(1, SCAN_ROWS):
-        same = np.flatnonzero(keys[:-gap] == keys[gap:])
-        if not len(same):
-            break
-        near = np.bitwise_count(prints[same] ^ prints[same + gap]) <= radius
-        a.append(same[near])
-        b.append(same[near] + gap)
-    none = np.empty(0, dtype=np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-
 def forest(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links ``(fingerprint, root)`` that connect what is linked within equal keys."""
     order = np.lexsort((gray_rank(prints), keys))
     keys, prints = keys[order], prints[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    large = np.repeat(sizes > SCAN_ROWS, sizes)
-    small = np.flatnonzero(~large)
-    a, b = _scan_small(keys[small], prints[small], radius)
-    a, b = [small[a]], [small[b]]
-    for start, size in zip(starts[sizes > SCAN_ROWS], sizes[sizes > SCAN_ROWS]):
-        chunk = prints[start : start + size]
-        first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-        labels = GrayIndex(chunk[first]).links(radius)
-        a.append(start + first)
-        b.append(start + first[labels])
-    a, b = np.concatenate(a), np.concatenate(b)
+    ends = np.r_[starts[1:], len(keys)]
+    roots, begin = np.arange(len(keys)), 0
+    while begin < len(keys):
+        # Whole groups up to INDEX_ROWS, one at least.
+        fit = np.searchsorted(ends, begin + INDEX_ROWS, side="right")
+        end = int(ends[max(fit - 1, np.searchsorted(starts, begin))])
+        roots[begin:end] = begin + GrayIndex(prints[begin:end], keys[begin:end]).links(radius)
+        begin = end
     # Over the whole task a fingerprint is one node, whatever groups it stands in.
     nodes, at = np.unique(prints, return_inverse=True)
-    labels = local_components(len(nodes), at[a], at[b])
+    labels = local_components(len(nodes), at, at[roots])
     joined = np.flatnonzero(labels != np.arange(len(nodes)))
     return nodes[joined], nodes[labels[joined]]
 
@@ -248,23 +248,86 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3, id
     null; repeated rows are returned once each; an empty table gives no rows.
     """
     prints = stage(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
     links = near_links(distinct.select("fp"), distinct.count(), radius, group_rows)
     roots = stage(components(links), "roots")
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = stage(known.join(least, "root").select("fp", "component_id"), "named-fingerprints")
+    return join_spread(prints, named, "fp", frequent(distinct, "fp")).select("doc_id", "fp", "component_id")
 
 
 def _prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - _ROUNDING) + 1 if n else 0
 
 
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser, an invertible scrambling of 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def text_grams(texts: list[bytes], shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, gram)`` of every shingle of several texts, by text; repeats included.
+
+    A gram is made of its words' hashes. A text of fewer words is one shingle; one without
+    words has none.
+    """
+    index: dict[bytes, int] = {}
+    words = [[index.setdefault(w, len(index)) for w in t.lower().split()] for t in texts]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SHINGLE_SEED) for w in index), dtype=np.uint64, count=len(index))
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    text = np.repeat(np.arange(len(texts)), sizes)
+    single = hashes[np.fromiter(itertools.chain.from_iterable(words), dtype=np.int64, count=len(text))]
+    grams = single[: max(len(single) - shingle_words + 1, 0)]
+    for j in range(1, shingle_words):
+        grams = _mixed(grams * _MIX[0] + single[j : j + len(grams)])
+    whole = text[: len(grams)] == text[len(text) - len(grams) :]
+    grams, text = grams[whole], text[: len(grams)][whole]
+    short = np.flatnonzero((sizes > 0) & (sizes < shingle_words))
+    if len(short):
+        joined = (b" ".join(texts[i].lower().split()) for i in short)
+        text = np.r_[text, short]
+        grams = np.r_[grams, np.fromiter((xxhash.xxh64_intdigest(t, SHINGLE_SEED + 1) for t in joined), dtype=np.uint64, count=len(short))]
+        order = np.argsort(text, kind="stable")
+        text, grams = text[order], grams[order]
+    return text, grams
+
+
+def _parcels(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about TEXT_BYTES, each with its first place."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= TEXT_BYTES or i == len(texts) - 1:
+            yield begin, texts[begin : i + 1]
+            begin, size = i + 1, 0
+
+
+def _folds(text: np.ndarray, grams: np.ndarray, texts: int) -> np.ndarray:
+    """SimHash of each text from all its grams, which stand by text."""
+    counts, step = np.zeros((texts, FINGERPRINT_BITS), dtype=np.int64), 1 << 16
+    for at in range(0, len(grams), step):
+        own = text[at : at + step]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        bits = np.unpackbits(grams[at : at + step].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, FINGERPRINT_BITS)
+        counts[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    over = 2 * counts > np.bincount(text, minlength=texts)[:, None]
+    return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
 def _hot_task(batches: Iterable[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text or b"", shingle_words)).view(np.int64))], names=["gram"])
+        for _, texts in _parcels([t or b"" for t in batch.column("text").to_pylist()]):
+            text, grams = text_grams(texts, shingle_words)
+            order = np.lexsort((grams, text))
+            text, grams = text[order], grams[order]
+            once = np.r_[True, (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])][: len(grams)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams[once].view(np.int64))], names=["gram"])
 
 
 def _hot_grams(rows: DataFrame, shingle_words: int) -> np.ndarray:
@@ -278,20 +341,29 @@ def _hot_grams(rows: DataFrame, shingle_words: int) -> np.ndarray:
 
 def _set_task(batches: Iterable[pa.RecordBatch], shingle_words: int, similarity: float, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, prints, sizes, prefixes = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            hashes = shingle_hashes(text or b"", shingle_words)
-            found = np.unique(hashes)
-            common = np.isin(found, hot)
-            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SHINGLE_SEED))
-            prints.append(_fold(hashes))
-            sizes.append(len(found))
-            prefixes.append(np.r_[found[~common], found[common]][: _prefix_length(len(found), similarity)].view(np.int64))
-        node, fp = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, prints))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("b"), node, fp, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-            names=["doc_id", "b", "node", "fp", "n", "prefix"],
-        )
+        for begin, texts in _parcels([t or b"" for t in batch.column("text").to_pylist()]):
+            text, grams = text_grams(texts, shingle_words)
+            prints = _folds(text, grams, len(texts))
+            common = np.zeros(len(grams), dtype=bool)
+            if len(hot):
+                common = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+            order = np.lexsort((grams, common, text))
+            text, grams = text[order], grams[order]
+            once = np.r_[True, (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])][: len(grams)]
+            text, grams = text[once], grams[once]
+            sizes = np.bincount(text, minlength=len(texts))
+            starts = np.cumsum(sizes) - sizes
+            nodes = np.zeros(len(texts), dtype=np.uint64)
+            np.add.at(nodes, text, _mixed(grams + _MIX[0]))  # a sum does not depend on the order
+            nodes = _mixed(nodes + sizes.astype(np.uint64))
+            first = np.array([_prefix_length(n, similarity) for n in sizes.tolist()], dtype=np.int64)
+            inside = np.arange(len(grams)) - starts[text] < first[text]
+            prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first)], pa.int32()), pa.array(grams[inside].view(np.int64)))
+            rows = slice(begin, begin + len(texts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id")[rows], batch.column("b")[rows], pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int32()), prefix],
+                names=["doc_id", "b", "node", "fp", "n", "prefix"],
+            )
 
 
 def _read(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray] | None:
@@ -337,7 +409,7 @@ def _cross_task(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterato
 
 def _check_task(batches: Iterable[pa.RecordBatch], shingle_words: int, similarity: float) -> Iterator[pa.RecordBatch]:
     def grams(text: bytes | None) -> np.ndarray:
-        return np.unique(shingle_hashes(text or b"", shingle_words))
+        return np.unique(text_grams([text or b""], shingle_words)[1])
 
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
@@ -353,19 +425,21 @@ def _check_task(batches: Iterable[pa.RecordBatch], shingle_words: int, similarit
 
 
 def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``(doc_id, b, component_id)`` of every row; ``b`` is the text's hash.
+    """``(doc_id, b, stands)`` of every row; ``b`` is the text's hash.
 
     Texts are linked if their sets of shingles have a Jaccard similarity of ``similarity`` or
-    more; all such pairs are linked. Texts without words are equal. ``component_id`` is as in
-    ``near_duplicates``.
+    more; all such pairs are linked. Texts without words, null ones included, are equal.
+    ``stands`` is ``(no_id, doc_id, b)`` of the row that stands for the component: that with
+    the smallest id, null ids last, and among rows of one id that with the smallest text hash.
+    Repeated rows are returned once each; an empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
     rows = columns_or_null(docs, doc_id=("doc_id", "long"), text=("text", "binary")).withColumn("b", F.xxhash64("text"))
     hot = _hot_grams(rows, shingle_words)
     schema = "doc_id long, b long, node long, fp long, n int, prefix array<long>"
     sets = stage(rows.mapInArrow(lambda x: _set_task(x, shingle_words, similarity, hot), schema), "shingle-sets")
-    stands = F.min(F.struct("doc_id", "b")).alias("stands")
-    nodes = stage(sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), stands, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct-sets")
+    stands = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "b")).alias("stands")
+    nodes = stage(sets.groupBy("node").agg(stands, F.count(F.lit(1)).alias("rows"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct-sets")
     grams = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
 
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "gram")).select("gram", "node", "n", "at")
@@ -411,24 +485,28 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
         new = checked(pairs)
         links = new if links is None else links.union(new)
         roots = stage(components(links), "roots")
-    known = labelled(nodes.select("node", "least_id"), roots)
-    least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = known.join(least, "root").select("node", "component_id")
-    return sets.select("doc_id", "b", "node").join(named, "node", "left").select("doc_id", "b", "component_id")
+    known = labelled(nodes.select("node", "stands"), roots)
+    least = known.groupBy("root").agg(F.min("stands").alias("stands"))
+    named = stage(known.drop("stands").join(least, "root").select("node", "stands"), "named-sets")
+    return join_spread(sets.select("doc_id", "b", "node"), named, "node", frequent(nodes, "node")).select("doc_id", "b", "stands")
 
 
 def keep_one_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` less all but one document of each component of similar texts: that with the smallest id.
+    """``docs`` less all but one document of each component of similar texts.
 
-    Rows that repeat an id count as copies of one document. A component whose ids are all
-    null keeps its rows.
+    That with the smallest id stays (null ids last; among rows of one id, that with the
+    smallest text hash), so rows that repeat an id with different texts are documents of their
+    own. Of rows that repeat both, one stays. Null and wordless texts are equal. An empty table
+    gives no rows; other columns are passed on, whatever their names.
     """
     found = similar_components(docs, shingle_words, similarity)
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
-    gone = stage(gone.select("doc_id").distinct(), "near-duplicates").hint("shuffle_hash")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if ids.isEmpty():
+    other = ~F.col("doc_id").eqNullSafe(F.col("stands.doc_id")) | ~F.col("b").eqNullSafe(F.col("stands.b"))
+    gone = found.where(other).select(F.col("doc_id").alias("_quern_id"), F.col("b").alias("_quern_hash")).distinct()
+    gone = stage(gone, "near-duplicates").hint("shuffle_hash")
+    same = F.xxhash64(docs["text"].cast("binary"))
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_quern_id"]) & same.eqNullSafe(gone["_quern_hash"]), "left_anti")
+    twice = kept.select("doc_id", same.alias("b")).groupBy("doc_id", "b").count().where("count > 1")
+    if twice.isEmpty():
         return kept
-    known = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return known.unionByName(kept.where(F.col("doc_id").isNull()))
+    order = Window.partitionBy("doc_id", F.xxhash64(F.col("text").cast("binary"))).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept.withColumn("_quern_at", F.row_number().over(order)).where("_quern_at = 1").drop("_quern_at")

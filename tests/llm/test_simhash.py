@@ -54,6 +54,30 @@ def test_index_finds_all_links(n, centres):
     assert len(set(got)) == len(set(want)) and len(set(zip(got.tolist(), want[at].tolist()))) == len(set(want))
 
 
+@pytest.mark.parametrize("index_rows,pairs", [(32_768, 1_000_000), (64, 500)])
+def test_every_print_passes_through_an_index(monkeypatch, index_rows, pairs):
+    monkeypatch.setattr(s, "INDEX_ROWS", index_rows)
+    monkeypatch.setattr(s, "SEARCH_PAIRS", pairs)
+    rng = np.random.default_rng(11)
+    x = clusters(rng, 1500, 60)
+    keys = np.r_[np.repeat(np.arange(400), 3), np.full(300, 7)][: len(x)]
+    seen, make = [], s.GrayIndex.__init__
+
+    def noted(self, prints, groups=None, fan_out=s.FAN_OUT):
+        seen.append(len(prints))
+        make(self, prints, groups, fan_out)
+
+    monkeypatch.setattr(s.GrayIndex, "__init__", noted)
+    order = rng.permutation(len(x))
+    a, b = s.forest(keys[order], x[order], 3)
+    assert sum(seen) == len(x)
+    pairs = [(i, j) for k in np.unique(keys) for i in np.flatnonzero(keys == k) for j in np.flatnonzero(keys == k) if i < j and bin(int(x[i] ^ x[j])).count("1") <= 3]
+    want = local_components(len(x), *(np.array(p) for p in zip(*pairs)))
+    place = {int(v): i for i, v in enumerate(x)}
+    got = local_components(len(x), np.array([place[int(v)] for v in a]), np.array([place[int(v)] for v in b]))
+    assert (got == want).all() and len(set(want)) < len(x)
+
+
 @pytest.mark.parametrize("group_rows", [20_000, 40])
 def test_links_over_tables(spark, group_rows):
     x = clusters(np.random.default_rng(7), 4000, 3)
@@ -97,6 +121,7 @@ def test_keep_one_each(docs, hard_rows):
     table = docs(rows, extra=True)
     left = s.keep_one_each(table)
     ids = [r["doc_id"] for r in left.collect()]
+    assert {r["doc_id"]: r["text"] for r in left.collect()}[50] == base
     assert left.columns == table.columns and ids.count(50) == 1 and not set(ids) & set(range(51, 80)) and ids.count(1) == 1 and 2 not in ids and 10 not in ids
 
 
@@ -122,7 +147,7 @@ def test_similar_texts_are_linked(docs, monkeypatch, group_rows, hot_texts):
     far = [1 for i, j in near if bin(s.simhash(texts[i].encode(), 3) ^ s.simhash(texts[j].encode(), 3)).count("1") > 3]
     assert far  # which the fingerprints of three words miss
     want = local_components(n, *(np.array(x) for x in zip(*near)))
-    found = {r["doc_id"]: r["component_id"] for r in s.similar_components(docs(rows), group_rows=group_rows).collect()}
+    found = {r["doc_id"]: r["stands"]["doc_id"] for r in s.similar_components(docs(rows), group_rows=group_rows).collect()}
     assert [found[i] for i in range(n)] == want.tolist()
 
 
@@ -134,3 +159,18 @@ def test_long_chain_is_one_component(spark):
 
 def test_empty(docs):
     assert s.near_duplicates(docs([])).count() == 0
+    assert s.keep_one_each(docs([])).count() == 0
+
+
+def test_repeated_ids_with_other_texts_are_other_documents(docs):
+    one, two, three = (" ".join(f"{n}x{i}" for i in range(40)) for n in "abc")
+    rows = [(1, one), (1, two), (2, two), (None, three), (None, three), (None, one), (3, None), (4, "")]
+    left = s.keep_one_each(docs(rows, extra=True)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(1, one), (1, two), (0, three), (3, "")])
+
+
+def test_hot_texts_are_spread(docs):
+    rows = [(i, "one text of a third of all rows") for i in range(300)] + [(1000 + i, f"text number {i} with words of its own {i * i}") for i in range(600)]
+    found = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs(rows)).collect()}
+    assert len(found) == 900 and {found[i] for i in range(300)} == {0}
+    assert s.keep_one_each(docs(rows)).where("doc_id < 300").count() == 1
