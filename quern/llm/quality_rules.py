@@ -3,12 +3,15 @@
 Each document is measured in its own row, without a shuffle; the measures are written
 once. Rule failures are then added up by host (a partial sum, so a host with a third of
 all rows is no hot spot), each host's failure rate is shrunk towards a beta prior fitted
-to all hosts by moments, and the verdicts are joined back: broadcast while there are few
-hosts, else by a join on the host and a salt.
+to all hosts by moments, a host is bad if its rate stands in the prior's upper tail or over
+a half, and the verdicts are joined back: broadcast while there are few hosts, else by a
+join on the host and a salt.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,10 @@ MAX_REPEAT_PERCENT = 30
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
 WORD_LENGTHS = (2, 15)
-#: Shrunken failure rate from which a host is bad.
+#: A host is bad beyond this shrunken failure rate, or beyond so many standard deviations of
+#: the prior over its mean, whichever is less.
 BAD_HOST_RATE = 0.5
+BAD_HOST_SPREAD = 2.0
 BROADCAST_HOSTS = 100_000
 SALTS = 32
 
@@ -95,11 +100,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     )
 
 
-def host_verdicts(measured: DataFrame, bad_rate: float = BAD_HOST_RATE) -> DataFrame:
+def host_verdicts(measured: DataFrame, bad_rate: float = BAD_HOST_RATE, spread: float = BAD_HOST_SPREAD) -> DataFrame:
     """``(host, n, failed, rate, bad)``: failure rates shrunk to a beta prior of all hosts.
 
     The prior's mean is the mean host rate and its weight follows from the variance
-    between hosts beyond what chance gives; it is held between 1 and 10,000 documents.
+    between hosts beyond what chance gives; it is held between 1 and 10,000 documents. Where
+    hosts differ by chance alone the prior is narrow, rates are shrunk onto it, and no host is bad.
     """
     failed = (F.col("base_failed") | F.col("soft_failed")).cast("long")
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(failed).alias("failed"))
@@ -109,7 +115,8 @@ def host_verdicts(measured: DataFrame, bad_rate: float = BAD_HOST_RATE) -> DataF
     mean, between = m["mean"] or 0.0, (m["var"] or 0.0) - (m["noise"] or 0.0)
     weight = min(max(mean * (1 - mean) / between - 1, 1.0), 10_000.0) if between > 0 else 10_000.0
     rate = (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate > bad_rate).alias("bad"))
+    bound = min(bad_rate, mean + spread * math.sqrt(mean * (1 - mean) / (weight + 1)))
+    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate > bound).alias("bad"))
 
 
 def _with_verdicts(measured: DataFrame, hosts: DataFrame, broadcast_hosts: int) -> DataFrame:
@@ -137,7 +144,11 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_passed(docs: DataFrame) -> DataFrame:
-    """``docs`` less the rows that the rules reject."""
+    """``docs`` less the rows that the rules reject, told apart by id and text.
+
+    Null and wordless texts are rejected; null ids and hosts, repeated rows and clashing
+    column names are as in ``apply_rules``; an empty table gives no rows.
+    """
     gone = apply_rules(docs).where(~F.col("kept")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
     gone = stage(gone, "rejected").hint("shuffle_hash")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["t"]), "left_anti")

@@ -36,11 +36,21 @@ def op3_histogram_gbdt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+_OP4 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_host_beta_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
 
-    judged = apply_rules(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return apply_rules(table(spark, sf_dir, "documents")).select(*_OP4)
+
+
+def op4_host_beta_rules_tables_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with documents that hold tables as a host of their own, which is a bad one."""
+    from .quality_rules import apply_rules
+
+    host = F.when(F.contains("text", F.lit("|")), "tables").otherwise(F.col("source"))
+    return apply_rules(table(spark, sf_dir, "documents").withColumn("host", host), host_col="host").select(*_OP4)
 
 
 def op5_interleaved_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BAD_HOST_RATE, MAX_DUP_LINE_PERCENT, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT, MIN_WORDS, WORD_LENGTHS
+from .quality_rules import BAD_HOST_RATE, BAD_HOST_SPREAD, MAX_DUP_LINE_PERCENT, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT, MIN_WORDS, WORD_LENGTHS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -25,7 +25,7 @@ f as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERC
 h as (select source, count(*) as n, sum((base_failed or soft_failed)::int) as x from f group by source),
 p as (select avg(x / n) as mean, coalesce(var_samp(x / n), 0) - avg(x / n * (1 - x / n) / n) as between_var from h),
 q as (select mean, case when between_var > 0 then least(greatest(mean * (1 - mean) / between_var - 1, 1.0), 10000.0) else 10000.0 end as weight from p),
-v as (select source, (x + mean * weight) / (n + weight) > {BAD_HOST_RATE} as bad from h, q)
+v as (select source, (x + mean * weight) / (n + weight) > least({BAD_HOST_RATE}, mean + {BAD_HOST_SPREAD} * sqrt(mean * (1 - mean) / (weight + 1))) as bad from h, q)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and not (bad and soft_failed) as kept
 from f join v on f.source is not distinct from v.source
@@ -66,8 +66,11 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_pairs, 0) as n_pairs, coale
 from d cross join n left join s on s.r = d.r
 """
 
+_TABLES_APART = "doc_id, case when contains(text, '|') then 'tables' else source end as source, coalesce(text, '') as t from documents"
+
 SQL = {
     "op4_host_beta_rules": OP4,
+    "op4_host_beta_rules_tables_apart": OP4.replace("doc_id, source, coalesce(text, '') as t from documents", _TABLES_APART),
     "op6_winnowing_decontamination": OP6,
     "op9_stupid_backoff_scores": OP9,
 }

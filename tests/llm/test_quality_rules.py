@@ -60,3 +60,28 @@ def test_empty_table(docs):
 def test_no_python_in_the_plan(docs, hard_rows):
     plan = q.measure(docs(hard_rows))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_hosts_in_the_priors_upper_tail_are_bad(docs):
+    rates = [1, 1, 2, 1, 2, 1, 1, 2, 1, 2, 1, 2, 1, 1, 2, 1, 2, 1, 1, 12]  # failures in 40
+    rows = [(100 * h + i, long_text(100 * h + i, i < r), f"h{h}") for h, r in enumerate(rates) for i in range(40)]
+    judged = {r["doc_id"]: r["kept"] for r in q.apply_rules(docs(rows)).collect()}
+    assert [k for k, v in sorted(judged.items()) if not v] == [1900 + i for i in range(12)]
+
+
+def test_hosts_that_differ_by_chance_are_not_bad(docs):
+    rows = [(100 * h + i, long_text(100 * h + i, i < 4 + h % 3), f"h{h}") for h in range(12) for i in range(40)]
+    assert q.apply_rules(docs(rows)).where("not kept").count() == 0
+
+
+def test_registered_host_verdicts_change_rows(spark, sf):
+    from quern.llm import queries
+
+    rows = queries.op4_host_beta_rules_tables_apart(spark, sf).where("not kept and not base_failed").count()
+    assert rows > 0
+
+
+def test_stage_keeps_rows_as_they_are(docs):
+    rows = [(None, long_text(1)), (None, None), (1, long_text(2), None), (1, long_text(3)), (1, long_text(3)), (2, "")]
+    left = q.keep_passed(docs(rows, extra=True)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(0, long_text(1)), (1, long_text(2)), (1, long_text(3)), (1, long_text(3))])
