@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import shared_dir, table
 
 
 def byte_bpe_path() -> str:
@@ -70,9 +70,16 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one ledger: the first scans every blob, the second finds none unseen and
+    returns what the ledger has."""
+    import uuid
+
     from .secrets import KINDS, scan, spans_text
 
-    found = scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    ledger = f"{shared_dir(spark)}/quern-secret-ledger-{uuid.uuid4().hex}"
+    scan(docs, ledger)
+    found = scan(docs, ledger)
 
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

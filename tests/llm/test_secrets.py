@@ -47,15 +47,55 @@ def test_only_unseen_pairs_are_scanned(spark, docs, tmp_path):
     assert s.scan(two, ledger).where("size(spans) > 0").count() == 2
     rows = spark.read.parquet(ledger)
     assert rows.count() == 3
-    paths = s.versions(two)
-    assert s.scan_unseen(two, paths, rows).count() == 0
-    assert s.scan_unseen(two, paths, rows, rule_version="next").count() == 2
+    blobs = s.versions(two).select("blob").distinct()
+    assert s.scan_unseen(two, blobs, rows).count() == 0
+    assert s.scan_unseen(two, blobs, rows, rule_version="next").count() == 2
+    three = docs([(1, TEXTS[0]), (5, TEXTS[3]), (6, TEXTS[4]), (7, TEXTS[4])])
+    blobs = s.versions(three).select("blob").distinct()
+    for limit in (0, 100):  # joined, or broadcast
+        assert s.scan_unseen(three, blobs, rows, broadcast_blobs=limit).count() == 2
+
+
+def test_a_task_scans_a_blob_once(monkeypatch):
+    import pyarrow as pa
+
+    seen, find = [], s.find_spans
+    monkeypatch.setattr(s, "find_spans", lambda t: seen.append(t) or find(t))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "a"]), pa.array([TEXTS[0], TEXTS[1], TEXTS[0]])], names=["blob", "text"])
+    rows = [r for out in s._scan_task([batch, batch], "v") for r in out.to_pylist()]
+    assert seen == TEXTS[:2] and [r["blob"] for r in rows] == ["a", "b"]
+
+
+def test_long_secrets_and_long_texts():
+    import time
+
+    body = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIB" * 50_000 + "\n-----END RSA PRIVATE KEY-----"
+    url = "see https://bob:" + "t" * 300 + "@host and x.a+b-c://u:pass@h, HTTP://u:pass@h, ://u:pass@h"
+    assert [x for x in s.find_spans(body) if x[0] == "pem"] == [("pem", 0, len(body))]
+    assert [url[a:b] for k, a, b in s.find_spans(url) if k == "url"] == ["https://bob:" + "t" * 300 + "@", "x.a+b-c://u:pass@"]
+    began = time.perf_counter()
+    for text in ("a." * 300_000, "a.b://" * 100_000, "eyJ-" * 200_000, "-----BEGIN A PRIVATE KEY-----" * 20_000, "x://u:" * 100_000, "xox" * 200_000):
+        s.find_spans(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_many_spans_are_cut_in_one_pass(docs):
+    import time
+
+    text = " ".join(f"token=abcdef{i}" for i in range(60_000))
+    began = time.perf_counter()
+    (row,) = s.redact(docs([(1, text)], parts=1)).collect()
+    assert row["text"] == " ".join(["[secret]"] * 60_000) and row["n_chars"] == len(row["text"]) and time.perf_counter() - began < 60
 
 
 def test_redact(docs):
     rows = [(1, f"a {TEXTS[0]} b"), (2, "clean text"), (3, None), (4, "é🎉 " + TEXTS[2])]
-    table = docs(rows, extra=True)
+    table = docs(rows + [(2, TEXTS[0]), (None, TEXTS[0]), (None, "clean"), (2, TEXTS[0]), (5, "")], extra=True)
     out = s.redact(table)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.where("doc_id is null or doc_id in (2, 5)").collect()) == sorted(
+        [(2, "clean text"), (0, "clean"), (5, ""), *[(i, s.without_spans(TEXTS[0], *zip(*[x[1:] for x in s.find_spans(TEXTS[0])]), "[secret]")) for i in (2, 2, 0)]]
+    )
+    out = out.where("not (doc_id = 2 and n_chars > 15) and not text = ''  or text is null")
     got = {r["doc_id"]: r for r in out.collect()}
     assert out.columns == table.columns and got[2]["text"] == "clean text" and got[3]["text"] is None
     for i in (1, 4):
