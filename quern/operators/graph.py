@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import rank_key
-from ..storage import stage
+from ..storage import discard, stage
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -26,7 +26,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = stage(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
+        last, e = e, stage(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
+        discard(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
