@@ -27,7 +27,7 @@ SEQUENCES_PER_TASK = 1 << 33
 
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-    "sequence_id long, offset long, sequence_tokens int, padded_to int"
+    "sequence_id long, offset long, sequence_tokens int, padded_to int, at_close boolean"
 )
 
 
@@ -122,7 +122,7 @@ def _pack_task(batches: Iterable[pa.RecordBatch], tokenizer: str, capacity: int,
     enc, packer, end = encoder(tokenizer), Packer(capacity), pack_ids([end_id])
     base = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
     done, held = 0, []
-    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int32()), ("padded_to", pa.int32())]
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int32()), ("padded_to", pa.int32()), ("at_close", pa.bool_())]
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def flush() -> pa.RecordBatch:
@@ -131,12 +131,12 @@ def _pack_task(batches: Iterable[pa.RecordBatch], tokenizer: str, capacity: int,
         held = []
         return out
 
-    def keep(window: list) -> None:
+    def keep(window: list, at_close: bool = False) -> None:
         nonlocal done
         at, tokens = 0, sum(len(p[2]) for p in window) // ID_BYTES
         for key, start, ids, total in window:
             n = len(ids) // ID_BYTES
-            row = (key, start, n, zlib.crc32(ids), total, base + done, at, tokens, padded_length(tokens, capacity))
+            row = (key, start, n, zlib.crc32(ids), total, base + done, at, tokens, padded_length(tokens, capacity), at_close)
             held.append(row + (ids,) if with_ids else row)
             at += n
         done += 1
@@ -148,7 +148,7 @@ def _pack_task(batches: Iterable[pa.RecordBatch], tokenizer: str, capacity: int,
             if len(held) >= 4096:
                 yield flush()
     for window in packer.close():
-        keep(window)
+        keep(window, at_close=True)
         if len(held) >= 4096:
             yield flush()
     if held:
@@ -161,7 +161,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     Every id of every document, the end id included, lies in exactly one piece. A null
     text is an empty one (its document is the end id alone); a null id stays null;
     repeated rows are packed once each; an empty table gives no rows; other columns are
-    not looked at. ``with_ids`` adds the piece's ids as little-endian uint32.
+    not looked at. ``with_ids`` adds the piece's ids as little-endian uint32. ``at_close`` marks
+    sequences that were made of what was open when their task ended; their number is bounded
+    by the levels, so their share falls as partitions grow.
     """
     prepare(docs.sparkSession)
 

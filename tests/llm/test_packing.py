@@ -101,3 +101,13 @@ def test_sequences_hold_the_ids(docs, hard_rows):
 
 def test_empty_table(docs):
     assert pack_documents(docs([]), PATH).count() == 0
+
+
+def test_share_made_at_close_falls_with_the_partition(docs):
+    rows = [(i, " ".join(f"word{(i * j) % 811}" for j in range(20 + i * 7919 % 400))) for i in range(1500)]
+
+    def share(parts):
+        found = {(r["sequence_id"], r["at_close"]) for r in pack_documents(docs(rows, parts=parts), PATH).collect()}
+        return sum(c for _, c in found) / len(found)
+
+    assert share(1) < share(8)
