@@ -137,7 +137,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int
 def _statistics_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [statistics(t or b"") for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("u"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "u", "x"])
 
 
 def _score_task(batches: Iterable[pa.RecordBatch], model: FlatTrees) -> Iterator[pa.RecordBatch]:
@@ -152,22 +152,23 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS, **options) -> FlatTrees:
-    """Fit on labelled rows that are not held out, at most ``max_rows`` of them, chosen by
-    a hash of the id. An id labelled more than once counts with its larger label."""
+    """Fit on labelled rows that are not held out, at most ``max_rows`` of them, those least by
+    a hash of id and text. An id labelled more than once counts with its larger label; rows that
+    repeat an id are rows of their own, and of rows that repeat id and text one counts. Null ids,
+    null labels and labels without a document are left out; a null text counts as empty."""
     prepare(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{label_col}`").cast("int").alias("label"))
     known = known.where(F.col("i").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("i"))).groupBy("i").agg(F.max("label").alias("label"))
     n = known.count()
-    if n > max_rows:
-        u = F.xxhash64("i").bitwiseAND((1 << 40) - 1) / F.lit(float(1 << 40))
-        known = known.where(u < 0.97 * max_rows / n).limit(max_rows)
+    if n > max_rows:  # no more ids than rows are wanted, chosen by the same hash everywhere
+        known = known.orderBy(F.xxhash64("i"), "i").limit(max_rows)
     rows = columns_or_null(docs, doc_id=(id_col, "long"), text=(text_col, "binary"))
-    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("i")).select("doc_id", "label", "text")
+    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("i")).select("doc_id", "label", "text", F.xxhash64("doc_id", "text").alias("u"))
     # Texts stay where they are; only statistics come to the driver.
-    got = rows.mapInArrow(_statistics_task, "doc_id long, label int, x array<double>").limit(max_rows).toArrow().sort_by("doc_id")
+    measured = rows.mapInArrow(_statistics_task, "doc_id long, label int, u long, x array<double>").dropDuplicates(["doc_id", "u"])
+    got = measured.orderBy("u", "doc_id").limit(max_rows).toArrow()
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(got.num_rows, len(STATISTICS))
-    order = np.lexsort((x[:, 0], x[:, BYTE_CLASSES.shape[1]], got["doc_id"].to_numpy())) if len(x) else np.empty(0, dtype=int)
-    return fit(x[order], got["label"].to_numpy().astype(float)[order], **options)
+    return fit(x, got["label"].to_numpy().astype(float), **options)
 
 
 def score_documents(docs: DataFrame, model: FlatTrees, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,49 @@ def test_flat_trees_equal_a_walk_and_learn():
     assert ((model.score(z) > 0.5) == truth).mean() > 0.95
 
 
+def brute_fit(x, y, trees, depth, bins, rate, ridge, least_weight):
+    """The same boosting by trying every cut of every statistic on the rows themselves."""
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    margin, out = np.full(len(y), np.log(share / (1 - share))), []
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+
+        def grow(rows, level):
+            if level == depth:
+                return -rate * g[rows].sum() / (h[rows].sum() + ridge)
+            best = (1e-9, None, np.inf)
+            for j, cuts in enumerate(edges):
+                for c in cuts:
+                    left, right = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                    if h[left].sum() >= least_weight and h[right].sum() >= least_weight:
+                        gain = sum(g[r].sum() ** 2 / (h[r].sum() + ridge) for r in (left, right)) - g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, j, c)
+            if best[1] is None:
+                return (0, np.inf, grow(rows, level + 1), 0.0)
+            return (best[1], best[2], grow(rows[x[rows, best[1]] <= best[2]], level + 1), grow(rows[x[rows, best[1]] > best[2]], level + 1))
+
+        def value(tree, row):
+            while isinstance(tree, tuple):
+                tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+            return tree
+
+        tree = grow(np.arange(len(y)), 0)
+        out.append(tree)
+        margin = margin + np.array([value(tree, r) for r in x])
+    return margin
+
+
+def test_histogram_fit_equals_brute_force():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 4))
+    y = ((x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * rng.normal(size=150)) > 0.4).astype(float)
+    options = {"trees": 3, "depth": 3, "bins": 16, "rate": 0.3, "ridge": 1.0, "least_weight": 2.0}
+    assert np.allclose(q.fit(x, y, **options).margin(x), brute_fit(x, y, **options))
+
+
 @pytest.mark.parametrize("y", [[], [1.0, 1.0], [0.0]])
 def test_one_class_or_none_gives_a_constant(y):
     model = q.fit(np.zeros((len(y), len(q.STATISTICS))), np.array(y))
@@ -75,6 +118,8 @@ def test_bound_and_empty(spark, docs):
     rows = [(i, good(i) if i % 2 else bad(i)) for i in range(300)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
     model = q.train(docs(rows), labels, max_rows=50)
+    again = q.train(docs(rows, parts=7), labels.repartition(5), max_rows=50)  # the sample does not depend on partitions
+    assert np.array_equal(model.leaves, again.leaves) and np.array_equal(model.cuts, again.cuts)
     assert q.score_documents(docs([]), model).count() == 0
     assert q.train(docs([]), labels).score(np.zeros((1, len(q.STATISTICS))))[0] == pytest.approx(0.5)
 
