@@ -7,17 +7,21 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import importable, shared_dir, stage
+from ..storage import discard, importable, shared_dir, stage
 
-__all__ = ["columns_or_null", "frequent", "join_spread", "prepare", "shared_dir", "shuffle_partitions", "stage", "table"]
+__all__ = ["columns_or_null", "discard", "frequent", "join_spread", "prepare", "read_bytes", "shared_dir", "shuffle_partitions", "stage", "table"]
 
-#: Rows in one Arrow batch that goes to Python; bounds a worker's memory with long texts.
+#: Rows, and bytes about, of one Arrow batch that goes to Python; they bound a worker's memory with long texts.
 ARROW_ROWS = 512
+ARROW_BYTES = 16 << 20
+#: What the optimizer says of plans whose size it does not know is beyond this.
+_UNKNOWN_BYTES = 1 << 50
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and keep their batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return importable(spark)
 
 
@@ -30,6 +34,15 @@ def shuffle_partitions(spark: SparkSession, rows: int = 0, rows_each: int = 1_00
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_each))
 
 
+def read_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Bytes of ``df``: those of its files where the optimizer knows them (nothing is read then),
+    else those of its texts."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < _UNKNOWN_BYTES:
+        return known
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("binary"))), F.lit(0))).first()[0]
+
+
 def columns_or_null(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
     """Exactly the wanted columns, each as ``new_name=(column, type)``; other columns go,
     so names that clash with an operator's own do no harm."""

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import columns_or_null, prepare, shuffle_partitions, shared_dir
+from ._store import columns_or_null, prepare, read_bytes, shared_dir, shuffle_partitions
 from ._tokens import ID_BYTES, encoder, pack_ids
 
 MAGIC = b"QRNS"
@@ -34,6 +34,8 @@ LANES = 2048
 BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 128
 SEGMENT_TOKENS = 1 << 22
+#: Bytes of input, as stored, for each range of ids; a range is a task and some segments.
+RANGE_BYTES = 64 << 20
 #: magic, version, scale bits, documents, ids, symbols, blocks.
 _HEAD = struct.Struct("<4sHHQQII")
 #: ids, lanes, words, checkpoints.
@@ -212,7 +214,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     Parquet table, so any store that Spark writes to will do."""
     spark = prepare(docs.sparkSession)
     rows = columns_or_null(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    parts = shuffle_partitions(spark, read_bytes(docs, text_col), RANGE_BYTES)
+    rows = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     files = rows.select("doc_id", "text").mapInArrow(lambda b: _encode_task(b, tokenizer, end_id, segment_tokens), FILE_SCHEMA)
     files.write.option("compression", "uncompressed").parquet(path)
 
@@ -234,6 +237,7 @@ def _decode_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_index(spark, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, decoded from the files."""
     prepare(spark)
+    # A payload is a few MB, and a batch of ARROW_BYTES holds a few of them.
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     # Ids before each part: one number for each partition that was written.
     before, base = [], 0

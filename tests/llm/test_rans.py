@@ -71,5 +71,13 @@ def test_files_of_documents(spark, docs, hard_rows, tmp_path, segment_tokens):
     assert not any(want.values())
 
 
+def test_ranges_follow_the_input(docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(rans, "RANGE_BYTES", 200)
+    table = docs([(i, f"text {i} with a few words") for i in range(200)])
+    rans.write_token_files(table, str(tmp_path / "files"), PATH)
+    parts = table.sparkSession.read.parquet(str(tmp_path / "files")).select("part").distinct().count()
+    assert parts > 4  # the session's number of partitions
+
+
 def test_empty(docs):
     assert rans.round_trip(docs([]), PATH).count() == 0
