@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components, local_components
-from ._store import columns_or_null, frequent, join_spread, prepare, shuffle_partitions, stage
+from ._store import columns_or_null, discard, frequent, join_spread, prepare, shuffle_partitions, stage
 
 FINGERPRINT_BITS = 64
 SHINGLE_SEED = 42
@@ -53,6 +53,8 @@ TEXT_BYTES = 4_000_000
 SAMPLE_ROWS = 20_000
 HOT_TEXTS = 5
 HOT_GRAMS = 100_000
+#: Texts of candidates are found by a broadcast of up to so many of their ids, else by a join.
+BROADCAST_NODES = 200_000
 #: Rounds in which a text is checked with one other, before all pairs that are left.
 STAR_ROUNDS = 2
 _ROUNDING = 1e-9
@@ -445,14 +447,20 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "gram")).select("gram", "node", "n", "at")
     entries = entries.repartition(shuffle_partitions(spark, grams), "gram")
     shared = stage(entries.mapInArrow(_shared_task, "gram long, node long, n int, at int"), "shared-grams")
-    wanted = shared.select("node").distinct().join(nodes.select("node", "stands.*"), "node").select("node", F.col("doc_id").alias("_id"), F.col("b").alias("_b")).hint("shuffle_hash")
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"]) & rows["b"].eqNullSafe(wanted["_b"])).select("node", "text")
-    texts = stage(texts, "candidate-texts")
 
     def checked(pairs: DataFrame) -> DataFrame:
+        """The similar ones of ``pairs``; only their own texts are brought together."""
+        pairs = stage(pairs, "candidate-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = stage(nodes.select("node", "stands").join(ends, "node").select("node", F.col("stands.doc_id").alias("_id"), F.col("stands.b").alias("_b")), "wanted-texts")
+        few = wanted.count() <= BROADCAST_NODES
+        texts = rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(wanted["_id"]) & rows["b"].eqNullSafe(wanted["_b"]))
+        texts = stage(texts.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-        return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: _check_task(x, shingle_words, similarity), "a long, b long"), "similar-pairs")
+        out = stage(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: _check_task(x, shingle_words, similarity), "a long, b long"), "similar-pairs")
+        discard(pairs, wanted, texts)
+        return out
 
     def labelled(found: DataFrame, roots: DataFrame | None) -> DataFrame:
         if roots is None:
@@ -488,7 +496,9 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
     known = labelled(nodes.select("node", "stands"), roots)
     least = known.groupBy("root").agg(F.min("stands").alias("stands"))
     named = stage(known.drop("stands").join(least, "root").select("node", "stands"), "named-sets")
-    return join_spread(sets.select("doc_id", "b", "node"), named, "node", frequent(nodes, "node")).select("doc_id", "b", "stands")
+    hot = stage(frequent(nodes, "node"), "frequent-sets")
+    discard(nodes, shared)
+    return join_spread(sets.select("doc_id", "b", "node"), named, "node", hot).select("doc_id", "b", "stands")
 
 
 def keep_one_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
