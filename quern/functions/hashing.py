@@ -67,3 +67,13 @@ def set_digest(value: Column) -> Column:
     """Aggregate: an order-free digest of a whole table's values, for tables whose values
     do not fit one row: the sum and the count of 64-bit hashes."""
     return F.concat_ws(":", F.sum(F.xxhash64(value).cast("decimal(38,0)")).cast("string"), F.count(value).cast("string"))
+
+
+def record_digest(*values: Column | str) -> Column:
+    """SHA-256 of a row's values as texts, tab-joined; null is empty."""
+    return F.sha2(F.concat_ws("\t", *[F.coalesce(_text(v), F.lit("")) for v in values]), 256)
+
+
+def row_sum(*values: Column | str) -> Column:
+    """Aggregate: an order-free digest of rows, the sum of the first 12 hex digits of their digests."""
+    return F.sum(F.conv(F.substring(record_digest(*values), 1, 12), 16, 10).cast("long"))

@@ -100,3 +100,85 @@ class JsonObjects:
         if text is not None:
             for i, x in enumerate(objects(json.loads(text))):
                 yield i, json.dumps(x, sort_keys=True)
+
+
+def replaced_strings(target: str, replacement: str):
+    """A column function that replaces a text inside every string value of a JSON text."""
+    def change(x: object) -> object:
+        if isinstance(x, dict):
+            return {k: change(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [change(v) for v in x]
+        return x.replace(target, replacement) if isinstance(x, str) else x
+
+    @pandas_udf(T.StringType())
+    def replace(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else json.dumps(change(json.loads(x)), sort_keys=True))
+
+    return replace
+
+
+#: Fields of a page's clip or song object that make up its flat record.
+CLIP_FIELDS = ("generator_version", "model_name", "created_at", "creator_handle", "creator_id", "status", "duration_seconds", "error")
+SONG_FIELDS = ("song_id", "creator_id", "artist", "created_at", "published_at", "generator_version", "generation_id", "duration_seconds", "error")
+
+
+def _one_record(found: list[dict], what: str) -> dict:
+    if not found:
+        return {"error": f"no {what} object of this id"}
+    if any(x != found[0] for x in found[1:]):
+        return {"error": f"conflicting {what} objects"}
+    return found[0]
+
+
+def clip_record(items: list[dict], media_id: str) -> dict:
+    """The one record of the clip objects with this id that name a model; what the objects or a
+    version and its badge say differently is an error."""
+    found = []
+    for clip in items:
+        if clip.get("id") != media_id or not any(k in clip for k in ("major_model_version", "model_version", "model_name")):
+            continue
+        meta = clip.get("metadata") or {}
+        version = clip.get("major_model_version") or clip.get("model_version")
+        badge = ((meta.get("model_badges") or {}).get("songcard") or {}).get("display_name")
+        if badge and version and badge != version:
+            return {"error": "conflicting version evidence"}
+        found.append({
+            "generator_version": version, "model_name": clip.get("model_name"), "created_at": clip.get("created_at"), "creator_handle": clip.get("handle"),
+            "creator_id": clip.get("user_id"), "status": clip.get("status"), "duration_seconds": meta.get("duration"),
+        })
+    return _one_record(found, "clip")
+
+
+def song_record(items: list[dict], media_id: str) -> dict:
+    """The one record of the song objects whose paths hold this id as a whole part."""
+    def linked(song: dict) -> bool:
+        paths = (song.get(k) for k in ("song_path", "video_path", "original_song_path"))
+        return "generation_id" in song and any(isinstance(p, str) and media_id in p.split("?")[0].split("#")[0].split("/") for p in paths)
+
+    found = [
+        {
+            "song_id": x.get("id"), "creator_id": x.get("user_id"), "artist": x.get("artist"), "created_at": x.get("created_at"), "published_at": x.get("published_at"),
+            "generator_version": x.get("model_version") or x.get("modelVersion"), "generation_id": x.get("generation_id"), "duration_seconds": x.get("duration"),
+        }
+        for x in items if linked(x)
+    ]
+    return _one_record(found, "song")
+
+
+def record_of(kind: str):
+    """A column function of a JSON list of objects and an id: the flat record, all fields as texts."""
+    fields, read = (CLIP_FIELDS, clip_record) if kind == "clip" else (SONG_FIELDS, song_record)
+
+    @pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+    def record(items: pd.Series, ids: pd.Series) -> pd.DataFrame:
+        made = [read(list(objects(json.loads(x))), i) for x, i in zip(items, ids)]
+        return pd.DataFrame([{f: None if r.get(f) is None else str(r[f]) for f in fields} for r in made], columns=fields, dtype=object)
+
+    return record
+
+
+@pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def string_map(s: pd.Series) -> pd.Series:
+    """A JSON object of texts as a map; a key that it names twice is an error."""
+    return s.map(lambda x: None if x is None else {str(k): str(v) for k, v in json.loads(x, object_pairs_hook=unique_pairs).items()})

@@ -109,3 +109,46 @@ def percent_text(k: Column, n: Column) -> Column:
 def fixed_text(x: Column | str, digits: int) -> Column:
     """A number with so many digits; ``--`` for null."""
     return F.coalesce(F.format_string(f"%.{digits}f", _col(x)), F.lit("--"))
+
+
+def looks_like_page(head: Column | str) -> Column:
+    """Whether the first bytes of a file are those of a web page, not of its declared type."""
+    return F.lower(F.ltrim(F.substring(_col(head), 1, 256))).rlike("^(<!doctype html|<html)")
+
+
+def padded(size: Column | str, block: int = 512) -> Column:
+    """A size filled up to whole blocks."""
+    return (F.floor((_col(size) + (block - 1)) / block) * block).cast("long")
+
+
+def record_end(data_offset: Column | str, size: Column | str) -> Column:
+    """End of an archive record: behind its padded data."""
+    return _col(data_offset) + padded(size)
+
+
+def shard_stem(name: Column | str) -> Column:
+    return F.regexp_replace(base_name(name), r"\.tar$", "")
+
+
+def shard_url(base: str, repo: Column, revision: Column, name: Column) -> Column:
+    """Address of a shard; each part of its name is escaped."""
+    escaped = F.array_join(F.transform(F.split(name, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/")
+    return F.concat_ws("/", F.lit(base.rstrip("/")), repo, F.lit("resolve"), revision, escaped)
+
+
+def report_path(model: Column, name: str = "leak_report") -> Column:
+    """Where a model's report lies: without a model the plain name."""
+    return F.when(model.isNull() | (model == ""), F.lit(f"reports/{name}.json")).otherwise(F.concat(F.lit(f"reports/{name}_"), model, F.lit(".json")))
+
+
+def destination(root: str, name: Column | str) -> Column:
+    """A path below ``root``; null for a name that would leave it."""
+    return F.when(safe_relative_path(name), F.concat(F.lit(root.rstrip("/") + "/"), _col(name)))
+
+
+def demo_urls(page: Column | str, section: str, extension: str = "html") -> Column:
+    """Distinct addresses in the page from the first mark of a section on."""
+    text = _col(page)
+    at = F.locate(section, text)
+    body = F.when(at > 0, F.substring(text, at, F.length(text))).otherwise("")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(body, F.lit(r"href=\"([^\"#?]+)\""), 1)))

@@ -112,3 +112,31 @@ def preferred_match(rows: DataFrame, links: DataFrame, on: str, owner: str, orde
     matched = rows.join(links, [on, owner]).withColumn("_p", rank)
     first = F.row_number().over(Window.partitionBy(owner).orderBy("_p", on))
     return matched.withColumn("_f", first).where("_f = 1").drop("_p", "_f")
+
+
+def of_values(rows: DataFrame, column: str, allowed: list) -> DataFrame:
+    """Rows whose value is in a list; null is not."""
+    return rows.where(F.col(column).isin(*allowed))
+
+
+def disjoint(rows: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
+    """Rows that share none of the keys with any held row."""
+    return reduce(lambda left, k: left.join(held.select(k).distinct(), k, "left_anti"), keys, rows)
+
+
+def common_pairs(first: DataFrame, second: DataFrame, on: str, value: str = "prob") -> DataFrame:
+    """Rows that both models scored, with ``value`` of the first and ``other`` of the second."""
+    other = second.where(F.col(value).isNotNull()).select(on, F.col(value).alias("other"))
+    return first.where(F.col(value).isNotNull()).join(other, on)
+
+
+def stem_matches(rows: DataFrame, training: DataFrame, stem: str, allowed) -> DataFrame:
+    """Rows and training rows of one stem, but for pairs that ``allowed`` excuses."""
+    return rows.join(training, stem).where(~allowed)
+
+
+def attached_field(rows: DataFrame, fields: DataFrame, on: str, field: str) -> DataFrame:
+    """Rows with a boolean field of another table; a row without it is an error."""
+    both = rows.drop(field).join(fields.select(on, field), on, "left")
+    lost = F.raise_error(F.concat(F.lit(f"no {field} for "), F.col(on).cast("string"))).cast("boolean")
+    return both.withColumn(field, F.coalesce(field, lost))

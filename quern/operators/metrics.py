@@ -192,3 +192,14 @@ def parity(pairs: DataFrame, got: str, want: str, tolerance: float, cut: float =
     """Adds the absolute error, whether the call flips, and whether the error is tolerated."""
     error = F.abs(F.col(got) - F.col(want))
     return pairs.select("*", error.alias("abs_error"), ((F.col(got) >= cut) != (F.col(want) >= cut)).alias("flip"), (error <= tolerance).alias("within"))
+
+
+def called(prob: str = "prob", cut: float = 0.5, decision: Column | None = None) -> Column:
+    """Whether a row is called: its explicit decision if it has one, else its probability at the cut."""
+    by_score = F.col(prob) >= cut
+    return by_score if decision is None else F.coalesce(decision, by_score)
+
+
+def two_conditions(prob: str, rescue: str, cut: float = 0.225, rescue_cut: float = 0.02) -> Column:
+    """The operating decision of a score and a second one; null unless both are there."""
+    return (F.col(prob) >= cut) & (F.col(rescue) >= rescue_cut)

@@ -60,3 +60,24 @@ def remapped(rows: DataFrame, ids: DataFrame, key: str = "track_id") -> DataFram
 def keyed(rows: DataFrame, fields: list[str], model: str) -> DataFrame:
     """Copies of the fields under a model's name; older copies are replaced."""
     return rows.drop(*[f"{f}_{model}" for f in fields]).withColumns({f"{f}_{model}": F.col(f) for f in fields})
+
+
+def evidence(*choices: tuple[Column, Column], missing: str) -> Column:
+    """The value of the first choice ``(condition, value)`` that holds and is not null."""
+    return F.coalesce(*[F.when(c, v) for c, v in choices], F.lit(missing))
+
+
+def transport_cases(rows: DataFrame, key: str, views: list[str]) -> DataFrame:
+    """``id`` of every view of every row, ``key--view``; a repeated key is an error."""
+    once = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    name = F.when(F.col("_n") == 1, F.col(key).cast("string")).otherwise(F.raise_error(F.concat(F.lit("repeated key: "), F.col(key).cast("string"))).cast("string"))
+    view = F.explode(F.array(*[F.lit(v) for v in views])).alias("view")
+    return once.select(key, name.alias("_name"), view).select(key, "view", F.concat_ws("--", "_name", "view").alias("id"))
+
+
+def part_label(seen: Column) -> Column:
+    return F.when(seen, "seen").otherwise("unseen")
+
+
+def source_name(group: Column, prefix: str = "set_") -> Column:
+    return F.concat(F.lit(prefix), group)

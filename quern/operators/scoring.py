@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import multiprocessing
+import random
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.hashing import record_seed
 from ..storage import importable
 
 
@@ -85,3 +89,74 @@ def score_rows(rows: DataFrame, scorer: str, key: str, key_type: str = "long", *
     factory = REGISTRY[scorer]
     out = rows.mapInPandas(lambda b: _scored(b, lambda: factory(**options), key), f"{key} {key_type}, prob double, stage string, error string")
     return out.selectExpr(key, "nanvl(prob, null) as prob", "stage", "error")
+
+
+SEED_PREFIX = "260905:"
+ISOLATED = "prob double, outcome string, error_type string, error string"
+
+
+def entry_seed(key: Column) -> Column:
+    """The random seed of a record, from its id alone."""
+    return record_seed(F.concat(F.lit(SEED_PREFIX), key.cast("string")))
+
+
+def timeout_error(seconds: float) -> str:
+    return f"isolated worker exceeded fixed {seconds:g}-second wall-clock limit"
+
+
+def _one_record(pipe, make: Callable[[], Scorer], row: pd.DataFrame, seed: int) -> None:
+    """What a worker process does: read the input, then score it, and say which of the two failed."""
+    random.seed(seed)
+    np.random.seed(seed % 2**32)
+    stage = "input_execution_error"
+    try:
+        scorer = make()
+        scorer.load()
+        if hasattr(scorer, "read"):
+            row = scorer.read(row)
+        stage = "model_execution_error"
+        (p,) = np.asarray(scorer.score(row), dtype=float)
+        if not (np.isfinite(p) and 0 <= p <= 1):
+            raise ValueError("probability is not a finite number in [0, 1]")
+        pipe.send((float(p), "scored", None, None))
+    except Exception as e:
+        pipe.send((None, stage, type(e).__name__, str(e)))
+    finally:
+        pipe.close()
+
+
+def run_isolated(make: Callable[[], Scorer], row: pd.DataFrame, seed: int, seconds: float) -> tuple:
+    """``(prob, outcome, error_type, error)`` of one record in a process of its own. A worker beyond
+    the wall-clock limit is ended and gives a failure, as does one that dies."""
+    here, there = multiprocessing.get_context("fork").Pipe(duplex=False)
+    worker = multiprocessing.get_context("fork").Process(target=_one_record, args=(there, make, row, seed), daemon=True)
+    worker.start()
+    there.close()
+    try:
+        if not here.poll(seconds):
+            return None, "model_execution_error", "TimeoutExpired", timeout_error(seconds)
+        return here.recv()
+    except EOFError:
+        return None, "model_execution_error", "WorkerDied", "the worker ended without a result"
+    finally:
+        if worker.is_alive():
+            worker.kill()
+        worker.join()
+        here.close()
+
+
+def score_isolated(rows: DataFrame, scorer: str, key: str, seconds: float, key_type: str = "long", **options) -> DataFrame:
+    """``(key, seed, prob, outcome, error_type, error)`` of every row, each in a fresh process with
+    its own seed and a wall-clock limit; no row's failure costs another."""
+    importable(rows.sparkSession)
+    factory = REGISTRY[scorer]
+    named = rows.withColumn("_seed", entry_seed(F.col(key)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [run_isolated(lambda: factory(**options), batch.iloc[i : i + 1].drop(columns="_seed"), int(batch["_seed"].iloc[i]), seconds) for i in range(len(batch))]
+            made = pd.DataFrame(out, columns=["prob", "outcome", "error_type", "error"])
+            yield pd.concat([batch[[key]].reset_index(drop=True), batch[["_seed"]].rename(columns={"_seed": "seed"}).reset_index(drop=True), made], axis=1)
+
+    out = named.mapInPandas(run, f"{key} {key_type}, seed long, {ISOLATED}")
+    return out.selectExpr(key, "seed", "nanvl(prob, null) as prob", "outcome", "error_type", "error")

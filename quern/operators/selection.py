@@ -150,3 +150,25 @@ def budget_fill(rows: DataFrame, tiers: list[dict[str, int]], budget: int, group
 
     chosen = queue.coalesce(1).sortWithinPartitions("_tier", "_turn", "g").select("path", "size").mapInPandas(fill, "path string")
     return rows.join(chosen.withColumnRenamed("path", path), path, "left_semi")
+
+
+def preference_order(rows: DataFrame, groups: list[str], preferred: Column, *then: str) -> DataFrame:
+    """``place`` of each row in its group: preferred rows first, then by the other columns."""
+    order = Window.partitionBy(*groups).orderBy(F.when(preferred, 0).otherwise(1), *then)
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def lossless_eligible(partition: Column, codec: Column, legacy: str = "legacy") -> Column:
+    """Rows of the legacy partition whose codec is linear PCM or FLAC."""
+    return (partition == legacy) & (codec.startswith("pcm_") | (codec == "flac"))
+
+
+def before_date(day: Column, cut: str) -> Column:
+    """Whether a date text is before a cut; without a date it is."""
+    return F.coalesce(day, F.lit("")) < cut
+
+
+def hash_shuffled(rows: DataFrame, key: str, seed: str, groups: list[str] | None = None) -> DataFrame:
+    """``place`` of each row of its group in an order that a seed draws."""
+    order = Window.partitionBy(*(groups or [F.substring(rank_key(key, seed), 1, 3)])).orderBy(rank_key(key, seed))
+    return rows.withColumn("place", F.row_number().over(order))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import percentile, ratio, upper_median, wilson
@@ -156,3 +156,27 @@ def worst_sources(summary: DataFrame, source: str = "source") -> DataFrame:
         F.min("tpr").alias("min_tpr"), F.min(F.when(F.col("tpr").isNotNull(), F.struct("tpr", source)))[source].alias("min_tpr_source"),
         F.max("fpr").alias("max_fpr"), F.min(F.when(F.col("fpr").isNotNull(), F.struct((-F.col("fpr")).alias("f"), F.col(source).alias("s"))))["s"].alias("max_fpr_source"),
     )
+
+
+def group_sizes(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def release_counters(rows: DataFrame, by: list[str], groups: list[str]) -> DataFrame:
+    """Rows and distinct groups of each cell of a release."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(g).alias(f"{g}s") for g in groups])
+
+
+def index_totals(members: DataFrame, shard: str, path: str, size: str) -> DataFrame:
+    """Members, distinct paths and bytes of each shard of an index."""
+    return members.groupBy(F.col(shard).alias("shard")).agg(F.count(F.lit(1)).alias("files"), F.count_distinct(path).alias("paths"), F.sum(size).cast("long").alias("bytes"))
+
+
+def ranking(rows: DataFrame, value: str, tie: str) -> DataFrame:
+    """``place`` of each row by a value, descending, ties in the order of ``tie``. Places come from
+    running counts of the distinct values, so no task orders the whole table."""
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    above = from_the_top(counts, [], value, ["n"]).select(F.col(value).alias("_v"), (F.col("cum_n") - F.col("n")).alias("_above"))
+    inside = F.row_number().over(Window.partitionBy(value).orderBy(tie))
+    placed = rows.withColumn("_at", inside).join(above, F.col(value) == F.col("_v"))
+    return placed.withColumn("place", (F.col("_above") + F.col("_at")).cast("int")).drop("_at", "_v", "_above")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import rank_key
+from ..functions.nested import string_map
 from ..functions.texts import fold_text, leading_number
 from ..functions.urls import identity_kind
 
@@ -132,3 +135,61 @@ def read_lineage(spark: SparkSession, paths: list[str]) -> DataFrame:
             named = rows.select(F.explode(values).alias("v")).select(F.lit(path).alias("manifest"), identity_kind("v").alias("k")).where("k is not null")
             parts.append(named.select("manifest", F.substring_index("k", ":", 1).alias("kind"), F.substring_index("k", ":", -1).alias("id")))
     return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def write_manifest(rows: DataFrame, path: str, name: str = "bench", order: str = "track_id") -> None:
+    """One JSON document with the rows under ``name``, in order; for lists that a single document holds."""
+    ordered = F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order])))
+    rows.agg(F.to_json(F.struct(ordered.alias(name)), {"ignoreNullFields": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_rows(rows: DataFrame, path: str, order: str = "track_id") -> None:
+    """One JSON list of the rows, in order, as score and failure files are."""
+    ordered = F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order])))
+    rows.agg(F.to_json(ordered, {"ignoreNullFields": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Scores and failures of a run's folder, with no need of its manifest."""
+    return read_scores(spark, f"{folder}/track_probs.json"), read_failures(spark, f"{folder}/inference_failures.json")
+
+
+def read_results(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Scores of several runs with their ``model``; a run that is not there is left out."""
+    parts = []
+    for model, path in paths.items():
+        try:
+            parts.append(read_scores(spark, path).withColumn("model", F.lit(model)))
+        except AnalysisException:
+            continue
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], T.StructType([*SCORES.fields, T.StructField("model", T.StringType())]))
+
+
+def read_frozen(local: DataFrame, public: DataFrame, fields: list[str], key: str = "id", seed: str = "260905") -> DataFrame:
+    """Local rows of a frozen release with their place in rank order. A row that only one side has,
+    or that differs in a field, is an error."""
+    theirs = public.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_p_{f}") for f in fields])
+    both = local.join(theirs, F.col(key) == F.col("_k"), "full_outer")
+    same = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"_p_{f}")) for f in fields], F.col(key).isNotNull() & F.col("_k").isNotNull())
+    checked = F.when(same, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("local and public rows differ: "), F.coalesce(F.col(key), F.col("_k")).cast("string"))).cast("string"))
+    rows = both.withColumn(key, checked.cast(local.schema[key].dataType)).select(*local.columns)
+    return rows.withColumn("rank", rank_key(key, seed))
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, path)`` of a JSON object; a key that is named twice is an error."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(string_map("value")).alias("id", "path"))
+
+
+def identity_sets(lineage: DataFrame) -> DataFrame:
+    """``(kind, n)`` distinct identities of each kind over all manifests."""
+    return lineage.groupBy("kind").agg(F.count_distinct("id").alias("n"))
+
+
+def read_references(spark: SparkSession, config: dict) -> DataFrame:
+    """``(kind, id)`` of training references: a pool of id lists by kind, or lineage manifests."""
+    if "lineage" in config:
+        return read_lineage(spark, config["lineage"]).select("kind", "id").distinct()
+    parts = [read_id_list(spark, path).select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id")) for kind, path in config["pool"].items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.texts import leading_number
+
 MEMBERS = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("type", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()),
     T.StructField("data_offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType()),
@@ -84,3 +86,26 @@ class TarMembers(DataSource):
 def read_tar_members(spark: SparkSession, paths: list[str]) -> DataFrame:
     spark.dataSource.register(TarMembers)
     return spark.read.format("tar_members").option("paths", ",".join(paths)).load()
+
+
+def files_by_id(files: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """``(id, path)`` of listed files whose name starts with a number; the first path of an id wins,
+    and with ``folders`` only files that lie directly in one of them count."""
+    folder = F.element_at(F.split("path", "/"), -2)
+    rows = files.withColumn("id", leading_number("name")).where("id is not null")
+    return (rows.where(folder.isin(*folders)) if folders is not None else rows).groupBy("id").agg(F.min("path").alias("path"))
+
+
+def sizes_by_stem(files: DataFrame) -> DataFrame:
+    return files.groupBy("stem").agg(F.max("size").alias("size"))
+
+
+def write_index(members: DataFrame, path: str, shard: str = "shard") -> None:
+    """A folder of JSON lines for each shard; Spark's ``_SUCCESS`` tells a whole one, and writing
+    a shard again replaces it."""
+    members.repartition(shard).write.mode("overwrite").partitionBy(shard).json(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Append rows to a folder of JSON lines; a batch appears whole or not at all."""
+    rows.write.mode("append").json(path)

@@ -6,12 +6,14 @@ restarted query neither repeats nor skips a record.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -63,3 +65,43 @@ def breaker(stream: DataFrame, key: str, failed: str, order: str, most: int = 5)
         yield pd.DataFrame({"key": [k[0]], "seen": [seen], "failures": [run], "open": [is_open]})
 
     return rows.groupBy("key").applyInPandasWithState(step, BREAKER, "seen long, failures long, open boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and return its rows, or of an updated result the last row
+    of each key (its first column). Rows go to a folder for each batch, not to the driver."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(path)
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        return rows.join(F.broadcast(rows.agg(F.max("batch").alias("_last"))), F.col("batch") == F.col("_last")).drop("batch", "_last")  # one row
+    key, *rest = stream.columns
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
+
+
+class Progress(StreamingQueryListener):
+    """Notes batches and rows of every running query; ``report`` is called at most once in ``seconds``."""
+
+    def __init__(self, report=print, seconds: float = 60.0):
+        self.report, self.seconds, self.rows, self.batches, self._last = report, seconds, 0, 0, 0.0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        self.batches += 1
+        if time.monotonic() - self._last >= self.seconds:
+            self._last = time.monotonic()
+            self.report(f"{self.batches} batches, {self.rows} rows")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.report(f"{self.batches} batches, {self.rows} rows")
