@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import multiprocessing
 import random
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -59,6 +60,24 @@ class TextShapeScorer:
         return np.array([share(t) for t in batch[self.column]])
 
 
+@register("slow_or_broken")
+class SlowOrBrokenScorer:
+    """For tests of isolation: rows with ``k`` 3 never end and rows with ``k`` 4 have no input."""
+
+    def load(self) -> None:
+        pass
+
+    def read(self, row: pd.DataFrame) -> pd.DataFrame:
+        if (row["k"] == 4).any():
+            raise OSError("no input")
+        return row
+
+    def score(self, batch: pd.DataFrame) -> np.ndarray:
+        while (batch["k"] == 3).any():
+            time.sleep(0.1)
+        return np.full(len(batch), 0.5)
+
+
 def _scored(batches: Iterator[pd.DataFrame], make: Callable[[], Scorer], key: str) -> Iterator[pd.DataFrame]:
     scorer = make()
     scorer.load()

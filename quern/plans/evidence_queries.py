@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing, intervals, texts
-from ..operators import bootstrap, constraints, graph, joins, metrics, pairs, projections, selection, similarity
+from ..operators import bootstrap, constraints, graph, joins, metrics, pairs, projections, selection, similarity, summaries
 from . import runs
 from .base import cohort, cohort_sql, rounded, table
 from .catalog import query
@@ -20,8 +20,8 @@ O = cohort_sql("other", "260906")
 
 @query("j04_pairwise_common", f"with {C}, {O} select a.source, count(*) as n, round(avg(a.prob - b.prob), 9) as mean_difference from cohort a join other b using (track_id) where a.prob is not null and b.prob is not null group by a.source")
 def j04(spark, sf):
-    a, b = cohort(spark, sf).where("prob is not null"), cohort(spark, sf, "260906").where("prob is not null").select("track_id", F.col("prob").alias("q"))
-    return rounded(a.join(b, "track_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("prob") - F.col("q")).alias("mean_difference")))
+    both = joins.common_pairs(cohort(spark, sf), cohort(spark, sf, "260906"), "track_id")
+    return rounded(both.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("prob") - F.col("other")).alias("mean_difference")))
 
 
 LEDGER = """p as (select o_orderkey::varchar as path, o_custkey as size from orders where o_orderstatus = 'F'),
@@ -42,7 +42,7 @@ select doc_id, other from e join t using (stem) where source = other_source""")
 def j09(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", (F.col("n_chars") % 500).alias("stem"))
     train = docs.where("lang <> 'en'").select(F.col("doc_id").alias("other"), F.col("source").alias("other_source"), "stem")
-    return docs.where("lang = 'en'").join(train, "stem").where("source = other_source").select("doc_id", "other")
+    return joins.stem_matches(docs.where("lang = 'en'"), train, "stem", F.col("source") != F.col("other_source")).select("doc_id", "other")
 
 
 @query("j14_c39_digest_checked_join", """with a as (select doc_id as key, sha256(text) as d from documents where lang <> 'fr'), b as (select doc_id as key, case when source = 'src3' then 'x' else sha256(text) end as d from documents where lang <> 'de')
@@ -94,7 +94,7 @@ def j29(spark, sf):
 @query("p02_coalesced_evidence", "select doc_id, coalesce(case when doc_id % 2 = 0 then lang end, case when doc_id % 3 = 0 then source end, 'none') as evidence from documents")
 def p02(spark, sf):
     i = F.col("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.when(i % 2 == 0, F.col("lang")), F.when(i % 3 == 0, F.col("source")), F.lit("none")).alias("evidence"))
+    return table(spark, sf, "documents").select("doc_id", projections.evidence((i % 2 == 0, F.col("lang")), (i % 3 == 0, F.col("source")), missing="none").alias("evidence"))
 
 
 @query("p12_evaluation_view", f"with {C} select track_id, '/data/' || source || '/' || track_id as runtime_path from cohort where split = 'test'")
@@ -119,14 +119,13 @@ def p21(spark, sf):
 @query("p23_attached_field", f"with {C} select c.track_id, d.n_chars > 1000 as long from cohort c join documents d on d.doc_id = c.track_id")
 def p23(spark, sf):
     field = table(spark, sf, "documents").select(F.col("doc_id").alias("track_id"), (F.col("n_chars") > 1000).alias("long"))
-    both = cohort(spark, sf).select("track_id").join(field, "track_id", "left")
-    return both.withColumn("long", F.coalesce("long", F.raise_error(F.lit("a row has no such field")).cast("boolean")))
+    return joins.attached_field(cohort(spark, sf).select("track_id"), field, "track_id", "long")
 
 
 @query("p24_transport_cases", "select user_id || '--' || v as id from (select distinct user_id from events), unnest(['float', 'pcm16', 'mp3']) t(v)")
 def p24(spark, sf):
     cases = table(spark, sf, "events").select("user_id").distinct()
-    return cases.select(F.explode(F.transform(F.array(F.lit("float"), F.lit("pcm16"), F.lit("mp3")), lambda v: F.concat_ws("--", F.col("user_id").cast("string"), v))).alias("id"))
+    return projections.transport_cases(cases, "user_id", ["float", "pcm16", "mp3"]).select("id")
 
 
 @query("p27_wide_fpr", f"""with {C}, s as (select source, split, round(avg((prob >= 0.5)::int), 9) as r from cohort where prob is not null and label = 0 group by source, split)
@@ -138,9 +137,11 @@ def p27(spark, sf):
 
 # --- filters ---------------------------------------------------------------------
 
-@query("f07_lossless_eligibility", "select doc_id from documents where lang = 'en' and (source like 'src1%' or source = 'src5')")
+@query("f07_lossless_eligibility", "select event_id from events where event_type = 'view' and (user_id % 4 = 0 or user_id % 4 = 1)")
 def f07(spark, sf):
-    return table(spark, sf, "documents").where((F.col("lang") == "en") & (F.col("source").startswith("src1") | (F.col("source") == "src5"))).select("doc_id")
+    k = F.col("user_id") % 4
+    codec = F.when(k == 0, F.concat(F.lit("pcm_s"), "user_id")).when(k == 1, "flac").otherwise("mp3")
+    return table(spark, sf, "events").where(selection.lossless_eligible(F.col("event_type"), codec, "view")).select("event_id")
 
 
 @query("f16_audio_names", "select o_orderkey, o_orderkey % 3 <> 0 as audio from orders")
@@ -150,22 +151,21 @@ def f16(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", texts.is_audio(name).alias("audio"))
 
 
-@query("f19_disguised_pages", r"select page_id, regexp_matches(lower(left(ltrim(html), 15)), '^(<!doctype html|<html)') as is_page from pages")
+@query("f19_disguised_pages", r"select page_id, regexp_matches(lower(ltrim(left(html, 256))), '^(<!doctype html|<html)') as is_page from pages")
 def f19(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.lower(F.substring(F.ltrim("html"), 1, 15)).rlike("^(<!doctype html|<html)").alias("is_page"))
+    return table(spark, sf, "pages").select("page_id", texts.looks_like_page("html").alias("is_page"))
 
 
-@query("f25_c40_explicit_decisions", f"with {C} select track_id, coalesce(case when toxic = 1 then true end, prob >= 0.5) as called from cohort where prob is not null")
+@query("f24_f25_explicit_decisions", f"with {C} select track_id, coalesce(case when toxic = 1 then true end, prob >= 0.5) as called from cohort where prob is not null")
 def f25(spark, sf):
     decision = F.when(F.col("toxic") == 1, True)
-    return cohort(spark, sf).where("prob is not null").select("track_id", F.coalesce(decision, F.col("prob") >= 0.5).alias("called"))
+    return cohort(spark, sf).where("prob is not null").select("track_id", metrics.called("prob", 0.5, decision).alias("called"))
 
 
 @query("f26_two_conditions", f"with {C}, {O} select track_id, a.prob >= 0.225 and b.prob >= 0.02 as called from cohort a join other b using (track_id) where a.prob is not null and b.prob is not null")
 def f26(spark, sf):
-    b = cohort(spark, sf, "260906").select("track_id", F.col("prob").alias("q"))
-    both = cohort(spark, sf).join(b, "track_id").where("prob is not null and q is not null")
-    return both.select("track_id", ((F.col("prob") >= 0.225) & (F.col("q") >= 0.02)).alias("called"))
+    both = joins.common_pairs(cohort(spark, sf), cohort(spark, sf, "260906"), "track_id")
+    return both.select("track_id", metrics.two_conditions("prob", "other").alias("called"))
 
 
 @query("f15_public_payload", r"select doc_id::varchar as key, 'text: e-mail address' as rule from documents where regexp_matches(regexp_replace(coalesce(text, ''), 'https?://\S+', '', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')")
@@ -178,7 +178,7 @@ def f15(spark, sf):
 
 @query("a01_group_sizes", f"with {C} select source, count(*) as n from cohort group by source")
 def a01(spark, sf):
-    return cohort(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return summaries.group_sizes(cohort(spark, sf), "source")
 
 
 @query("a19_release_recount", f"with {C}, n as (select count(*) as n, count(distinct track_id) as k, count(*) filter (label not in (0, 1)) as bad from cohort) select n - k + bad as violations, n - k + bad = 0 as ready from n")
@@ -277,10 +277,8 @@ def w14(spark, sf):
 
 @query("w18_preference_sort", "select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_returnflag <> 'R', l_linenumber)::int as place from lineitem")
 def w18(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy(F.col("l_returnflag") != "R", "l_linenumber")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("place"))
+    rows = selection.preference_order(table(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "R", "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", "place")
 
 
 @query("s03_s51_short_ids", "select doc_id, 'ab2-' || substr(sha256(doc_id::varchar), 1, 20) as public_id, 'ab2l-' || substr(sha256(source), 1, 20) as lineage, source || ':' || doc_id as entry_key from documents")
@@ -296,7 +294,7 @@ def s07(spark, sf):
 
 @query("s39_s15_names", f"with {C} select track_id, case when toxic = 1 then 'seen' else 'unseen' end as part, 'set_' || lang as name from cohort")
 def s39(spark, sf):
-    return cohort(spark, sf).select("track_id", F.when(F.col("toxic") == 1, "seen").otherwise("unseen").alias("part"), F.concat(F.lit("set_"), "lang").alias("name"))
+    return cohort(spark, sf).select("track_id", projections.part_label(F.col("toxic") == 1).alias("part"), projections.source_name(F.col("lang")).alias("name"))
 
 
 @query("s42_sequence_tokens", """with f as (select vec_id, list_transform(embedding, lambda x: floor(abs(x)::double * 1000000)::bigint % 4294967296) as v from embeddings)
@@ -323,7 +321,13 @@ def o19(spark, sf):
     return runs.corpus_plan(members, caps, [{"magnet": 50}, {"human_jamendo": 50, "human_fma_ood": 50}], 200_000).select("path", "family", "group", "role")
 
 
-@query("o08_duplicate_clusters")
+O08_SQL = """with recursive d as (select doc_id::varchar as key, sha256(text) as h, case when doc_id % 5 = 0 then source || '/' || n_chars end as owner from documents),
+e as (select distinct a.key as a, b.key as b from d a join d b on a.h = b.h or a.owner = b.owner), r(node, root) as (select key, key from d union select e.b, r.root from r join e on r.node = e.a),
+g as (select node as key, min(root) as root from r group by node), l as (select root, 'cluster:' || substr(sha256(string_agg(key, chr(10) order by key)), 1, 24) as label from g group by root)
+select key, label from g join l using (root)"""
+
+
+@query("o08_duplicate_clusters", O08_SQL)
 def o08(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", hashing.sha256_hex("text").alias("h"), F.when(F.col("doc_id") % 5 == 0, F.concat_ws("/", "source", F.col("n_chars"))).alias("owner"))
     return runs.duplicate_audit(docs, "doc_id", ["h"], owners=["owner"])["clusters"].select("key", "label")

@@ -23,11 +23,6 @@ def _docs(spark, sf):
 
 # --- scans and filters -------------------------------------------------------
 
-@query("c01_f01_manifest_filter", f"with {C} select track_id, source, split from cohort where lang = 'en' and split = 'test'")
-def c01(spark, sf):
-    return cohort(spark, sf).where("lang = 'en' and split = 'test'").select("track_id", "source", "split")
-
-
 @query("c03_keyed_last_wins", "select user_id, max_by(event_type, event_id) as event_type, max(event_id) as event_id from events group by user_id")
 def c03(spark, sf):
     from ..sources.manifests import keyed_rows
@@ -36,9 +31,9 @@ def c03(spark, sf):
     return keyed_rows(rows, "user_id").select("user_id", "event_type", "event_id")
 
 
-@query("f02_source_allow_list", f"with {C} select source, count(*) as n from cohort where source in ('src1', 'src2', 'src3') group by source")
+@query("f02_f17_source_allow_list", f"with {C} select source, count(*) as n from cohort where source in ('src1', 'src2', 'src3') group by source")
 def f02(spark, sf):
-    return cohort(spark, sf).where(F.col("source").isin("src1", "src2", "src3")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return summaries.group_sizes(joins.of_values(cohort(spark, sf), "source", ["src1", "src2", "src3"]), "source")
 
 
 @query("f08_first_reason", f"""with {C} select track_id, case when prob is null then 'no_score' when lang <> 'en' then 'language' when n_chars < 500 then 'short' else 'selected' end as reason from cohort""")
@@ -52,7 +47,7 @@ select count(*) as n, sum(l_linenumber)::bigint as s from lineitem where l_order
 def f09(spark, sf):
     items = table(spark, sf, "lineitem")
     held = items.where("l_returnflag = 'R'").select("l_orderkey")
-    return items.join(held, "l_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").cast("long").alias("s"))
+    return joins.disjoint(items, held, "l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").cast("long").alias("s"))
 
 
 @query("f10_private_text", r"""select doc_id::varchar as key, 'text: e-mail address' as rule from documents where regexp_matches(regexp_replace(coalesce(text, ''), 'https?://\S+', '', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')
@@ -262,10 +257,8 @@ def w15(spark, sf):
 
 @query("w19_ranking", f"""with {C}, s as (select source, round(avg(prob), 9) as mean from cohort where prob is not null group by source) select source, mean, row_number() over (order by mean desc, source)::int as place from s""")
 def w19(spark, sf):
-    from pyspark.sql import Window
-
     s = cohort(spark, sf).where("prob is not null").groupBy("source").agg(F.round(F.avg("prob"), 9).alias("mean"))
-    return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "source")))
+    return summaries.ranking(s, "mean", "source")
 
 
 @query("w23_x03_pending", "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_shipdate < timestamp '1998-01-01')")
@@ -315,7 +308,7 @@ def z08(spark, sf):
 
 @query("a18_release_counters", f"with {C} select split, source, label, count(*) as n, count(distinct cluster) as clusters from cohort group by split, source, label")
 def a18(spark, sf):
-    return cohort(spark, sf).groupBy("split", "source", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters"))
+    return summaries.release_counters(cohort(spark, sf), ["split", "source", "label"], ["cluster"])
 
 
 @query("a20_u04_exposure_reasons", """select lower(o_orderpriority) as creator, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as reasons from orders group by 1""")
@@ -333,7 +326,7 @@ def a21(spark, sf):
 
 @query("a24_index_totals", "select l_suppkey as shard, count(*) as files, count(distinct l_orderkey) as paths, sum(l_linenumber)::bigint as bytes from lineitem group by 1")
 def a24(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("shard")).agg(F.count(F.lit(1)).alias("files"), F.count_distinct("l_orderkey").alias("paths"), F.sum("l_linenumber").cast("long").alias("bytes"))
+    return summaries.index_totals(table(spark, sf, "lineitem"), "l_suppkey", "l_orderkey", "l_linenumber")
 
 
 @query("a28_label_conflicts", "select sha256(d.text) as \"group\", 'toxic' as field, count(distinct toxic) as n from documents d join labels l using (doc_id) group by 1 having count(distinct toxic) > 1")
@@ -354,7 +347,8 @@ def g01(spark, sf):
     return graph.components(orders.select(F.col("o_orderkey").alias("a"), (F.lit(1000000000000) + F.col("o_custkey")).alias("b")))
 
 
-@query("g01_one_large_component")
+@query("g01_one_large_component", """with recursive l as (select distinct l_orderkey as a, 1000000000000 + l_partkey as b from lineitem), e as (select a, b from l union all select b, a from l),
+r(node) as (select min(a) from l union select e.b from r join e on r.node = e.a) select node, (select min(a) from l) as root from r""")
 def g01_large(spark, sf):
     items = table(spark, sf, "lineitem")
     return graph.components(items.select(F.col("l_orderkey").alias("a"), (F.lit(1000000000000) + F.col("l_partkey")).alias("b")))
@@ -368,7 +362,10 @@ def g02(spark, sf):
     return graph.representatives(labels).select("key", "label", "representative")
 
 
-@query("g04_dependence_clusters")
+@query("g04_dependence_clusters", """with recursive d as (select doc_id::varchar as key, sha256(text) as h, case when lang = 'fr' then source || '/' || n_chars end as owner from documents),
+e as (select distinct a.key as a, b.key as b from d a join d b on a.h = b.h or a.owner = b.owner), r(node, root) as (select key, key from d union select e.b, r.root from r join e on r.node = e.a),
+g as (select node as key, min(root) as root from r group by node), l as (select root, 'cluster:' || substr(sha256(string_agg(key, chr(10) order by key)), 1, 24) as label from g group by root)
+select key, label from g join l using (root)""")
 def g04(spark, sf):
     docs = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("key"), hashing.sha256_hex("text").alias("h"), F.when(F.col("lang") == "fr", F.concat_ws("/", "source", F.col("n_chars"))).alias("owner"))
     return graph.group_labels(docs, graph.shared_value_links(docs, "key", ["h", "owner"]), "cluster:").select("key", "label")

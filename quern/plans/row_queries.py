@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hashing, intervals, nested, pages, texts, urls
-from ..operators import chunks, scoring
+from ..operators import chunks, scoring, selection
 from ..storage import shared_dir
 from ..streaming import ledger
 from .base import cohort, rounded, table
@@ -76,9 +76,9 @@ def s22(spark, sf):
     return table(spark, sf, "documents").select("doc_id", urls.identity_kind(v).alias("kind"))
 
 
-@query("s25_s28_record_ends", "select l_orderkey, l_linenumber, ((l_orderkey + 511) // 512) * 512 as padded from lineitem")
+@query("s25_s28_record_ends", "select l_orderkey, l_linenumber, ((l_orderkey + 511) // 512) * 512 as padded, l_partkey + ((l_orderkey + 511) // 512) * 512 as ending from lineitem")
 def s25(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.ceil(F.col("l_orderkey") / 512) * 512).cast("long").alias("padded"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", texts.padded("l_orderkey").alias("padded"), texts.record_end("l_partkey", "l_orderkey").alias("ending"))
 
 
 @query("s33_levels", "select event_id, round(20 * log10(greatest(value / 1000, 1e-12)), 9) as dbfs from events")
@@ -94,8 +94,7 @@ def s34(spark, sf):
 
 @query("s48_date_cut", "select o_orderkey, coalesce(strftime(o_orderdate, '%Y-%m-%d'), '') < '1996-01-01' as early from orders")
 def s48(spark, sf):
-    day = F.coalesce(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(""))
-    return table(spark, sf, "orders").select("o_orderkey", (day < "1996-01-01").alias("early"))
+    return table(spark, sf, "orders").select("o_orderkey", selection.before_date(F.date_format("o_orderdate", "yyyy-MM-dd"), "1996-01-01").alias("early"))
 
 
 @query("s29_s31_page_objects")
@@ -111,24 +110,27 @@ def s29_counts(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.script_count(F.col("html")).alias("scripts"))
 
 
-@query("s30_json_objects", "select event_id, 0 as at from events where props is not null")
+@query("s30_json_objects", """select event_id, 0 as at, '{"k": ' || json_extract(props, '$.k') || '}' as object from events where props is not null""")
 def s30(spark, sf):
     table(spark, sf, "events").where("props is not null").createOrReplaceTempView("quern_props")
     spark.udtf.register("quern_json_objects", nested.JsonObjects)
-    return spark.sql("select e.event_id, o.at from quern_props e, lateral quern_json_objects(e.props) o")
+    return spark.sql("select e.event_id, o.at, o.object from quern_props e, lateral quern_json_objects(e.props) o")
 
 
-@query("f10_f11_json_problems", "select event_id, case when event_id % 3 = 0 then '$.row.path: private key' when event_id % 3 = 1 then '$.notes[1]: e-mail address' else '' end as problems from events")
+@query("f10_f11_json_problems", r"""select doc_id, case when doc_id % 7 = 0 then '$.row.path: private key' when regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') then '$.notes[1]: e-mail address' else '' end as problems
+from documents where not regexp_matches(text, '^(/Users/|/home/|/mnt/|/tmp/|file://)')""")
 def f11(spark, sf):
-    k = F.col("event_id") % 3
-    text = F.when(k == 0, '{"row": {"path": "x", "n": 1}}').when(k == 1, '{"notes": ["ok", "a@b.org"]}').otherwise('{"n": [1, 2]}')
-    return table(spark, sf, "events").select("event_id", F.array_join(nested.json_problems(text), "; ").alias("problems"))
+    docs = table(spark, sf, "documents")
+    private = F.to_json(F.struct(F.struct(F.col("source").alias("path"), F.lit(1).alias("n")).alias("row")))
+    noted = F.to_json(F.struct(F.array(F.col("lang"), F.col("text")).alias("notes")))
+    return docs.select("doc_id", F.array_join(nested.json_problems(F.when(F.col("doc_id") % 7 == 0, private).otherwise(noted)), "; ").alias("problems"))
 
 
-@query("p15_nested_remap", """select event_id, '{"rows": [{"track_id": "new"}, {"track_id": "b"}]}' as body from events""")
+@query("p15_nested_remap", """select event_id, '{"rows": [{"track_id": "' || case event_type when 'click' then 'new-click' when 'view' then 'new-view' else event_type end || '"}, {"n": ' || user_id || ', "track_id": "u' || user_id || '"}]}' as body from events""")
 def p15(spark, sf):
-    remap = nested.remap_ids({"a": "new"})
-    return table(spark, sf, "events").select("event_id", remap(F.lit('{"rows": [{"track_id": "a"}, {"track_id": "b"}]}')).alias("body"))
+    remap = nested.remap_ids({"click": "new-click", "view": "new-view"})
+    rows = F.array(F.struct(F.col("event_type").alias("track_id"), F.lit(None).cast("long").alias("n")), F.struct(F.concat(F.lit("u"), "user_id").alias("track_id"), F.col("user_id").alias("n")))
+    return table(spark, sf, "events").select("event_id", remap(F.to_json(F.struct(rows.alias("rows")))).alias("body"))
 
 
 @query("a23_r05_chunk_audit", """with c as (select conv_id, turn, length(text) / 1000.0 as rms, case when turn % 3 = 2 then null else (length(text) % 100) / 100.0 end as prob from conversations)
@@ -171,9 +173,17 @@ def m23(spark, sf):
     return rounded(s.select("event_type", intervals.wilson(F.col("k"), F.col("n"), intervals.Z_LONG)[0].alias("lower")))
 
 
-@query("v04_scored_rows")
+@query("v04_scored_rows", r"""select doc_id, case when coalesce(text, '') <> '' then round(length(regexp_replace(text, '[\p{L}\s\x1c-\x1f\x85\xa0]', '', 'g')) / length(text)::double, 9) end as prob, case when coalesce(text, '') = '' then 'inference' end as stage from documents""")
 def v04(spark, sf):
-    return scoring.score_rows(table(spark, sf, "documents").select("doc_id", "text"), "text_shape", "doc_id")
+    rows = scoring.score_rows(table(spark, sf, "documents").select("doc_id", "text"), "text_shape", "doc_id")
+    return rounded(rows.select("doc_id", "prob", "stage"))
+
+
+@query("v16_v17_isolated_rows", f"""select s_suppkey, ('0x' || substr(sha256('260905:' || s_suppkey), 1, 8))::ubigint::bigint as seed, case when s_suppkey % 25 not in (3, 4) then 0.5::double end as prob,
+  case when s_suppkey % 25 = 4 then 'input_execution_error' when s_suppkey % 25 = 3 then 'model_execution_error' else 'scored' end as outcome,
+  case when s_suppkey % 25 = 3 then 'TimeoutExpired' when s_suppkey % 25 = 4 then 'OSError' end as error_type from supplier""")
+def v16(spark, sf):
+    return scoring.score_isolated(table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).alias("k")), "slow_or_broken", "s_suppkey", 1.5).drop("error")
 
 
 @query("p25_creator_alias", """select c_custkey, case when c_custkey % 2 = 0 then 'suno:@' || lower(c_name) else 'udio:artist:' || lower(c_name) end as alias from customer""")
@@ -186,10 +196,8 @@ def p25(spark, sf):
 
 def _drain(spark, stream, mode: str):
     """Run a stream over what is there and return its result table."""
-    name = f"quern_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    base = f"{shared_dir(spark)}/quern-stream-{uuid.uuid4().hex}"
+    return ledger.drained(stream, f"{base}/out", f"{base}/checkpoint", mode)
 
 
 def _event_stream(spark, sf):
@@ -217,7 +225,9 @@ def x01(spark, sf):
     return spark.read.schema(T.StructType([T.StructField("event_id", T.LongType())])).option("recursiveFileLookup", True).parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("s"))
 
 
-@query("x06_x07_breaker")
+@query("x06_x07_breaker", """with e as (select event_type as key, event_id, (value < 10)::int as f from events), g as (select *, sum(1 - f) over (partition by key order by event_id) as run from e),
+r as (select key, run, sum(f) as n from g group by key, run), l as (select key, max(run) as run from g group by key)
+select r.key, (select count(*) from e where e.key = r.key) as seen, max(r.n) filter (r.run = l.run)::bigint as failures, max(r.n) >= 5 as open from r join l on r.key = l.key group by r.key""")
 def x06(spark, sf):
     stream = _event_stream(spark, sf).select("event_type", (F.col("value") < 10).alias("failed"), "event_id")
     return _drain(spark, ledger.breaker(stream, "event_type", "failed", "event_id"), "update")
@@ -225,8 +235,8 @@ def x06(spark, sf):
 
 @query("x08_windowed_rates", """select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, count(*) filter (value >= 50) as k from events group by 1, 2""")
 def x08(spark, sf):
-    e = table(spark, sf, "events").withColumn("hit", F.col("value") >= 50)
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("k")).select(F.col("w.start").alias("start"), "event_type", "n", "k")
+    stream = _event_stream(spark, sf).withColumn("hit", F.col("value") >= 50).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _drain(spark, ledger.windowed_rates(stream, "ts", "event_type", "hit"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("k01_content_digest", None)
