@@ -5,9 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 BANDS = 1024
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row, from 0, in an order over the whole table.
+
+    Rows are dealt to ranges of the order and sorted inside them; a range's first place is the
+    number of rows in the ranges before, of which there are as many as shuffle partitions.
+    """
+    keys = [f"_order{i}" for i in range(len(order))]
+    ranged = rows.withColumns(dict(zip(keys, order))).repartitionByRange(*keys)
+    ranged = stage(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
+    placed = ranged.withColumn("_in", inside).join(F.broadcast(first), "_part")  # a row for each range
+    return placed.withColumn(name, F.col("_first") + F.col("_in")).drop("_part", "_in", "_first", *keys)
+
+
 def from_the_top(df: DataFrame, groups: list[str], value: str, sums: list[str], bands: int = BANDS) -> DataFrame:
     """Adds ``cum_<s>``: the sum of ``s`` over rows of the group with a value at least this
     row's. ``value`` lies in [0, 1] and is distinct inside a group.

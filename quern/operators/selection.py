@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import RANK_SEED, rank_key
+from .running import numbered
 
 
 def top_per_group(rows: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
@@ -89,16 +90,21 @@ def extremes(rows: DataFrame, source: str, value: str, key: str, seed: str = RAN
     return first.unionByName(rows.join(F.broadcast(ends), key, "left_semi")).dropDuplicates([key])
 
 
+def _placed(rows: DataFrame, order: list[Column], groups: list[str] | None) -> DataFrame:
+    """``_place`` of each row from 0: of its group, or of the whole table without ordering it in one task."""
+    if groups:
+        return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1)
+    return numbered(rows, order, "_place")
+
+
 def stride(rows: DataFrame, order: list[Column], step: int, groups: list[str] | None = None) -> DataFrame:
     """Every ``step``-th row in order, from the first, of each group."""
-    place = F.row_number().over(Window.partitionBy(*(groups or [])).orderBy(*order))
-    return rows.withColumn("_place", place - 1).where(F.col("_place") % step == 0).drop("_place")
+    return _placed(rows, order, groups).where(F.col("_place") % step == 0).drop("_place")
 
 
 def share(rows: DataFrame, order: list[Column], parts: int, groups: list[str] | None = None) -> DataFrame:
     """``part``: rows dealt out in turn."""
-    place = F.row_number().over(Window.partitionBy(*(groups or [])).orderBy(*order))
-    return rows.withColumn("part", F.pmod(place - 1, F.lit(parts)))
+    return _placed(rows, order, groups).withColumn("part", F.pmod("_place", F.lit(parts)).cast("int")).drop("_place")
 
 
 def contiguity(records: DataFrame, shard: str, offset: str, size: str, block: int = 512) -> DataFrame:
@@ -148,7 +154,7 @@ def budget_fill(rows: DataFrame, tiers: list[dict[str, int]], budget: int, group
                     left -= n
             yield pd.DataFrame({"path": taken}, dtype=object)
 
-    chosen = queue.coalesce(1).sortWithinPartitions("_tier", "_turn", "g").select("path", "size").mapInPandas(fill, "path string")
+    chosen = queue.repartition(1).sortWithinPartitions("_tier", "_turn", "g").select("path", "size").mapInPandas(fill, "path string")
     return rows.join(chosen.withColumnRenamed("path", path), path, "left_semi")
 
 

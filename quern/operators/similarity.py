@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
@@ -40,12 +44,13 @@ def sequence_tokens(rows: DataFrame, key: str, sequence: str) -> DataFrame:
 def copy_candidates(rows: DataFrame, key: str, sequence: str, max_postings: int = 200, max_keys: int = 20, votes: int = 8, least_frames: int = 80, max_error: float = 0.20) -> DataFrame:
     """``(a, b, bit_error, frames, offset)`` of pairs whose sequences match at an offset.
 
-    Tokens with many postings tell nothing and are left out by the operator's own rule;
-    what remains is joined to itself, so a token gives at most ``max_postings`` squared
-    rows. Pairs vote for offsets, and only voted offsets are verified frame by frame.
+    Tokens with many postings tell nothing and are left out: that is the operator's rule, with
+    ``max_postings`` and ``max_keys`` as its parameters, and its results are defined by it (all
+    equal sequences are found by ``exact_copies``). What remains is joined to itself, so a token
+    gives at most ``max_postings`` squared rows. Pairs vote for offsets, and only voted offsets are verified frame by frame.
     """
     tokens = sequence_tokens(rows, key, sequence)
-    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("key")).alias("k")).where((F.col("n") <= max_postings) & (F.col("k") <= max_keys)).select("token")
+    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("k")).where((F.col("n") <= max_postings) & (F.col("k") <= max_keys)).select("token")
     kept = tokens.join(rare, "token")
     a, b = kept.select("token", F.col("key").alias("a"), F.col("at").alias("at_a")), kept.select("token", F.col("key").alias("b"), F.col("at").alias("at_b"))
     met = a.join(b, "token").where("a < b").withColumn("bin", F.floor((F.col("at_a") - F.col("at_b")) / 2))
@@ -63,16 +68,29 @@ def copy_candidates(rows: DataFrame, key: str, sequence: str, max_postings: int
     return out.where(F.col("bit_error") <= max_error)
 
 
-def block_links(rows: DataFrame, key: str, bits: str, radius: int = 3) -> DataFrame:
-    """``(a, b, distance)`` of 64-bit values within ``radius``: they share one of
-    ``radius + 1`` blocks, on which the table is joined to itself; each pair comes once."""
-    blocks = radius + 1
-    width = 64 // blocks
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(bits), i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(blocks)])
-    flat = rows.select(F.col(key).alias("k"), F.col(bits).alias("x"), F.explode(parts).alias("p")).select("k", "x", "p.i", "p.v")
+def block_links(rows: DataFrame, key: str, bits: str, radius: int = 3, bucket_values: int = 4096) -> DataFrame:
+    """``(a, b, distance)`` of 64-bit values within ``radius``.
+
+    Every value stands for the keys that have it through the smallest of them: pairs are
+    between these, each once, and the other keys of a value are linked to theirs at distance
+    0, so equal values never make all their pairs. Two values within the radius agree on all
+    bits of some choice of blocks, on which the values are joined to themselves; with more
+    values more blocks are cut and longer choices taken, so that a bucket of unlike values
+    stays at about ``bucket_values``.
+    """
+    named = rows.select(F.col(key).alias("k"), F.col(bits).alias("x"))
+    values = stage(named.groupBy("x").agg(F.min("k").alias("k")), "distinct-values")
+    n = values.count()
+    blocks = next((c for c in range(radius + 1, radius + 4) if n >> (64 * (c - radius) // c) <= bucket_values), radius + 3)
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:])]
+    masks = [sum(c) for c in combinations(parts, blocks - radius)]
+    kept = F.array(*[F.struct(F.lit(i).alias("i"), F.col("x").bitwiseAND(m - (1 << 64) if m >> 63 else m).alias("v")) for i, m in enumerate(masks)])
+    flat = values.select("k", "x", F.explode(kept).alias("p")).select("k", "x", "p.i", "p.v")
     a, b = (flat.select("i", "v", F.col("k").alias(n), F.col("x").alias(f"x{n}")) for n in ("a", "b"))
     met = a.join(b, ["i", "v"]).where("a < b").withColumn("distance", hamming(F.col("xa"), F.col("xb"))).where(F.col("distance") <= radius)
-    return met.select("a", "b", "distance").distinct()
+    copies = named.join(values.withColumnRenamed("k", "a"), "x").where("a <> k").select("a", F.col("k").alias("b"), F.lit(0).alias("distance"))
+    return met.select("a", "b", "distance").distinct().unionByName(copies)
 
 
 def normalized_correlation(a: Column, b: Column) -> Column:

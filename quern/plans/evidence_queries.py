@@ -9,7 +9,7 @@ from ..operators import bootstrap, constraints, graph, joins, metrics, pairs, pr
 from . import runs
 from .base import cohort, cohort_sql, rounded, table
 from .catalog import query
-from .metric_queries import _wilson_sql
+from .metric_queries import CHOSEN, CONFUSION, RANKS, RATES, _wilson_sql
 from .relational_queries import rank_sql
 
 C = cohort_sql()
@@ -250,7 +250,12 @@ def m28(spark, sf):
     return rounded(bootstrap.metric_rows(rows, ["model", "split"]).select("model", "split", "scored", "attempted", "TPR"))
 
 
-@query("m30_frozen_analysis")
+@query("m30_frozen_analysis", f"""with {C}, {O}, r as (select '260905' as model, track_id, split, source, lang as grp, label, prob from cohort union all select '260906', track_id, split, source, lang, label, prob from other),
+z as (with {CHOSEN.format(g='model', t='r', w="split = 'calibration'", m=0.05)} select model, 'calibrated' as rule, threshold as t from best union all select distinct model, 'fixed', 0.5::double from r),
+s as (select model, rule, t, label, prob, unnest(['split', 'source', 'grp']) as scope, unnest([split, source, grp]) as name from r join z using (model) where prob is not null),
+cells as (select *, concat_ws('|', model, rule, scope, name) as cell from s), k as (with {RANKS.format(g='cell', t='cells')} select cell, auroc, auprc from rk),
+a as (select cell, model, rule, scope, name, {CONFUSION.format(t='t')} from cells group by all)
+select model, rule, scope, name, n, n_pos, n_neg, tp, tn, fp, fn, {RATES}, round(auroc, 9) as auroc, round(auprc, 9) as auprc from a join k using (cell)""")
 def m30_frozen(spark, sf):
     both = [cohort(spark, sf, m).withColumn("model", F.lit(m)) for m in ("260905", "260906")]
     rows = both[0].unionByName(both[1]).select("model", "track_id", "split", "source", F.col("lang").alias("grp"), "label", "prob")

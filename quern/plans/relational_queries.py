@@ -231,7 +231,10 @@ def w10(spark, sf):
     return selection.preferred_take(items, "g", "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R", 10).select("l_orderkey", "l_linenumber")
 
 
-@query("w11_budget_fill")
+@query("w11_budget_fill", f"""with recursive t as (select o_orderkey::varchar as path, o_orderpriority as g, length(o_orderpriority) as size, case o_orderpriority when '5-LOW' then 1 else 0 end as tier, case o_orderpriority when '5-LOW' then 100 else 40 end as cap,
+  row_number() over (partition by o_orderpriority order by {rank_sql('o_custkey')}, o_orderkey::varchar) as turn from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '5-LOW')),
+q as (select *, row_number() over (order by tier, turn, g) as i from t where turn <= cap), r(i, room, taken) as (select 0::bigint, 700::bigint, false union all select q.i, case when q.size <= r.room then r.room - q.size else r.room end, q.size <= r.room from r join q on q.i = r.i + 1)
+select path, g from r join q using (i) where taken""")
 def w11(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("family"), F.col("o_orderpriority").alias("g"), F.length("o_orderpriority").alias("size"))
     tiers = [{"1-URGENT": 40, "2-HIGH": 40}, {"5-LOW": 100}]
@@ -414,7 +417,11 @@ def p07(spark, sf):
     return catalogue.classified(_members(spark, sf)).select("id", "kind", "group", "variant", "caption_set", "base_key", "transform_param")
 
 
-@query("j13_g07_exposure_in_families")
+@query("j13_g07_exposure_in_families", """with m as (select o_orderkey as id, o_orderkey % 8 as k, o_custkey::varchar as c from orders where o_orderkey % 8 <> 7),
+n as (select id, k, case k when 0 then 'song' || c when 1 then c when 2 then 's' || c when 3 then 't' || c when 4 then 's' || c when 5 then 't' || c else 'song' || c end as base,
+  case when k in (2, 4) then 'suno' when k = 1 then 'fma' when k <> 5 then 'jamendo' when exists (select 1 from orders o where o.o_orderkey % 8 = 3 and o.o_custkey::varchar = m.c) then 'jamendo' else 'unknown' end as owner from m),
+s as (select distinct owner, base from n where k in (0, 1, 2) and length(base) = 7), j as (select n.*, s.base is not null as hit from n left join s on s.owner = n.owner and s.base = n.base)
+select id, hit and k in (0, 1, 2, 4, 6) as seen, case when not hit then null when k in (0, 1, 2) then 'named in a training list' when k = 4 then 'transform of named in a training list' when k = 6 then 'co-created remix of named in a training list' end as evidence from j""")
 def g07(spark, sf):
     rows = catalogue.resolved_captions(stage(catalogue.classified(_members(spark, sf)).where("kind <> 'meta'"), "members"))
     seen = rows.where(F.col("generator").isin("human", "suno") & (F.col("variant") == "clean") & (F.length("base_key") == 7)).select("family", F.lit("named in a training list").alias("evidence")).distinct()
@@ -430,12 +437,16 @@ def j17(spark, sf):
     return similarity.exact_copies(rows, "doc_id", ["h", "k"])
 
 
-@query("j16_s41_sign_bit_links", """with b as (select vec_id, list_transform(embedding, lambda x: (x > 0)::int) as v from embeddings)
-select a.vec_id as a, b.vec_id as b, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] <> p[2])::int))::int as distance from b a join b on a.vec_id < b.vec_id
+@query("j16_s41_sign_bit_links", """with e as (select vec_id, embedding as x from embeddings union all select vec_id + 1000000, list_transform(embedding, lambda x, i: case when i <= vec_id % 5 then -x else x end) from embeddings),
+v as (select vec_id, list_transform(x, lambda x: (x > 0)::int) as v from e), b as (select min(vec_id) as vec_id, v from v group by v)
+select b.vec_id as a, v.vec_id as b, 0 as distance from b join v on b.v = v.v and b.vec_id <> v.vec_id union all select a.vec_id as a, b.vec_id as b, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] <> p[2])::int))::int as distance from b a join b on a.vec_id < b.vec_id
 where list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] <> p[2])::int)) <= 3""")
 def j16(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", similarity.sign_bits(F.col("embedding")).alias("bits"))
-    return similarity.block_links(rows, "vec_id", "bits", 3)
+    """Embeddings and copies of them in which up to four signs are turned."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    turned = F.transform("embedding", lambda x, i: F.when(i < F.col("vec_id") % 5, -x).otherwise(x))
+    both = rows.unionByName(rows.select((F.col("vec_id") + 1000000).alias("vec_id"), turned.alias("embedding")))
+    return similarity.block_links(both.select("vec_id", similarity.sign_bits(F.col("embedding")).alias("bits")), "vec_id", "bits", 3)
 
 
 def _sequences(spark, sf):
@@ -445,7 +456,7 @@ def _sequences(spark, sf):
     return ids.select("doc_id", frames.alias("fp"))
 
 
-@query("j16_copy_candidates")
+@query("j16_copy_candidates", """select a.doc_id as a, b.doc_id as b, 0.0::double as bit_error, 110 as frames, 10::bigint as "offset" from documents a join documents b on b.doc_id = a.doc_id + 1 where a.doc_id % 2 = 0""")
 def j16_copies(spark, sf):
     return rounded(similarity.copy_candidates(_sequences(spark, sf), "doc_id", "fp"))
 

@@ -97,7 +97,7 @@ def s48(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", selection.before_date(F.date_format("o_orderdate", "yyyy-MM-dd"), "1996-01-01").alias("early"))
 
 
-@query("s29_s31_page_objects")
+@query("s29_s31_page_objects", """select page_id, 0 as at, '{"links": [{"url": "' || url || '"}], "page": ' || page_id || '}' as object from pages union all select page_id, 1, '{"url": "' || url || '"}' from pages""")
 def s29(spark, sf):
     page = table(spark, sf, "pages").select("page_id", F.concat(F.lit('<script>{"page": '), F.col("page_id"), F.lit(', "links": [{"url": "'), F.col("url"), F.lit('"}]}</script>'), F.col("html")).alias("html"))
     page.createOrReplaceTempView("quern_pages")
@@ -237,13 +237,3 @@ def x06(spark, sf):
 def x08(spark, sf):
     stream = _event_stream(spark, sf).withColumn("hit", F.col("value") >= 50).withColumn("ts", F.col("ts").cast("timestamp"))
     return _drain(spark, ledger.windowed_rates(stream, "ts", "event_type", "hit"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
-@query("k01_content_digest", None)
-def k01(spark, sf):
-    from ..sources.sinks import write_once
-
-    path = f"{shared_dir(spark)}/quern-once-{uuid.uuid4().hex}"
-    rows = cohort(spark, sf).select("track_id", "prob")
-    first, second = write_once(rows, path), write_once(rows, path)
-    return spark.createDataFrame([(first, second)], "written boolean, written_again boolean")
