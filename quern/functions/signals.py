@@ -190,3 +190,13 @@ def aligned(a: Column, b: Column, reach: int, least: int) -> Column:
         return pd.DataFrame(rows, columns=["lag", "correlation", "overlap"])
 
     return run(a, b)
+
+
+def cache_rules(signal: str, length: int, most: float = 1.0) -> dict[str, Column]:
+    """Rules of a cached signal: its length, finite values, none beyond the clip."""
+    x = F.col(signal)
+    return {
+        f"{length} values": F.size(x) == length,
+        "values are finite": F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))),
+        "no value beyond the clip": F.coalesce(F.array_max(F.transform(x, F.abs)) <= most, F.lit(False)),
+    }

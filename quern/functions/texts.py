@@ -152,3 +152,24 @@ def demo_urls(page: Column | str, section: str, extension: str = "html") -> Colu
     at = F.locate(section, text)
     body = F.when(at > 0, F.substring(text, at, F.length(text))).otherwise("")
     return F.array_sort(F.array_distinct(F.regexp_extract_all(body, F.lit(r"href=\"([^\"#?]+)\""), 1)))
+
+
+def interval_text(rate: Column, lower: Column, upper: Column) -> Column:
+    """``12.3% [10.0, 14.9]``; an en dash for an empty group."""
+    return F.when(rate.isNull(), "–").otherwise(F.format_string("%.1f%% [%.1f, %.1f]", 100 * rate, 100 * lower, 100 * upper))
+
+
+#: What TeX reads as its own, and how to write it (fixed values).
+TEX_ESCAPES = {"\\": "\\textbackslash{}", "&": "\\&", "%": "\\%", "$": "\\$", "#": "\\#", "_": "\\_", "{": "\\{", "}": "\\}", "~": "\\textasciitilde{}", "^": "\\textasciicircum{}"}
+
+
+def tex_text(x: Column | str) -> Column:
+    """A text as TeX prints it: every letter that TeX reads as its own is escaped once."""
+    letters = F.split(_col(x), "")
+    escapes = F.create_map(*[F.lit(v) for kv in TEX_ESCAPES.items() for v in kv])
+    return F.array_join(F.transform(letters, lambda c: F.coalesce(F.element_at(escapes, c), c)), "")
+
+
+def table_row(*cells: Column, tex: bool = False) -> Column:
+    """One row of a Markdown or TeX table."""
+    return F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")) if tex else F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))

@@ -140,3 +140,8 @@ def attached_field(rows: DataFrame, fields: DataFrame, on: str, field: str) -> D
     both = rows.drop(field).join(fields.select(on, field), on, "left")
     lost = F.raise_error(F.concat(F.lit(f"no {field} for "), F.col(on).cast("string"))).cast("boolean")
     return both.withColumn(field, F.coalesce(field, lost))
+
+
+def in_order(scores: DataFrame, manifest: DataFrame, on: str, ordinal: str = "ordinal") -> DataFrame:
+    """Scores with the place that their row has in a manifest; rows the manifest lacks are left out."""
+    return scores.join(manifest.select(on, ordinal), on)

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import evidence_queries, metric_queries, relational_queries, release_queries, row_queries, signal_queries, source_queries  # noqa: F401  they register themselves
+    from . import evidence_queries, metric_queries, relational_queries, release_queries, row_queries, run_queries, signal_queries, source_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 
