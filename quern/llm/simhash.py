@@ -18,7 +18,10 @@ Jaccard similarity of 0.8 or more are linked. No radius of a 64-bit SimHash prom
 its links are only first candidates. The others come from prefixes: with shingles in one order
 for all texts, sets that similar share one of the first ``n - ceil(0.8 n) + 1``. Candidates are
 checked on their words' shingles, first one or two for each text, then every pair that is left
-in different components, so that a large group of copies is not checked pair by pair.
+in different components, so that a large group of copies is not checked pair by pair. Texts
+that share a passage and little else meet in many such pairs; parity bitmaps of their sets
+(Sandes et al., "Bitmap filter") tell most of them apart without their texts: two sets differ
+in at least as many shingles as their bitmaps differ in bits.
 """
 
 from __future__ import annotations
@@ -300,6 +303,16 @@ def text_grams(texts: list[bytes], shingle_words: int) -> tuple[np.ndarray, np.n
     return text, grams
 
 
+def _parity_bitmaps(text: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each text a bitmap of 64 bits, or of twice, four times ... as many, at least its shingles;
+    a bit tells whether an odd number of the distinct shingles fall on it."""
+    width = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / 64))).astype(np.int64)
+    starts = np.cumsum(width) - width
+    at = starts[text] + (_mixed(grams ^ _MIX[0]) & (width[text] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(at, minlength=int(width.sum())) & 1, bitorder="little").tobytes()
+    return [packed[a // 8 : (a + w) // 8] for a, w in zip(starts.tolist(), width.tolist())]
+
+
 def _parcels(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about TEXT_BYTES, each with its first place."""
     begin, size = 0, 0
@@ -360,11 +373,12 @@ def _set_task(batches: Iterable[pa.RecordBatch], shingle_words: int, similarity:
             nodes = _mixed(nodes + sizes.astype(np.uint64))
             first = np.array([_prefix_length(n, similarity) for n in sizes.tolist()], dtype=np.int64)
             inside = np.arange(len(grams)) - starts[text] < first[text]
+            bits = _parity_bitmaps(text, grams, sizes)
             prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first)], pa.int32()), pa.array(grams[inside].view(np.int64)))
             rows = slice(begin, begin + len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[rows], batch.column("b")[rows], pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int32()), prefix],
-                names=["doc_id", "b", "node", "fp", "n", "prefix"],
+                [batch.column("doc_id")[rows], batch.column("b")[rows], pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), prefix],
+                names=["doc_id", "b", "node", "fp", "n", "bits", "prefix"],
             )
 
 
@@ -389,21 +403,53 @@ def _possible(n, at, other_n, other_at, similarity: float, least):
     return 1 + least(n - at - 1, other_n - other_at - 1) >= similarity / (1 + similarity) * (n + other_n) - _ROUNDING
 
 
+class _Bitmaps:
+    """Parity bitmaps of the rows of a group, by width."""
+
+    def __init__(self, bits: list[bytes]):
+        self.width = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits)) // 8
+        self.place, self.rows = np.empty(len(bits), dtype=np.int64), {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.rows[w] = np.frombuffer(b"".join(bits[k] for k in own.tolist()), dtype="<u8").reshape(len(own), w)
+
+    def least_differences(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Bits in which row ``i``'s bitmap differs from others', which are no narrower; a wider one
+        is folded onto the narrower."""
+        w = int(self.width[i])
+        mine, out = self.rows[w][self.place[i]], np.empty(len(others), dtype=np.int64)
+        for wide in np.unique(self.width[others]).tolist():
+            these = np.flatnonzero(self.width[others] == wide)
+            folded = np.bitwise_xor.reduce(self.rows[wide][self.place[others[these]]].reshape(len(these), wide // w, w), axis=1)
+            out[these] = np.bitwise_count(folded ^ mine).sum(axis=1)
+        return out
+
+
 def _cross_task(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Pairs with a common gram that can be similar and stand in different components."""
-    if (read := _read(batches, ("key", "node", "n", "at", "root"))) is None or not len(read[0]):
+    read, bits = [], []
+    for b in batches:
+        read.append([b.column(n).to_numpy() for n in ("key", "node", "n", "at", "root")])
+        bits += b.column("bits").to_pylist()
+    if not bits:
         return
-    order = np.lexsort((read[2], read[0]))
-    key, node, n, at, root = (x[order] for x in read)
+    key, node, n, at, root = (np.concatenate(x) for x in zip(*read))
+    order = np.lexsort((n, key))
+    key, node, n, at, root = (x[order] for x in (key, node, n, at, root))
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[starts[1:], len(key)]
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    for start, end in zip(starts[mixed], ends[mixed]):
+    most = (1 - similarity) / (1 + similarity)
+    for start, end in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+        maps = _Bitmaps([bits[k] for k in order[start:end].tolist()])
+        # Rows stand by size: the first that is too large ends a search.
+        last = start + np.searchsorted(n[start:end], n[start:end] / similarity + _ROUNDING, side="right")
         for i in range(start, end - 1):
-            # Rows stand by size: the first that is too large ends the search.
-            last = start + np.searchsorted(n[start:end], n[i] / similarity + _ROUNDING, side="right")
-            j = np.arange(i + 1, last)
+            j = np.arange(i + 1, last[i - start])
             j = j[(root[j] != root[i]) & _possible(n[i], at[i], n[j], at[j], similarity, np.minimum)]
+            if len(j):
+                j = j[maps.least_differences(i - start, j - start) <= most * (n[i] + n[j]) + _ROUNDING]
             if len(j):
                 low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
                 yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
@@ -438,10 +484,10 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
     spark = prepare(docs.sparkSession)
     rows = columns_or_null(docs, doc_id=("doc_id", "long"), text=("text", "binary")).withColumn("b", F.xxhash64("text"))
     hot = _hot_grams(rows, shingle_words)
-    schema = "doc_id long, b long, node long, fp long, n int, prefix array<long>"
+    schema = "doc_id long, b long, node long, fp long, n int, bits binary, prefix array<long>"
     sets = stage(rows.mapInArrow(lambda x: _set_task(x, shingle_words, similarity, hot), schema), "shingle-sets")
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "b")).alias("stands")
-    nodes = stage(sets.groupBy("node").agg(stands, F.count(F.lit(1)).alias("rows"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct-sets")
+    nodes = stage(sets.groupBy("node").agg(stands, F.count(F.lit(1)).alias("rows"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "distinct-sets")
     grams = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
 
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "gram")).select("gram", "node", "n", "at")
@@ -488,7 +534,11 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
             pairs = by_star(found, round)
             pairs = pairs if round else pairs.union(by_fingerprint()).distinct()
         else:
-            keyed = _deal(found.withColumnRenamed("gram", "key"), "node", group_rows).repartition(shuffle_partitions(spark, grams), "key")
+            # Grams whose texts are one component by now have nothing left to tell.
+            mixed = found.groupBy("gram").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h").select("gram")
+            left = found.join(mixed, "gram", "left_semi").join(nodes.select("node", "bits"), "node")
+            left = stage(left.withColumnRenamed("gram", "key"), "mixed-grams")
+            keyed = _deal(left, "node", group_rows).repartition(shuffle_partitions(spark, grams), "key")
             pairs = keyed.mapInArrow(lambda x: _cross_task(x, similarity), "a long, b long").distinct()
         new = checked(pairs)
         links = new if links is None else links.union(new)

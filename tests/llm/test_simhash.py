@@ -174,3 +174,46 @@ def test_hot_texts_are_spread(docs):
     found = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs(rows)).collect()}
     assert len(found) == 900 and {found[i] for i in range(300)} == {0}
     assert s.keep_one_each(docs(rows)).where("doc_id < 300").count() == 1
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**63, size=n, dtype=np.uint64) for n in (0, 1, 60, 64, 65, 500, 1300)]
+    sets += [np.unique(np.r_[x[: int(0.9 * len(x))], rng.integers(0, 2**63, size=int(0.15 * len(x)), dtype=np.uint64)]) for x in sets]
+    sets = sorted((np.unique(x) for x in sets), key=len)
+    text, sizes = np.repeat(np.arange(len(sets)), list(map(len, sets))), np.array(list(map(len, sets)))
+    bits = s._parity_bitmaps(text, np.concatenate(sets), sizes)
+    assert all(len(b) * 8 >= max(64, n) and len(b) * 8 < max(65, 2 * n) for b, n in zip(bits, sizes))
+    maps = s._Bitmaps(bits)
+    for i in range(len(sets)):
+        others = np.arange(i, len(sets))
+        bound = maps.least_differences(i, others)
+        truth = [len(np.setxor1d(sets[i], sets[j])) for j in others]
+        assert (bound <= truth).all() and bound[0] == 0
+    far = maps.least_differences(len(sets) - 2, np.array([len(sets) - 1]))[0]
+    assert far > 0
+
+
+def test_texts_that_share_a_passage_make_no_pairs(docs, monkeypatch):
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 90))) for i in range(150)]
+    made, cross = [], s._cross_task
+
+    def noted(batches, similarity):
+        for b in cross(batches, similarity):
+            made.append(b.num_rows)
+            yield b
+
+    texts = [t.encode() for _, t in rows]
+    text, grams = s.text_grams(texts, 5)
+    assert len(np.unique(text)) == 150
+    order = np.lexsort((grams, text))
+    bits = s._parity_bitmaps(text[order], grams[order], np.bincount(text))
+    shared = s.text_grams([passage.encode()], 5)[1][:8]
+    import pyarrow as pa
+
+    rows_of = [(int(g >> np.uint64(1)), i, 146, 3, i) for g in shared for i in range(150)]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*rows_of)), pa.array([bits[r[1]] for r in rows_of], pa.binary())], names=["key", "node", "n", "at", "root", "bits"])
+    list(noted([batch], 0.8))
+    assert sum(made) == 0 and s.keep_one_each(docs(rows)).count() == 150
