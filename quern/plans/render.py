@@ -9,6 +9,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
+from ..functions.texts import TEX_ESCAPES
+
 
 def number(x: object, digits: int = 3) -> str:
     if x is None:
@@ -23,11 +25,8 @@ def percent(rate: float | None, lower: float | None = None, upper: float | None
     return f"{100 * rate:.1f}%" + (f" [{100 * lower:.1f}, {100 * upper:.1f}]" if lower is not None and upper is not None else "")
 
 
-_TEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
-
-
 def tex(text: str) -> str:
-    return "".join(_TEX.get(c, c) for c in text)
+    return "".join(TEX_ESCAPES.get(c, c) for c in text)
 
 
 def table(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, cell: Callable[[object], str] = number) -> str:

@@ -185,7 +185,7 @@ def s37(spark, sf):
     return _rates(spark, sf).select("source", texts.interval_text(F.col("rate"), F.col("lower"), F.col("upper")).alias("text"))
 
 
-@query("s38_tex_escapes", r"select p_partkey, replace(replace(replace(p_name || '_50%&' || p_brand, '&', '\&'), '%', '\%'), '_', '\_') as text from part")
+@query("s38_tex_escapes", r"select p_partkey, replace(replace(replace(replace(p_name || '_50%&' || p_brand, '&', '\&'), '%', '\%'), '_', '\_'), '#', '\#') as text from part")
 def s38(spark, sf):
     return table(spark, sf, "part").select("p_partkey", texts.tex_text(F.concat("p_name", F.lit("_50%&"), "p_brand")).alias("text"))
 
