@@ -1,28 +1,24 @@
-"""Stupid-backoff scores of every document against all other documents.
-
-Counts of words and word pairs are tables dealt by n-gram hash. A task turns its documents
-into groups of about a million words: a word list with hashes, the documents as numbers
-into that list, and for each order the group's distinct n-gram hashes with their counts,
-sorted, so that every bucket of hashes is one slice. Buckets add up the counts over all
-groups (a frequent word is one row from each group, not one for each place), and answer
-each group's slice. A group's answers then meet its documents again; scores are worked
-out place by place and summed for each document. A document's own n-grams are taken off
-the counts, so each is judged by the rest of the corpus.
-
-S(w | v) = c(v w) / c(v) if the pair is known, else 0.4 c(w) / N, and 0.4 / (N + 1) for a
-word that no other document has; a document's first word has no pair and no factor 0.4.
-With ``order`` n the longest known of n, n - 1 ... words is taken, and each step down that the
-place in its document allows costs a factor of 0.4.
-
-Slices are packed as long as a group has many n-grams in a bucket. With very many groups and
-buckets a slice comes down to one n-gram, and the exchange to a row for each distinct n-gram
-of a group: linear in the corpus, never groups times buckets.
+"""Stupid-backoff scores of every document against all other documents, relationally.
+
+Texts are exploded into their n-grams of 1 to ``order`` words, named by hashes of their
+words' hashes. One table, dealt by hash, has the count of every n-gram that occurs in more
+than one document (no other can be known to a document from the rest of the corpus); what a
+task met is added up there before it is shuffled. The documents' own n-grams, one row for
+each distinct longest one of a document, are joined to the count table: first the longest
+n-grams, then of known ones their prefix, which divides, and of unknown ones their suffix,
+to which the score backs off, and so on down. Logarithms are summed for each document. Rows
+of n-grams that make up a large share of all (a frequent word) are spread over many tasks.
+A document's own n-grams are taken off the counts, so each is judged by the rest.
+
+S(w | v) = c(v w) / c(v) if the n-gram is known, else 0.4 S(w | v without its first word), with
+c(w) / N for a word alone and 1 / (N + 1) for one that no other document has. A place near a
+document's start has no longer n-gram and pays nothing for that.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,14 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import columns_or_null, prepare, shuffle_partitions, stage
+from ._store import columns_or_null, frequent, join_spread, prepare, stage
 
+ORDER = 3
 BACKOFF = 0.4
-GROUP_WORDS = 1_000_000
-#: Distinct n-grams that a bucket should hold, by which the number of buckets grows.
-BUCKET_NGRAMS = 2_000_000
+#: Bytes of text that are exploded together.
+TEXT_BYTES = 4_000_000
 _SEED = 42
-DOCUMENTS = 0
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -54,205 +49,121 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(mix(first + _MIX[0]) + second)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = len(self)
+class Places:
+    """The places of all words of some texts: for every length of n-gram the hash of the one that
+    ends there, and whether the place has one."""
+
+    def __init__(self, texts: list[bytes], order: int):
+        index: dict[bytes, int] = {}
+        words = [[index.setdefault(w, len(index)) for w in t.lower().split()] for t in texts]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in index), dtype=np.uint64, count=len(index))
+        self.sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)
+        single = hashes[np.fromiter(itertools.chain.from_iterable(words), dtype=np.int64, count=len(self.text))]
+        at = np.arange(len(single)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.hashes, self.there = {1: single}, {k: at >= k - 1 for k in range(1, order + 1)}
+        for k in range(2, order + 1):
+            grams = np.zeros(len(single), dtype=np.uint64)
+            grams[1:] = pair_hashes(self.hashes[k - 1][:-1], single[1:])
+            self.hashes[k] = grams
+
+    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places that have an n-gram of ``k`` words, ordered by text and n-gram; where a new pair of
+        them begins; and how often each pair occurs."""
+        own = np.flatnonzero(self.there[k])
+        own = own[np.lexsort((self.hashes[k][own], self.text[own]))]
+        text, gram = self.text[own], self.hashes[k][own]
+        first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])][: len(own)])
+        return own, first, np.diff(np.r_[first, len(own)])
+
+    def own_counts(self, k: int) -> np.ndarray:
+        """For every place how often its text has its n-gram of ``k`` words; 0 without one."""
+        own, _, n = self.runs(k)
+        out = np.zeros(len(self.text), dtype=np.int64)
+        out[own] = np.repeat(n, n)
         return out
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, each behind its type and length, in one zlib stream.
+def _parcels(texts: list[bytes]) -> Iterator[slice]:
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= TEXT_BYTES or i == len(texts) - 1:
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
 
-    An array's first bytes come first, then its second ones and so on: numbers that are
-    mostly small then compress well.
-    """
-    def planes(a: np.ndarray) -> bytes:
-        return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
-
-    return zlib.compress(b"".join(a.dtype.str.encode().ljust(4) + np.int64(len(a)).tobytes() + planes(a) for a in arrays), 1)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    body, at, out = zlib.decompress(data), 0, []
-    while at < len(body):
-        kind, n = np.dtype(body[at : at + 4].decode().strip()), int(np.frombuffer(body, np.int64, 1, at + 4)[0])
-        size = n * kind.itemsize
-        planes = np.frombuffer(body, np.uint8, size, at + 12).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind) if n else np.empty(0, dtype=kind))
-        at += 12 + size
-    return out
-
-
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-
-
-def _pack_hashes(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted distinct hashes: the first, then gaps in as few whole bytes as the largest needs."""
-    if not len(sorted_hashes):
-        return b""
-    gaps = np.diff(sorted_hashes)
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    body = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    return bytes([width]) + sorted_hashes[:1].astype("<u8").tobytes() + body
-
-
-def _unpack_hashes(data: bytes) -> np.ndarray:
-    if not data:
-        return np.empty(0, dtype=np.uint64)
-    width = data[0]
-    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    wide = np.zeros((len(rest) + 1, 8), dtype=np.uint8)
-    wide[1:, :width] = rest
-    wide[0] = np.frombuffer(data, np.uint8, 8, 1)
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
-
-
-def _grams(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For 2 to ``order`` words: hash of the n-gram that ends at each place, and whether the place has one."""
-    single = hashes[ids] if len(ids) else np.zeros(0, dtype=np.uint64)
-    last, whole = single, np.ones(len(ids), dtype=bool)
-    for n in range(2, order + 1):
-        grams, full = np.zeros(len(ids), dtype=np.uint64), np.zeros(len(ids), dtype=bool)
-        grams[1:] = pair_hashes(last[:-1], single[1:])
-        full[1:] = whole[:-1]
-        full[starts[starts < len(ids)]] = False
-        last, whole = grams, full
-        yield grams, full
-
-
-_DEAL = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("group", pa.int64()), ("body", pa.binary()), ("counts", pa.binary())])
-DEAL_SCHEMA = "order int, bucket long, group long, body binary, counts binary"
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEAL)], schema=_DEAL)
-
-
-def _slices(order: int, group: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple]:
-    """A row for each bucket (the hash's leading bits) that the sorted hashes touch."""
-    buckets = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
-    cuts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(hashes) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(hashes)]):
-        yield order, int(buckets[lo]), group, _pack_hashes(hashes[lo:hi]), _pack(_narrow(counts[lo:hi]))
-
-
-def _count_task(batches: Iterable[pa.RecordBatch], bits: tuple[int, ...], group_words: int) -> Iterator[pa.RecordBatch]:
-    base, chunk = TaskContext.get().partitionId() << 32, 0
-    words, keys, nulls, places, sizes = _Words(), [], [], [], []
-    total = 0
-
-    def close() -> pa.RecordBatch:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in words), dtype=np.uint64, count=len(words))
-        ids = np.concatenate(places) if places else np.empty(0, dtype=np.int32)
-        n = np.array(sizes, dtype=np.int64)
-        starts = np.cumsum(n) - n
-        group = base + chunk
-        # Frequent words get small numbers, which take fewest bytes.
-        seen = np.bincount(ids, minlength=len(hashes))
-        order = np.argsort(-seen, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        body = _pack(np.array(keys, dtype=np.int64), np.array(nulls, dtype=np.uint8), n, hashes[order], _narrow(rank[ids]))
-        rows = [(DOCUMENTS, group, group, body, b"")]
-        sort = np.argsort(hashes)
-        rows += _slices(1, group, hashes[sort], seen[sort], bits[0])
-        for n, (grams, full) in enumerate(_grams(hashes, ids, starts, len(bits)), 2):
-            rows += _slices(n, group, *np.unique(grams[full], return_counts=True), bits[n - 1])
-        return _batch(rows)
 
+def _count_task(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """``(k, h, m, docs)``: n-grams of some texts, their places and the texts that have them."""
     for b in batches:
-        for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            found = (text or b"").lower().split()
-            places.append(np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found)))
-            keys.append(key or 0)
-            nulls.append(key is None)
-            sizes.append(len(found))
-            total += len(found)
-            if total >= group_words:
-                yield close()
-                words, keys, nulls, places, sizes, total, chunk = _Words(), [], [], [], [], 0, chunk + 1
-    if keys:
-        yield close()
-
-
-def _bucket_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers for every slice: the corpus counts of its n-grams, in its order."""
-    held: dict[tuple, list] = {}
-    for b in batches:
-        for order, bucket, group, body, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if order == DOCUMENTS:
-                yield _batch([(order, bucket, group, body, counts)])
-            else:
-                held.setdefault((order, bucket), []).append((group, body, counts))
-    for (order, bucket), slices in held.items():
-        hashes = [_unpack_hashes(body) for _, body, _ in slices]
-        counts = np.concatenate([_unpack(c)[0] for _, _, c in slices]).astype(np.int64)
-        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(at, counts).astype(np.int64)[at]
-        ends = np.cumsum([len(h) for h in hashes])
-        for (group, _, _), size, end in zip(slices, map(len, hashes), ends):
-            yield _batch([(order, bucket, group, b"", _pack(_narrow(totals[end - size : end])))])
-        slices.clear()
-
-
-def _less_own(at: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Count of each place's n-gram in other documents; ``at`` numbers the n-grams."""
-    _, back, own = np.unique(doc * np.int64(len(totals)) + at, return_inverse=True, return_counts=True)
-    return totals[at] - own[back]
-
-
-def _score_group(body: bytes, answers: dict[int, list], order: int) -> list[np.ndarray]:
-    keys, nulls, n, hashes, ids = _unpack(body)
-    ids, docs = ids.astype(np.int64), len(n)
-    doc = np.repeat(np.arange(docs), n)
-    starts = np.cumsum(n) - n
-
-    def totals(order: int) -> np.ndarray:
-        parts = [_unpack(c)[0] for _, c in sorted(answers.get(order, []))]
-        return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, dtype=np.int64)
-
-    sort = np.argsort(hashes)
-    ones = np.empty(len(hashes), dtype=np.int64)
-    ones[sort] = totals(1)
-    single = _less_own(ids, doc, ones) if len(ids) else np.empty(0, dtype=np.int64)
-    counts, whole = [single], [np.ones(len(ids), dtype=bool)]
-    for k, (grams, full) in enumerate(_grams(hashes, ids, starts, order), 2):
-        count = np.zeros(len(ids), dtype=np.int64)
-        if full.any():
-            _, at = np.unique(grams[full], return_inverse=True)
-            count[full] = _less_own(at, doc[full], totals(k))
-        counts.append(count)
-        whole.append(full)
-    value, left, kinds = np.zeros(len(ids)), np.ones(len(ids), dtype=bool), []
-    for k in range(order, 0, -1):
-        known = left & (counts[k - 1] > 0)
-        value[known] += np.log(counts[k - 1][known])
-        if k > 1:
-            before = np.r_[0, counts[k - 2][:-1]] if len(ids) else counts[k - 2]
-            value[known] -= np.log(before[known])
-            value[left & ~known & whole[k - 1]] += math.log(BACKOFF)
-        left = left & ~known
-        kinds.append(known)
-    counted = [np.bincount(doc, x, docs) for x in (value, *kinds, left)]
-    return [keys, nulls, n, *counted]
-
-
-def _document_task(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    bodies: dict[int, bytes] = {}
-    answers: dict[int, dict[int, list]] = {}
+        texts = [t or b"" for t in b.column("text").to_pylist()]
+        for part in _parcels(texts):
+            places = Places(texts[part], order)
+            for k in range(1, order + 1):
+                own, first, n = places.runs(k)
+                grams, at, docs = np.unique(places.hashes[k][own[first]], return_inverse=True, return_counts=True)
+                m = np.bincount(at, n, len(grams)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(grams), k, dtype=np.int32)), pa.array(grams.view(np.int64)), pa.array(m), pa.array(docs.astype(np.int64))], names=["k", "h", "m", "docs"]
+                )
+
+
+def ngram_counts(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
+    """``(k, h, c)``: the count of every n-gram of up to ``order`` words that more than one document has."""
+    prepare(docs.sparkSession)
+    rows = columns_or_null(docs, text=(text_col, "binary"))
+    exploded = rows.mapInArrow(lambda b: _count_task(b, order), "k int, h long, m long, docs long")
+    counts = exploded.groupBy("k", "h").agg(F.sum("m").alias("c"), F.sum("docs").alias("docs"))
+    return counts.where("docs > 1").select("k", "h", "c")
+
+
+def _columns(order: int) -> list[tuple[str, int]]:
+    """Names and lengths of the n-grams of a row: the longest, then of each its prefix and suffix."""
+    return [(f"h{order}", order), *itertools.chain.from_iterable(((f"p{k}", k - 1), (f"h{k - 1}", k - 1)) for k in range(order, 1, -1))]
+
+
+def _schema(order: int) -> str:
+    return "row long, doc_id long, n_words long, m int, longest int, " + ", ".join(f"{n} long, o{n} int" for n, _ in _columns(order))
+
+
+def _explode_task(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct longest n-gram that ends at a place of a document: how often, and
+    the hashes and the document's own counts of all n-grams that its score may need. The first
+    row of a document has its id and length; one without words has a row that matches nothing."""
+    base, done = TaskContext.get().partitionId() << 33, 0
     for b in batches:
-        for n, bucket, group, body, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if n == DOCUMENTS:
-                bodies[group] = body
-            else:
-                answers.setdefault(group, {}).setdefault(n, []).append((bucket, counts))
-    for group, body in bodies.items():
-        keys, nulls, n, value, *kinds = _score_group(body, answers.pop(group, {}), order)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, mask=nulls.astype(bool)), *(pa.array(x.astype(np.int64)) for x in (n, *kinds)), pa.array(value)],
-            names=["doc_id", "n_words", *_kinds(order), "value"],
-        )
+        ids, texts = b.column("doc_id"), [t or b"" for t in b.column("text").to_pylist()]
+        for part in _parcels(texts):
+            places = Places(texts[part], order)
+            row = base + done + np.arange(part.stop - part.start)
+            done += len(row)
+            longest = np.minimum(np.arange(len(places.text)) - np.repeat(np.cumsum(places.sizes) - places.sizes, places.sizes) + 1, order)
+            key = np.choose(longest - 1, [places.hashes[k] for k in range(1, order + 1)]) if len(longest) else places.hashes[1]
+            sort = np.lexsort((key, longest, places.text))
+            new = np.r_[True, (key[sort][1:] != key[sort][:-1]) | (longest[sort][1:] != longest[sort][:-1]) | (places.text[sort][1:] != places.text[sort][:-1])][: len(sort)]
+            at, times = sort[new], np.diff(np.r_[np.flatnonzero(new), len(sort)])
+            text = places.text[at]
+            leads = np.r_[True, text[1:] != text[:-1]][: len(at)]
+            none = np.flatnonzero(places.sizes == 0)
+            all_rows, n = row[np.r_[text, none]], len(at) + len(none)
+            lead = np.r_[leads, np.ones(len(none), dtype=bool)]
+            taken = ids[part].take(pa.array(np.r_[text, none]))
+            arrays = [
+                pa.array(all_rows), pa.array(taken.to_pandas().where(lead), pa.int64(), from_pandas=True), pa.array(places.sizes[np.r_[text, none]], mask=~lead),
+                pa.array(np.r_[times, np.zeros(len(none))].astype(np.int32)), pa.array(np.r_[longest[at], np.zeros(len(none))].astype(np.int32)),
+            ]
+            names = ["row", "doc_id", "n_words", "m", "longest"]
+            own = {k: places.own_counts(k) for k in range(1, order + 1)}
+            for i, (name, k) in enumerate(_columns(order)):
+                prefix = name[0] == "p"
+                back = np.maximum(at - prefix, 0)
+                there = places.there[k + prefix][at]
+                # What is not there gets a name of its own, which no table has and no task gathers.
+                odd = mix(all_rows.astype(np.uint64) * _MIX[0] + np.arange(n, dtype=np.uint64) * np.uint64(64) + np.uint64(i))
+                odd[: len(at)][there] = places.hashes[k][back][there]
+                arrays += [pa.array(odd.view(np.int64)), pa.array(np.r_[np.where(there, own[k][back], 0), np.zeros(len(none))].astype(np.int32))]
+                names += [name, f"o{name}"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def _kinds(order: int) -> list[str]:
@@ -261,31 +172,44 @@ def _kinds(order: int) -> list[str]:
     return [*[names.get(k, f"n_{k}_grams") for k in range(order, 0, -1)], "n_unseen"]
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_words: int = GROUP_WORDS, bucket_ngrams: int = BUCKET_NGRAMS, order: int = 2) -> DataFrame:
-    """``(doc_id, n_words, n_pairs, n_singles, n_unseen, score)`` of every row;
-    above order 2 the counts of longer n-grams (``n_triples``, ``n_4_grams`` ...) stand before ``n_pairs``.
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """``(doc_id, n_words, n_triples, n_pairs, n_singles, n_unseen, score)`` of every row (with the
+    names of the n-grams up to ``order``).
 
     ``score`` is the mean natural logarithm of S over the document's words (A-Z in lower
-    case, split at ASCII white space); ``n_pairs``, ``n_singles`` and ``n_unseen`` tell how
-    many words were scored at each step. A text without words, or null, has a null score; a
-    null id stays null; repeated rows count as documents of their own; an empty table gives
-    no rows.
+    case, split at ASCII white space); the counts tell how many words were scored at each step. A
+    text without words, or null, has a null score; a null id stays null; repeated rows count as
+    documents of their own; an empty table gives no rows; other columns are not looked at.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
+    counts = stage(ngram_counts(docs, order, text_col), "ngram-counts")
     rows = columns_or_null(docs, doc_id=(id_col, "long"), text=(text_col, "binary"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    words = size // 6 + 1
-
-    def bits(share: float) -> int:
-        return max(0, math.ceil(math.log2(max(1.0, words * share / bucket_ngrams))))
-
-    parts = shuffle_partitions(spark, words, 4 * bucket_ngrams)
-    widths = (bits(0.25), *[bits(1.0)] * (order - 1))
-    dealt = rows.mapInArrow(lambda b: _count_task(b, widths, group_words), DEAL_SCHEMA)
-    answered = dealt.repartition(parts, "order", "bucket").mapInArrow(_bucket_task, DEAL_SCHEMA)
-    scored = answered.repartition(parts, "group").mapInArrow(lambda b: _document_task(b, order), ", ".join(["doc_id long, n_words long", *[f"{k} long" for k in _kinds(order)], "value double"]))
-    scored = stage(scored, "lm-scores")
+    left = rows.mapInArrow(lambda b: _explode_task(b, order), _schema(order))
+    kinds = dict(zip(range(order, -1, -1), _kinds(order)))
+    # open: looked for at this step; known: found at the step before, its prefix divides now.
+    left = left.withColumns({"state": F.lit("open"), "value": F.lit(0.0)})
+    for k in range(order, 0, -1):
+        table = counts.where(F.col("k") == k).select(F.col("h").alias("key"), "c")
+        known, open_ = F.col("state") == "known", F.col("state") == "open"
+        key, own = F.col(f"h{k}"), F.col(f"oh{k}")
+        if k < order:
+            key = F.when(known, F.col(f"p{k + 1}")).when(open_, key).otherwise(F.xxhash64("row", f"h{k}"))
+            own = F.when(known, F.col(f"op{k + 1}")).otherwise(own)
+        later = [c for n, _ in _columns(k) for c in (n, f"o{n}")][2:]
+        carried = ["row", "doc_id", "n_words", "m", "longest", "state", "value", *[kinds[j] for j in range(order, k, -1)], *later]
+        left = left.select(*carried, key.alias("key"), own.alias("own"))
+        left = join_spread(left, table, "key", frequent(table, "key", "c"))
+        others = F.coalesce(F.col("c") - F.col("own"), F.lit(0))
+        log = F.col("m") * F.log(F.greatest(others, F.lit(1)).cast("double"))
+        found = open_ & (others > 0)
+        step = F.when(known, -log).when(found, log).otherwise(F.when(open_ & (F.col("longest") >= k) & F.lit(k > 1), F.col("m") * math.log(BACKOFF)).otherwise(0.0))
+        state = F.when(known, "done").when(found, F.lit("known" if k > 1 else "done")).otherwise(F.col("state"))
+        left = left.select(*[c for c in carried if c not in ("state", "value")], state.alias("state"), (F.col("value") + step).alias("value"), F.when(found, F.col("m")).otherwise(0).alias(kinds[k]))
+    left = left.withColumn(kinds[0], F.when(F.col("state") == "open", F.col("m")).otherwise(0))
+    sums = [F.sum(name).alias(name) for name in kinds.values()]
+    scored = left.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("value").alias("value"), *sums)
+    scored = stage(scored.drop("row"), "lm-scores")
     total = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    others = F.lit(total) - F.col("n_words")
-    value = F.col("value") - F.col("n_singles") * F.log(F.greatest(others, F.lit(1)).cast("double")) - F.col("n_unseen") * F.log(others + 1.0)
-    return scored.select("doc_id", "n_words", *_kinds(order), F.when(F.col("n_words") > 0, value / F.col("n_words")).alias("score"))
+    rest = F.lit(total) - F.col("n_words")
+    value = F.col("value") - F.col("n_singles") * F.log(F.greatest(rest, F.lit(1)).cast("double")) - F.col("n_unseen") * F.log(rest + 1.0)
+    return scored.select("doc_id", "n_words", *kinds.values(), F.when(F.col("n_words") > 0, value / F.col("n_words")).alias("score"))

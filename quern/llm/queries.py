@@ -101,12 +101,6 @@ def op9_stupid_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
-def op9_stupid_backoff_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm_scoring import score_documents
-
-    return score_documents(table(spark, sf_dir, "documents"), order=3).withColumn("score", F.round("score", 6))
-
-
 def op10_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import label_documents
 

@@ -49,19 +49,24 @@ from d left join c on c.r = d.r left join s on s.r = d.r
 
 OP9 = rf"""
 with d as (select row_number() over () as r, doc_id, {_SPACE.format(_LOWER)} as w from documents),
-p as (select r, i, w[i] as word, case when i > 1 then w[i - 1] end as prev from d, unnest(generate_series(1, len(w))) as u(i)),
+p as (select r, i, w[i] as word, case when i > 1 then w[i - 1] end as prev, case when i > 2 then w[i - 2] end as far from d, unnest(generate_series(1, len(w))) as u(i)),
 c1 as (select word, count(*) as c from p group by word), m1 as (select r, word, count(*) as m from p group by r, word),
 c2 as (select prev, word, count(*) as c from p where prev is not null group by prev, word),
 m2 as (select r, prev, word, count(*) as m from p where prev is not null group by r, prev, word),
-x as (select p.r, p.prev, c1.c - m1.m as a, coalesce(c2.c - m2.m, 0) as b, coalesce(cp.c - mp.m, 0) as v
+c3 as (select far, prev, word, count(*) as c from p where far is not null group by far, prev, word),
+m3 as (select r, far, prev, word, count(*) as m from p where far is not null group by r, far, prev, word),
+x as (select p.r, p.prev, p.far, c1.c - m1.m as a, coalesce(c2.c - m2.m, 0) as b, coalesce(c3.c - m3.m, 0) as t, coalesce(cp.c - mp.m, 0) as v, coalesce(cq.c - mq.m, 0) as vb
       from p join c1 using (word) join m1 on m1.r = p.r and m1.word = p.word
       left join c2 on c2.prev = p.prev and c2.word = p.word left join m2 on m2.r = p.r and m2.prev = p.prev and m2.word = p.word
-      left join c1 cp on cp.word = p.prev left join m1 mp on mp.r = p.r and mp.word = p.prev),
+      left join c3 on c3.far = p.far and c3.prev = p.prev and c3.word = p.word left join m3 on m3.r = p.r and m3.far = p.far and m3.prev = p.prev and m3.word = p.word
+      left join c1 cp on cp.word = p.prev left join m1 mp on mp.r = p.r and mp.word = p.prev
+      left join c2 cq on cq.prev = p.far and cq.word = p.prev left join m2 mq on mq.r = p.r and mq.prev = p.far and mq.word = p.prev),
 n as (select count(*) as total from p),
-s as (select r, sum((b > 0)::int)::bigint as n_pairs, sum((b = 0 and a > 0)::int)::bigint as n_singles, sum((b = 0 and a = 0)::int)::bigint as n_unseen,
-             sum(case when b > 0 then ln(b) - ln(v) else (case when prev is not null then ln(0.4) else 0 end) + (case when a > 0 then ln(a) else 0 end) end) as value
+s as (select r, sum((t > 0)::int)::bigint as n_triples, sum((t = 0 and b > 0)::int)::bigint as n_pairs, sum((t = 0 and b = 0 and a > 0)::int)::bigint as n_singles, sum((t = 0 and b = 0 and a = 0)::int)::bigint as n_unseen,
+             sum(case when t > 0 then ln(t) - ln(vb) else (case when far is not null then ln(0.4) else 0 end)
+                 + case when b > 0 then ln(b) - ln(v) else (case when prev is not null then ln(0.4) else 0 end) + (case when a > 0 then ln(a) else 0 end) end end) as value
       from x group by r)
-select doc_id, len(w)::bigint as n_words, coalesce(n_pairs, 0) as n_pairs, coalesce(n_singles, 0) as n_singles, coalesce(n_unseen, 0) as n_unseen,
+select doc_id, len(w)::bigint as n_words, coalesce(n_triples, 0) as n_triples, coalesce(n_pairs, 0) as n_pairs, coalesce(n_singles, 0) as n_singles, coalesce(n_unseen, 0) as n_unseen,
        round((value - n_singles * ln(greatest(total - len(w), 1)) - n_unseen * ln(total - len(w) + 1)) / len(w), 6) as score
 from d cross join n left join s on s.r = d.r
 """

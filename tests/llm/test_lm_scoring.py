@@ -32,27 +32,30 @@ def brute(rows):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("extra,group_words,bucket_ngrams", [(False, 1_000_000, 2_000_000), (True, 60, 50)])
-def test_equals_brute_force(docs, hard_rows, extra, group_words, bucket_ngrams):
+@pytest.mark.parametrize("extra,text_bytes", [(False, 4_000_000), (True, 300)])
+def test_equals_brute_force(docs, hard_rows, monkeypatch, extra, text_bytes):
+    monkeypatch.setattr(lm, "TEXT_BYTES", text_bytes)
     rng = np.random.default_rng(0)
     rows = [r for r in hard_rows if r[0] != 6] + [(100 + i, " ".join(f"W{x}" for x in rng.zipf(1.3, 30) % 40)) for i in range(60)]
-    found = lm.score_documents(docs(rows, extra), group_words=group_words, bucket_ngrams=bucket_ngrams).collect()
+    found = lm.score_documents(docs(rows, extra), order=2).collect()
     got = sorted(repr((r["doc_id"], r["n_words"], r["n_pairs"], r["n_singles"], r["n_unseen"], None if r["score"] is None else round(r["score"], 6))) for r in found)
     assert got == brute(rows)
 
 
-def test_packing_of_numbers():
-    rng = np.random.default_rng(1)
-    for n in (0, 1, 2, 1000):
-        h = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        assert np.array_equal(lm._unpack_hashes(lm._pack_hashes(h)), h)
-        a, b = rng.integers(0, 300, n), rng.integers(0, 2**40, n).astype(np.uint64)
-        x, y = lm._unpack(lm._pack(lm._narrow(a), b))
-        assert np.array_equal(x, a) and np.array_equal(y, b)
+def test_counts_are_of_ngrams_in_two_documents_or_more(docs):
+    counts = lm.ngram_counts(docs([(1, "a b a b"), (2, "b a"), (3, "c c c")]), order=2).collect()
+    assert sorted((r["k"], r["c"]) for r in counts) == [(1, 3), (1, 3), (2, 2)]
+
+
+def test_a_very_frequent_word_is_spread(docs):
+    rows = [(i, f"the the the w{i % 7}") for i in range(400)]
+    got = {(r["doc_id"], r["n_triples"], round(r["score"], 6)) for r in lm.score_documents(docs(rows)).collect()}
+    want = {r["doc_id"]: r for r in lm.score_documents(docs(rows, parts=1)).collect()}
+    assert len(got) == 400 and all(n == want[k]["n_triples"] and s == round(want[k]["score"], 6) for k, n, s in got)
 
 
 def test_only_document_and_empty(docs):
-    r = lm.score_documents(docs([(1, "a b a")])).first()
+    r = lm.score_documents(docs([(1, "a b a")]), order=2).first()
     assert (r["n_unseen"], r["n_words"]) == (3, 3) and r["score"] == pytest.approx(2 * math.log(0.4) / 3)
     assert lm.score_documents(docs([])).count() == 0
 
@@ -82,8 +85,8 @@ def test_order_three_equals_brute_force(docs):
                 kinds[3] += 1
                 value -= math.log(others + 1)
         want[key] = (*kinds, pytest.approx(value / len(t)) if t else None)
-    for group_words, bucket_ngrams in ((1_000_000, 2_000_000), (60, 50)):
-        found = lm.score_documents(docs(rows), group_words=group_words, bucket_ngrams=bucket_ngrams, order=3).collect()
+    for parts in (1, 5):
+        found = lm.score_documents(docs(rows, parts=parts), order=3).collect()
         assert len(found) == len(rows) and sum(r["n_triples"] for r in found) > 0
         for r in found:
             assert (r["n_triples"], r["n_pairs"], r["n_singles"], r["n_unseen"], r["score"]) == want[r["doc_id"]]
