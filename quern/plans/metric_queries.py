@@ -290,44 +290,81 @@ def _boot_rows(spark, sf):
     return cohort(spark, sf).where("split = 'test'").withColumn("cell", F.concat_ws("|", "label", "source"))
 
 
-@query("m18_bootstrap_weights")
+#: Draws of the stratified cluster bootstrap by hash, as SQL: tables ``test`` and ``weights``.
+DRAWS = f"""{C}, test as (select *, label || '|' || source as cell from cohort where split = 'test'), pc as (select distinct cluster, cell from test),
+ce as (select distinct a.cell as a, b.cell as b from pc a join pc b on a.cluster = b.cluster), cr(node, root) as (select a, a from ce union select e.b, r.root from cr r join ce e on r.node = e.a),
+st as (select node as cell, min(root) as stratum from cr group by node), cs as (select distinct cluster, stratum from pc join st using (cell)),
+pl as (select *, row_number() over (partition by stratum order by substr(sha256(cluster), 1, 3), cluster) - 1 as place, count(*) over (partition by stratum) as n from cs),
+dr as (select replicate, stratum, floor((('0x' || substr(sha256('260905:' || replicate || ':' || stratum || ':' || place), 1, 13))::ubigint / 4503599627370496.0::double) * n)::bigint as place from pl, range(2000) as g(replicate)),
+weights as (select replicate::int as replicate, cluster, count(*)::int as w from dr join pl using (stratum, place) group by replicate, cluster)"""
+
+
+def _drawn(spark, sf):
+    return bootstrap.bootstrap_weights(_boot_rows(spark, sf), hashed=True)
+
+
+@query("m18_bootstrap_weights", f"with recursive {DRAWS} select replicate, cluster, w from weights")
 def m18(spark, sf):
-    return bootstrap.bootstrap_weights(_boot_rows(spark, sf))
-
-
-@query("m13_weighted_metrics", f"""with {C}, t as (select *, (track_id % 5)::bigint as w from cohort where split = 'test'),
-x as (select lang, source, label, sum(case when prob is not null then w else 0 end) as s, sum(case when prob >= 0.5 then w else 0 end) as c, sum(w) as a from t group by lang, source, label),
-y as (select lang, sum(case when label = 1 then c else 0 end) as tp, sum(case when label = 1 then s - c else 0 end) as fn, sum(case when label = 0 then c else 0 end) as fp, sum(case when label = 0 then s - c else 0 end) as tn, sum(s) as s, sum(a) as a,
-  case when count(*) filter (label = 1 and s = 0) = 0 then avg(c / nullif(s, 0)::double) filter (label = 1) end as macro_TPR, case when count(*) filter (label = 0 and s = 0) = 0 then avg(c / nullif(s, 0)::double) filter (label = 0) end as macro_FPR from x group by lang),
-k as (select lang, prob, sum(case when label = 1 then w else 0 end) as p, sum(case when label = 0 then w else 0 end) as n from t where prob is not null group by lang, prob),
-z as (select *, sum(p) over (partition by lang order by prob desc) as cp from k),
-r as (select lang, sum(n * (cp - p + p / 2.0)) / nullif(sum(p) * sum(n), 0)::double as auroc from z group by lang)
-select y.lang, tp::bigint as "TP", fn::bigint as "FN", fp::bigint as "FP", tn::bigint as "TN", s::bigint as scored, a::bigint as attempted, round(s / nullif(a, 0)::double, 9) as coverage, round(tp / nullif(tp + fp, 0)::double, 9) as precision,
-  round(tp / nullif(tp + fn, 0)::double, 9) as "TPR", round(fp / nullif(fp + tn, 0)::double, 9) as "FPR", round(1 - fp / nullif(fp + tn, 0)::double, 9) as specificity,
-  case when tp + fn > 0 and fp + tn > 0 then round(2 * tp / (2 * tp + fp + fn)::double, 9) end as "F1", case when tp + fn > 0 and fp + tn > 0 then round(0.5 * (tp / (tp + fn)::double + 1 - fp / (fp + tn)::double), 9) end as balanced_accuracy,
-  round((tp + tn) / nullif(a, 0)::double, 9) as all_attempt_correctness, round(macro_TPR, 9) as "macro_TPR", round(macro_FPR, 9) as "macro_FPR", round(auroc, 9) as "AUROC" from y left join r on y.lang = r.lang""")
+    return _drawn(spark, sf)
+
+
+@query("m18_bootstrap_weights_numpy")
+def m18_numpy(spark, sf):
+    return bootstrap.bootstrap_weights(_boot_rows(spark, sf), hashed=False)
+
+
+#: Weighted metrics of the groups {g} of a table {t} with a weight w, as SQL: a table ``met``.
+WEIGHTED = """x as (select {g}, source, label, sum(case when prob is not null then w else 0 end) as s, sum(case when prob >= 0.5 then w else 0 end) as c, sum(w) as a from {t} group by {g}, source, label),
+y as (select {g}, sum(case when label = 1 then c else 0 end) as tp, sum(case when label = 1 then s - c else 0 end) as fn, sum(case when label = 0 then c else 0 end) as fp, sum(case when label = 0 then s - c else 0 end) as tn, sum(s) as s, sum(a) as a,
+  case when count(*) filter (label = 1 and s = 0) = 0 then avg(c / nullif(s, 0)::double) filter (label = 1) end as macro_TPR, case when count(*) filter (label = 0 and s = 0) = 0 then avg(c / nullif(s, 0)::double) filter (label = 0) end as macro_FPR from x group by {g}),
+k as (select {g}, prob, sum(case when label = 1 then w else 0 end) as p, sum(case when label = 0 then w else 0 end) as n from {t} where prob is not null group by {g}, prob),
+z as (select *, sum(p) over (partition by {g} order by prob desc) as cp from k),
+auc as (select {g}, sum(n * (cp - p + p / 2.0)) / nullif(sum(p) * sum(n), 0)::double as auroc from z group by {g}),
+met as (select y.*, s / nullif(a, 0)::double as coverage, tp / nullif(tp + fp, 0)::double as precision, tp / nullif(tp + fn, 0)::double as tpr, fp / nullif(fp + tn, 0)::double as fpr,
+  case when tp + fn > 0 and fp + tn > 0 then 2 * tp / (2 * tp + fp + fn)::double end as f1, case when tp + fn > 0 and fp + tn > 0 then 0.5 * (tp / (tp + fn)::double + 1 - fp / (fp + tn)::double) end as balanced,
+  (tp + tn) / nullif(a, 0)::double as correct, auroc from y left join auc using ({g}))"""
+_METRIC_NAMES = "['coverage', 'precision', 'TPR', 'FPR', 'specificity', 'F1', 'balanced_accuracy', 'all_attempt_correctness', 'macro_TPR', 'macro_FPR', 'AUROC']"
+_METRIC_VALUES = "[coverage, precision, tpr, fpr, 1 - fpr, f1, balanced, correct, macro_TPR, macro_FPR, auroc]"
+
+
+@query("m13_weighted_metrics", f"""with {C}, t as (select *, (track_id % 5)::bigint as w from cohort where split = 'test'), {WEIGHTED.format(g='lang', t='t')}
+select lang, tp::bigint as "TP", fn::bigint as "FN", fp::bigint as "FP", tn::bigint as "TN", s::bigint as scored, a::bigint as attempted, round(coverage, 9) as coverage, round(precision, 9) as precision,
+  round(tpr, 9) as "TPR", round(fpr, 9) as "FPR", round(1 - fpr, 9) as specificity, round(f1, 9) as "F1", round(balanced, 9) as balanced_accuracy,
+  round(correct, 9) as all_attempt_correctness, round(macro_TPR, 9) as "macro_TPR", round(macro_FPR, 9) as "macro_FPR", round(auroc, 9) as "AUROC" from met""")
 def m13(spark, sf):
     rows = cohort(spark, sf).where("split = 'test'").withColumn("w", (F.col("track_id") % 5).cast("long"))
     return rounded(bootstrap.metric_rows(rows, ["lang"]))
 
 
-@query("m16_bootstrap_summary")
+_ENDS = "round(quantile_cont(value, 0.025), 9) as lower, round(quantile_cont(value, 0.975), 9) as upper, count(value) as finite_replicates"
+
+
+@query("m16_bootstrap_summary", f"""with recursive {DRAWS}, t as (select test.*, replicate, w from test join weights using (cluster)), one as (select *, 0 as replicate, 1 as w from test),
+drawn as (with {WEIGHTED.format(g='replicate', t='t')} select replicate, unnest({_METRIC_NAMES}) as metric, unnest({_METRIC_VALUES}) as value from met),
+point as (with {WEIGHTED.format(g='replicate', t='one')} select unnest({_METRIC_NAMES}) as metric, unnest({_METRIC_VALUES}) as estimate from met), q as (select metric, {_ENDS} from drawn group by metric)
+select metric, round(estimate, 9) as estimate, lower, upper, finite_replicates, 2000 as replicates from point join q using (metric)""")
 def m16(spark, sf):
-    rows = _boot_rows(spark, sf)
-    return bootstrap.summarize(rows, bootstrap.bootstrap_weights(rows), bootstrap.REPLICATES)
+    return rounded(bootstrap.summarize(_boot_rows(spark, sf), _drawn(spark, sf), bootstrap.REPLICATES))
 
 
-@query("m17_paired_difference")
+@query("m17_paired_difference", f"""with recursive {DRAWS}, {cohort_sql('other', '260906')}, ids as (select track_id from test a join other b using (track_id) where a.prob is not null and b.prob is not null),
+pair as (select 'a' as model, track_id, source, label, prob, cluster from test semi join ids using (track_id) union all select 'b', track_id, source, label, prob, cluster from other semi join ids using (track_id)),
+t as (select model || '|' || replicate as cell, source, label, prob, w from pair join weights using (cluster)), one as (select model || '|one' as cell, source, label, prob, 1 as w from pair),
+drawn as (with {WEIGHTED.format(g='cell', t='t')} select split_part(cell, '|', 1) as model, split_part(cell, '|', 2) as replicate, unnest({_METRIC_NAMES}) as metric, unnest({_METRIC_VALUES}) as value from met),
+point as (with {WEIGHTED.format(g='cell', t='one')} select split_part(cell, '|', 1) as model, unnest({_METRIC_NAMES}) as metric, unnest({_METRIC_VALUES}) as value from met),
+d as (select metric, replicate, max(value) filter (model = 'a') - max(value) filter (model = 'b') as value from drawn group by metric, replicate), e as (select metric, max(value) filter (model = 'a') - max(value) filter (model = 'b') as estimate from point group by metric),
+q as (select metric, {_ENDS} from d group by metric) select metric, round(estimate, 9) as estimate, lower, upper, finite_replicates, 2000 as replicates from e join q using (metric)""")
 def m17(spark, sf):
-    rows, weights = _boot_rows(spark, sf), bootstrap.bootstrap_weights(_boot_rows(spark, sf))
     other = cohort(spark, sf, "260906").where("split = 'test'").withColumn("cell", F.concat_ws("|", "label", "source"))
-    return bootstrap.paired_difference(rows, other, weights, "track_id", bootstrap.REPLICATES)
+    return rounded(bootstrap.paired_difference(_boot_rows(spark, sf), other, _drawn(spark, sf), "track_id", bootstrap.REPLICATES))
 
 
-@query("m20_value_summary")
+@query("m20_value_summary", f"""with recursive {DRAWS}, v as (select replicate, sum(prob * w) / nullif(sum(w) filter (prob is not null), 0)::double as value from test join weights using (cluster) group by replicate),
+p as (select count(*) as attempted, count(prob) as complete, round(count(prob) / count(*)::double, 9) as coverage, round(avg(prob), 9) as estimate, round(quantile_cont(prob, 0.5), 9) as median, round(quantile_cont(prob, 0.9), 9) as p90, round(max(prob), 9) as max from test),
+q as (select {_ENDS} from v) select p.*, q.*, 2000 as replicates from p, q""")
 def m20(spark, sf):
     rows = _boot_rows(spark, sf)
-    return bootstrap.summarize_values(rows.withColumn("value", F.col("prob")), bootstrap.bootstrap_weights(rows), bootstrap.REPLICATES)
+    return rounded(bootstrap.summarize_values(rows.withColumn("value", F.col("prob")), _drawn(spark, sf), bootstrap.REPLICATES))
 
 
 @query("m19_lineage_bootstrap")

@@ -140,14 +140,14 @@ def test_clusters_are_drawn_whole_in_joined_strata(spark):
 
 
 def test_weights_by_hash_where_clusters_are_many(spark, monkeypatch):
-    monkeypatch.setattr(bootstrap, "DRIVER_CLUSTERS", 3)
+    monkeypatch.setattr(bootstrap, "DRIVER_DRAWS", 100)
     many = spark.range(400).select(F.concat(F.lit("c"), "id").alias("cluster"), F.lit("x").alias("cell"))
     w = bootstrap.bootstrap_weights(many, 50).agg(F.sum("w").alias("s"), F.max("w").alias("m")).first()
     assert abs(w["s"] / (400 * 50) - 1) < 0.05 and w["m"] <= 12
 
 
 def test_strata_keep_their_size_where_clusters_are_many(spark, monkeypatch):
-    monkeypatch.setattr(bootstrap, "DRIVER_CLUSTERS", 3)
+    monkeypatch.setattr(bootstrap, "DRIVER_DRAWS", 100)
     many = spark.range(300).select(F.concat(F.lit("c"), "id").alias("cluster"), F.when(F.col("id") < 3, "a").when(F.col("id") < 40, "b").otherwise("c").alias("cell"))
     linked = many.union(spark.createDataFrame([("c2", "b")], "cluster string, cell string"))
     for rows, sizes in ((many, {"a": 3, "b": 37, "c": 260}), (linked, {"a": 40, "c": 260})):
