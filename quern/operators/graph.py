@@ -80,3 +80,15 @@ def strata(entries: DataFrame, cluster: str, cell: str) -> DataFrame:
     found = components(links)
     cells = pairs.select(F.col("b").alias("cell")).distinct()
     return cells.join(found.withColumnRenamed("node", "cell"), "cell", "left").select("cell", F.coalesce("root", "cell").alias("stratum"))
+
+
+def ancestors(links: DataFrame, targets: DataFrame, name: str = "ancestors") -> DataFrame:
+    """``(node)``: the targets and everything that leads to them over ``links(a, b)``, in rounds that
+    each take one step back from what was new."""
+    new = stage(targets.select("node").distinct(), name)
+    found = new
+    while not new.isEmpty():
+        back = links.join(new.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node")).distinct()
+        new = stage(back.join(found, "node", "left_anti"), name)
+        found = found.union(new)
+    return found

@@ -241,3 +241,11 @@ def verify_production(cohort: DataFrame, lines: DataFrame, scores: DataFrame, fa
         F.when(F.col("s").isNotNull() & ~F.coalesce(F.col("prob").between(0, 1), F.lit(False)), "no probability"),
     ]
     return raw.unionByName(flags.select(named, F.explode(F.array_compact(F.array(*rules))).alias("rule")))
+
+
+def validated(entries: DataFrame, cached: DataFrame, key: str, digest: str, check: Column) -> DataFrame:
+    """``(key, ok, reused)`` of every entry: the cached result of the same content, or a new check."""
+    old = cached.select(F.col(key).alias("_k"), F.col(digest).alias("_d"), F.col("ok").alias("_ok"))
+    both = entries.join(old, (F.col(key) == F.col("_k")) & (F.col(digest) == F.col("_d")), "left")
+    reused = F.col("_d").isNotNull()
+    return both.select(key, F.when(reused, F.col("_ok")).otherwise(check).alias("ok"), reused.alias("reused"))

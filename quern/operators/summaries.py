@@ -180,3 +180,15 @@ def ranking(rows: DataFrame, value: str, tie: str) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy(value).orderBy(tie))
     placed = rows.withColumn("_at", inside).join(above, F.col(value) == F.col("_v"))
     return placed.withColumn("place", (F.col("_above") + F.col("_at")).cast("int")).drop("_at", "_v", "_above")
+
+
+def distinct_total(rows: DataFrame, by: list[str], identity: str, size: str) -> DataFrame:
+    """Total size of each group, every identity counted once however often it occurs."""
+    once = rows.groupBy(*by, identity).agg(F.max(size).alias("_s"))
+    return once.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_s").cast("long").alias("total"))
+
+
+def broken_links(pages: DataFrame, key: str, html: str, known: DataFrame) -> DataFrame:
+    """``(key, link)`` of distinct relative links in a page that are not in ``known(link)``."""
+    found = F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="(/[^"#?]*)'), 1))
+    return pages.select(key, F.explode(found).alias("link")).join(known.select("link").distinct(), "link", "left_anti").select(key, "link")

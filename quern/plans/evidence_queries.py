@@ -286,7 +286,7 @@ def w18(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "place")
 
 
-@query("s03_s51_short_ids", "select doc_id, 'ab2-' || substr(sha256(doc_id::varchar), 1, 20) as public_id, 'ab2l-' || substr(sha256(source), 1, 20) as lineage, source || ':' || doc_id as entry_key from documents")
+@query("s03_s21_s51_short_ids", "select doc_id, 'ab2-' || substr(sha256(doc_id::varchar), 1, 20) as public_id, 'ab2l-' || substr(sha256(source), 1, 20) as lineage, source || ':' || doc_id as entry_key from documents")
 def s03(spark, sf):
     return table(spark, sf, "documents").select("doc_id", hashing.short_id("doc_id", "ab2-", 20).alias("public_id"), hashing.short_id("source", "ab2l-", 20).alias("lineage"), F.concat_ws(":", "source", "doc_id").alias("entry_key"))
 

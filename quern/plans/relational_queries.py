@@ -406,7 +406,7 @@ def _members(spark, sf):
     return o.select("id", path.alias("path"))
 
 
-@query("p07_p10_classified", f"""with {MEMBERS}, s as (select id, id % 8 as k, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.(mp3|wav|csv)$', '') as stem from m)
+@query("p07_p08_p09_p10_classified", f"""with {MEMBERS}, s as (select id, id % 8 as k, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.(mp3|wav|csv)$', '') as stem from m)
 select id, case k when 0 then 'human' when 1 then 'human' when 7 then 'meta' else 'ai' end as kind,
   case k when 0 then 'human_jamendo' when 1 then 'human_fma_ood' when 2 then 'suno' when 3 then 'magnet' when 4 then 'suno__aac' when 5 then 'magnet__pgd' when 6 then 'co_created' end as "group",
   case k when 0 then 'clean' when 1 then 'clean' when 2 then 'clean' when 3 then 'clean' when 4 then 'aac' when 5 then 'pgd' when 6 then 'co_created' end as variant,

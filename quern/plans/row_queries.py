@@ -179,7 +179,7 @@ def v04(spark, sf):
     return rounded(rows.select("doc_id", "prob", "stage"))
 
 
-@query("v16_v17_isolated_rows", f"""select s_suppkey, ('0x' || substr(sha256('260905:' || s_suppkey), 1, 8))::ubigint::bigint as seed, case when s_suppkey % 25 not in (3, 4) then 0.5::double end as prob,
+@query("v16_v17_v18_v23_isolated_rows", f"""select s_suppkey, ('0x' || substr(sha256('260905:' || s_suppkey), 1, 8))::ubigint::bigint as seed, case when s_suppkey % 25 not in (3, 4) then 0.5::double end as prob,
   case when s_suppkey % 25 = 4 then 'input_execution_error' when s_suppkey % 25 = 3 then 'model_execution_error' else 'scored' end as outcome,
   case when s_suppkey % 25 = 3 then 'TimeoutExpired' when s_suppkey % 25 = 4 then 'OSError' end as error_type from supplier""")
 def v16(spark, sf):

@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 
 from ..functions import hashing, signals, texts
 from ..operators import bootstrap, constraints, graph, joins, metrics, projections, scoring, selection
-from ..sources import records
+from ..operators.releases import validated
+from ..operators.summaries import broken_links, distinct_total, split_report
+from ..sources import records, sinks
 from ..storage import shared_dir
 from ..streaming import ledger
 from . import runs
@@ -219,3 +221,52 @@ def z07(spark, sf):
     both = scored.withColumn("part", F.lit("primary")).unionByName(scored.where("toxic = 0").withColumn("part", F.lit("strict")))
     g = both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob") >= 0.5).alias("k"))
     return g.select("part", texts.table_row(F.col("part"), F.col("n").cast("string"), texts.percent_text(F.col("k"), F.col("n"))).alias("line"))
+
+
+@query("g08_needed_ancestors", """with recursive r(node) as (select o_orderkey from orders where o_orderkey % 1000 = 7 union select node // 2 from r where node > 0) select node from r""")
+def g08(spark, sf):
+    orders = table(spark, sf, "orders")
+    nodes = spark.range(orders.agg(F.max("o_orderkey")).first()[0] + 1).where("id > 0")
+    links = nodes.select(F.floor(F.col("id") / 2).alias("a"), F.col("id").alias("b"))
+    return graph.ancestors(links, orders.where("o_orderkey % 1000 = 7").select(F.col("o_orderkey").alias("node")))
+
+
+@query("v22_counted_once", "select l_suppkey, count(*) as n, sum(m)::bigint as total from (select l_suppkey, l_partkey, max(l_linenumber) as m from lineitem group by all) group by l_suppkey")
+def v22(spark, sf):
+    return distinct_total(table(spark, sf, "lineitem"), ["l_suppkey"], "l_partkey", "l_linenumber")
+
+
+@query("v27_validated_files", "select doc_id, case when doc_id % 3 = 0 and lang <> 'fr' then false else n_chars >= 100 end as ok, doc_id % 3 = 0 and lang <> 'fr' as reused from documents")
+def v27(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", hashing.sha256_hex("text").alias("d"))
+    cached = docs.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("lang") == "fr", "old").otherwise(F.col("d")).alias("d"), F.lit(False).alias("ok"))
+    return validated(docs, cached, "doc_id", "d", F.col("n_chars") >= 100)
+
+
+@query("o33_broken_links", r"""with l as (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"#?]*)', 1))) as link from pages) select page_id, link from l where length(link) % 2 = 1""")
+def o33(spark, sf):
+    pages = table(spark, sf, "pages")
+    every = pages.select(F.explode(F.regexp_extract_all("html", F.lit(r'href="(/[^"#?]*)'), 1)).alias("link"))
+    return broken_links(pages, "page_id", "html", every.where(F.length("link") % 2 == 0))
+
+
+@query("o25_primary_and_strict", f"""with {C}, s as (select 'primary' as part, * from cohort where prob is not null union all select 'strict', * from cohort where prob is not null and stage is null and n_chars >= 500),
+a as (select part, label, lang, count(*) as n, count(*) filter (case when label = 1 then prob < 0.5 else prob >= 0.5 end) as k from s group by part, label, lang) select part, label, lang, n, k, round(k / n::double, 9) as rate from a""")
+def o25(spark, sf):
+    scored = cohort(spark, sf).where("prob is not null").withColumn("seen", F.col("toxic") == 1)
+    parts = {"primary": scored, "strict": scored.where("n_chars >= 500")}
+    out = None
+    for name, rows in parts.items():
+        one = split_report(rows, "seen", ("lang", "source"), F.col("prob") >= 0.5, F.col("label") == 1).where("split = 'all' and dim_a <> '*' and dim_b = '*'")
+        one = one.select(F.lit(name).alias("part"), "label", F.col("dim_a").alias("lang"), "n", "k", "rate")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query("k03_text_lines", "select n_nationkey::bigint as at, n_name as line from nation")
+def k03(spark, sf):
+    path = f"{shared_dir(spark)}/quern-lines-{uuid.uuid4().hex}"
+    lines = table(spark, sf, "nation").select(F.col("n_nationkey").alias("at"), F.col("n_name").alias("line"))
+    sinks.write_text(lines, path, "at")
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.posexplode(F.split(F.regexp_replace("value", "\\s+$", ""), "\\s*\n")).alias("at", "line")).select(F.col("at").cast("long").alias("at"), "line")

@@ -226,16 +226,16 @@ def k18(spark, sf):
     return found.select("digest", F.col("bound_path").alias("first"), "copies")
 
 
-@query("c20_s23_s27_tar_members", "select 'd' || n_regionkey || '/' || n_name || '.txt' as path, length(n_name)::bigint as size, 'file' as type from nation")
+@query("c20_s23_s24_s26_s27_tar_members", "select 'd' || n_regionkey || '/é' || repeat('x', 120) || n_name || '.txt' as path, length(n_name)::bigint as size, 'file' as type from nation")
 def c20(spark, sf):
     import io
     import tarfile
 
     path = _path(spark, "shard") + ".tar"
     out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w") as tar:
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
         for region, name in table(spark, sf, "nation").select("n_regionkey", "n_name").collect():
-            info = tarfile.TarInfo(f"d{region}/{name}.txt")
+            info = tarfile.TarInfo(f"d{region}/é{'x' * 120}{name}.txt")  # too long and wide for a plain header
             info.size = len(name)
             tar.addfile(info, io.BytesIO(name.encode()))
     _put(spark, path, out.getvalue())
