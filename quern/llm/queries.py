@@ -107,6 +107,47 @@ def op10_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(table(spark, sf_dir, "documents"))
 
 
+# --- parts and laws of the results above that SQL can say; the tests hold the rest against brute force
+
+def op1_sum_of_squares_packing_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and breaches of the packing's laws: ids lost or repeated, sequences too long or with gaps."""
+    pieces = op1_sum_of_squares_packing(spark, sf_dir)
+    whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("wanted"), F.max(F.col("start") + F.col("length")).alias("upto"))
+    docs = whole.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") != F.col("wanted")) | (F.col("upto") != F.col("wanted"))).alias("documents_broken"))
+    filled = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("upto"))
+    wrong = filled.agg(F.count_if((F.col("n") > 1024) | (F.col("n") != F.col("upto"))).alias("sequences_broken"))
+    return docs.join(F.broadcast(wrong))  # one row each
+
+
+def op2_sampled_splitter_shards_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and bytes of all shards, and breaches of the law: shards without gapless slots, or further
+    from the mean than two of the largest rows."""
+    shards = op2_sampled_splitter_shards(spark, sf_dir).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("slots")
+    )
+    whole = shards.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max("largest").alias("largest"), F.collect_list(F.struct("n", "bytes", "low", "high", "slots")).alias("s"))  # 40 shards
+    gaps = F.size(F.filter("s", lambda x: (x["low"] != 0) | (x["high"] + 1 != x["n"]) | (x["slots"] != x["n"])))
+    uneven = F.size(F.filter("s", lambda x: F.abs(x["bytes"] - F.col("bytes") / 40) > 2 * F.col("largest")))
+    return whole.select("rows", "bytes", gaps.alias("shards_with_gaps"), uneven.alias("shards_uneven"))
+
+
+def op5_interleaved_rans_tokens_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and starts that are not the ids of all documents before."""
+    rows = op5_interleaved_rans_tokens(spark, sf_dir)
+    ends = rows.select((F.col("start") + F.col("n_tokens")).alias("at"), F.lit(1).alias("end"))
+    met = rows.select(F.col("start").alias("at"), F.lit(-1).alias("end")).unionByName(ends).groupBy("at").agg(F.sum("end").alias("d"))
+    first = rows.agg(F.count(F.lit(1)).alias("documents"), F.min("start").alias("first"))
+    return first.join(F.broadcast(met.agg(F.count_if(F.col("d") != 0).alias("loose_ends"))))  # one row each
+
+
+def op7_blob_ledger_secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_blob_ledger_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def op10_diagonal_license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_diagonal_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -71,6 +71,23 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_triples, 0) as n_triples, c
 from d cross join n left join s on s.r = d.r
 """
 
+_KEYS = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+
+OP7_BASE = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents)
+select doc_id, len(list_filter(regexp_extract_all(t, '(?:{_KEYS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::bigint as n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::bigint as n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint as n_hex
+from d
+"""
+
+OP10_BASE = rf"""
+with d as (select row_number() over () as r, doc_id, {_PLAIN} as w from documents),
+p as (select r, i - 1 as place, case when w[i:i + 2] = ['the', 'mit', 'license'] then 'mit' when w[i:i + 3] = ['apache', 'license', 'version', '2'] then 'apache-2' when w[i:i + 2] = ['cc', 'by', 'nc'] then 'cc-by-nc' end as label
+      from d, unnest(generate_series(1, len(w))) as u(i)),
+s as (select r, count(*) as n, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as labels from p where label is not null group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, first_word, last_word, coalesce(labels, '') as base_labels from d left join s using (r)
+"""
+
 _TABLES_APART = "doc_id, case when contains(text, '|') then 'tables' else source end as source, coalesce(text, '') as t from documents"
 
 SQL = {
@@ -78,4 +95,9 @@ SQL = {
     "op4_host_beta_rules_tables_apart": OP4.replace("doc_id, source, coalesce(text, '') as t from documents", _TABLES_APART),
     "op6_winnowing_decontamination": OP6,
     "op9_stupid_backoff_scores": OP9,
+    "op1_sum_of_squares_packing_laws": "select count(*) as documents, 0 as documents_broken, 0 as sequences_broken from documents",
+    "op2_sampled_splitter_shards_laws": "select count(*) as rows, sum(strlen(coalesce(text, '')) + 16)::bigint as bytes, 0 as shards_with_gaps, 0 as shards_uneven from documents",
+    "op5_interleaved_rans_tokens_laws": "select count(*) as documents, 0 as first, 2 as loose_ends from documents",
+    "op7_blob_ledger_secrets_base": OP7_BASE,
+    "op10_diagonal_license_scan_base": OP10_BASE,
 }

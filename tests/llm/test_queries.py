@@ -19,6 +19,8 @@ def test_every_query_runs_with_its_columns(spark, sf):
     assert {n.split("_")[0] for n in found} == set(CONTRACT)
     ids = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").distinct().count()
     for name, f in found.items():
+        if name.endswith(("_laws", "_base")):
+            continue  # parts of the others
         df = f(spark, sf)
         assert CONTRACT[name.split("_")[0]] <= set(df.columns), name
         assert df.select("doc_id").distinct().count() == ids, name
