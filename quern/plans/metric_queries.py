@@ -291,7 +291,8 @@ def _boot_rows(spark, sf):
 
 
 #: Draws of the stratified cluster bootstrap by hash, as SQL: tables ``test`` and ``weights``.
-DRAWS = f"""{C}, test as (select *, label || '|' || source as cell from cohort where split = 'test'), pc as (select distinct cluster, cell from test),
+def _draws_sql(cluster: str, cell: str, some: str = "true") -> str:
+    return f"""{C}, test as (select * replace ({cluster} as cluster), {cell} as cell from cohort where split = 'test' and {some}), pc as (select distinct cluster, cell from test),
 ce as (select distinct a.cell as a, b.cell as b from pc a join pc b on a.cluster = b.cluster), cr(node, root) as (select a, a from ce union select e.b, r.root from cr r join ce e on r.node = e.a),
 st as (select node as cell, min(root) as stratum from cr group by node), cs as (select distinct cluster, stratum from pc join st using (cell)),
 pl as (select *, row_number() over (partition by stratum order by substr(sha256(cluster), 1, 3), cluster) - 1 as place, count(*) over (partition by stratum) as n from cs),
@@ -299,6 +300,9 @@ dr as (select replicate, stratum, floor((('0x' || substr(sha256('260905:' || rep
 weights as (select replicate::int as replicate, cluster, count(*)::int as w from dr join pl using (stratum, place) group by replicate, cluster)"""
 
 
+DRAWS = _draws_sql("cluster", "label || '|' || source")
+
+
 def _drawn(spark, sf):
     return bootstrap.bootstrap_weights(_boot_rows(spark, sf), hashed=True)
 
@@ -367,9 +371,20 @@ def m20(spark, sf):
     return rounded(bootstrap.summarize_values(rows.withColumn("value", F.col("prob")), _drawn(spark, sf), bootstrap.REPLICATES))
 
 
-@query("m19_lineage_bootstrap")
+@query("m19_lineage_bootstrap", f"""with recursive {_draws_sql("cluster || '|' || label", 'label::varchar', 'prob is not null')},
+s as (select replicate, sum(w * (label = 1 and prob >= 0.5)::int) as tp, sum(w * (label = 1)::int) as p, sum(w * (label = 0 and prob >= 0.5)::int) as fp, sum(w * (label = 0)::int) as n from test join weights using (cluster) group by replicate),
+v as (select tp / nullif(p, 0)::double as tpr, fp / nullif(n, 0)::double as fpr, coalesce(2 * tp / nullif(tp + fp + p, 0)::double, 0) as f1 from s),
+l as (select unnest(['tpr', 'fpr', 'f1', 'balanced_accuracy']) as metric, unnest([tpr, fpr, f1, (tpr + 1 - fpr) / 2]) as value from v)
+select metric, round(quantile_cont(value, 0.025), 9) as lower, round(quantile_cont(value, 0.975), 9) as upper from l group by metric""")
 def m19(spark, sf):
-    pdf = cohort(spark, sf).where("split = 'test' and prob is not null").select("track_id", F.concat_ws("|", "cluster", "label").alias("lineage"), "label", "prob").toPandas().sort_values("track_id")
+    rows = cohort(spark, sf).where("split = 'test' and prob is not null").select(F.concat_ws("|", "cluster", "label").alias("lineage"), "label", "prob")
+    return rounded(bootstrap.lineage_intervals(rows, bootstrap.bootstrap_weights(rows, cluster="lineage", cell="label", hashed=True), 0.5))
+
+
+@query("m19_lineage_bootstrap_numpy")
+def m19_numpy(spark, sf):
+    rows = cohort(spark, sf).where("split = 'test' and prob is not null").select("track_id", F.concat_ws("|", "cluster", "label").alias("lineage"), "label", "prob")
+    pdf = bootstrap.lineage_totals(rows, 0.5, "track_id").toPandas().sort_values("first")
     drawn = bootstrap.lineage_bootstrap(pdf, 0.5)
     rows = [(name, *map(float, np.nanquantile(v, [0.025, 0.975]))) for name, v in drawn.items()]
     return spark.createDataFrame(rows, "metric string, lower double, upper double")
