@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._hashes import MIX, mix, parcels
 from ._store import columns_or_null, frequent, join_spread, prepare, stage
 
 ORDER = 3
@@ -35,18 +36,10 @@ BACKOFF = 0.4
 #: Bytes of text that are exploded together.
 TEXT_BYTES = 4_000_000
 _SEED = 42
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser, an invertible scrambling of 64 bits."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
 
 
 def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(mix(first + _MIX[0]) + second)
+    return mix(mix(first + MIX[0]) + second)
 
 
 class Places:
@@ -84,20 +77,11 @@ class Places:
         return out
 
 
-def _parcels(texts: list[bytes]) -> Iterator[slice]:
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= TEXT_BYTES or i == len(texts) - 1:
-            yield slice(begin, i + 1)
-            begin, size = i + 1, 0
-
-
 def _count_task(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     """``(k, h, m, docs)``: n-grams of some texts, their places and the texts that have them."""
     for b in batches:
         texts = [t or b"" for t in b.column("text").to_pylist()]
-        for part in _parcels(texts):
+        for part in parcels(texts, TEXT_BYTES):
             places = Places(texts[part], order)
             for k in range(1, order + 1):
                 own, first, n = places.runs(k)
@@ -133,7 +117,7 @@ def _explode_task(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[pa.
     base, done = TaskContext.get().partitionId() << 33, 0
     for b in batches:
         ids, texts = b.column("doc_id"), [t or b"" for t in b.column("text").to_pylist()]
-        for part in _parcels(texts):
+        for part in parcels(texts, TEXT_BYTES):
             places = Places(texts[part], order)
             row = base + done + np.arange(part.stop - part.start)
             done += len(row)
@@ -159,7 +143,7 @@ def _explode_task(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[pa.
                 back = np.maximum(at - prefix, 0)
                 there = places.there[k + prefix][at]
                 # What is not there gets a name of its own, which no table has and no task gathers.
-                odd = mix(all_rows.astype(np.uint64) * _MIX[0] + np.arange(n, dtype=np.uint64) * np.uint64(64) + np.uint64(i))
+                odd = mix(all_rows.astype(np.uint64) * MIX[0] + np.arange(n, dtype=np.uint64) * np.uint64(64) + np.uint64(i))
                 odd[: len(at)][there] = places.hashes[k][back][there]
                 arrays += [pa.array(odd.view(np.int64)), pa.array(np.r_[np.where(there, own[k][back], 0), np.zeros(len(none))].astype(np.int32))]
                 names += [name, f"o{name}"]

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components, local_components
+from ._hashes import MIX, mix, parcels
 from ._store import columns_or_null, discard, frequent, join_spread, prepare, shuffle_partitions, stage
 
 FINGERPRINT_BITS = 64
@@ -266,16 +267,6 @@ def _prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - _ROUNDING) + 1 if n else 0
 
 
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser, an invertible scrambling of 64 bits."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
 def text_grams(texts: list[bytes], shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
     """``(text, gram)`` of every shingle of several texts, by text; repeats included.
 
@@ -290,7 +281,7 @@ def text_grams(texts: list[bytes], shingle_words: int) -> tuple[np.ndarray, np.n
     single = hashes[np.fromiter(itertools.chain.from_iterable(words), dtype=np.int64, count=len(text))]
     grams = single[: max(len(single) - shingle_words + 1, 0)]
     for j in range(1, shingle_words):
-        grams = _mixed(grams * _MIX[0] + single[j : j + len(grams)])
+        grams = mix(grams * MIX[0] + single[j : j + len(grams)])
     whole = text[: len(grams)] == text[len(text) - len(grams) :]
     grams, text = grams[whole], text[: len(grams)][whole]
     short = np.flatnonzero((sizes > 0) & (sizes < shingle_words))
@@ -308,21 +299,11 @@ def _parity_bitmaps(text: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> l
     a bit tells whether an odd number of the distinct shingles fall on it."""
     width = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / 64))).astype(np.int64)
     starts = np.cumsum(width) - width
-    at = starts[text] + (_mixed(grams ^ _MIX[0]) & (width[text] - 1).astype(np.uint64)).astype(np.int64)
+    at = starts[text] + (mix(grams ^ MIX[0]) & (width[text] - 1).astype(np.uint64)).astype(np.int64)
     packed = np.packbits(np.bincount(at, minlength=int(width.sum())) & 1, bitorder="little").tobytes()
     return [packed[a // 8 : (a + w) // 8] for a, w in zip(starts.tolist(), width.tolist())]
 
 
-def _parcels(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about TEXT_BYTES, each with its first place."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= TEXT_BYTES or i == len(texts) - 1:
-            yield begin, texts[begin : i + 1]
-            begin, size = i + 1, 0
-
-
 def _folds(text: np.ndarray, grams: np.ndarray, texts: int) -> np.ndarray:
     """SimHash of each text from all its grams, which stand by text."""
     counts, step = np.zeros((texts, FINGERPRINT_BITS), dtype=np.int64), 1 << 16
@@ -337,8 +318,9 @@ def _folds(text: np.ndarray, grams: np.ndarray, texts: int) -> np.ndarray:
 
 def _hot_task(batches: Iterable[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, texts in _parcels([t or b"" for t in batch.column("text").to_pylist()]):
-            text, grams = text_grams(texts, shingle_words)
+        texts = [t or b"" for t in batch.column("text").to_pylist()]
+        for part in parcels(texts, TEXT_BYTES):
+            text, grams = text_grams(texts[part], shingle_words)
             order = np.lexsort((grams, text))
             text, grams = text[order], grams[order]
             once = np.r_[True, (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])][: len(grams)]
@@ -356,7 +338,9 @@ def _hot_grams(rows: DataFrame, shingle_words: int) -> np.ndarray:
 
 def _set_task(batches: Iterable[pa.RecordBatch], shingle_words: int, similarity: float, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin, texts in _parcels([t or b"" for t in batch.column("text").to_pylist()]):
+        every = [t or b"" for t in batch.column("text").to_pylist()]
+        for rows in parcels(every, TEXT_BYTES):
+            texts = every[rows]
             text, grams = text_grams(texts, shingle_words)
             prints = _folds(text, grams, len(texts))
             common = np.zeros(len(grams), dtype=bool)
@@ -369,13 +353,12 @@ def _set_task(batches: Iterable[pa.RecordBatch], shingle_words: int, similarity:
             sizes = np.bincount(text, minlength=len(texts))
             starts = np.cumsum(sizes) - sizes
             nodes = np.zeros(len(texts), dtype=np.uint64)
-            np.add.at(nodes, text, _mixed(grams + _MIX[0]))  # a sum does not depend on the order
-            nodes = _mixed(nodes + sizes.astype(np.uint64))
+            np.add.at(nodes, text, mix(grams + MIX[0]))  # a sum does not depend on the order
+            nodes = mix(nodes + sizes.astype(np.uint64))
             first = np.array([_prefix_length(n, similarity) for n in sizes.tolist()], dtype=np.int64)
             inside = np.arange(len(grams)) - starts[text] < first[text]
             bits = _parity_bitmaps(text, grams, sizes)
             prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first)], pa.int32()), pa.array(grams[inside].view(np.int64)))
-            rows = slice(begin, begin + len(texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")[rows], batch.column("b")[rows], pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), prefix],
                 names=["doc_id", "b", "node", "fp", "n", "bits", "prefix"],
