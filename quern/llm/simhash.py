@@ -439,18 +439,34 @@ def _cross_task(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterato
 
 
 def _check_task(batches: Iterable[pa.RecordBatch], shingle_words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of the pairs that are similar a forest: a pair whose texts earlier ones connect is not looked at."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = up[above]
+            x = up[x]
+        return x
+
     def grams(text: bytes | None) -> np.ndarray:
         return np.unique(text_grams([text or b""], shingle_words)[1])
 
+    hub, held = None, None
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        good, hub, held = [], None, None
-        for x, first, second in zip(a, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-            if x != hub:
-                hub, held = x, grams(first)
-            other = grams(second)
-            both = len(np.intersect1d(held, other, assume_unique=True))
-            good.append(both >= similarity * (len(held) + len(other) - both) - _ROUNDING)
+        good = []
+        columns = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
+        for a, b, first, second in zip(*columns):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                if a != hub:
+                    hub, held = a, grams(first)
+                other = grams(second)
+                both = len(np.intersect1d(held, other, assume_unique=True))
+                if both >= similarity * (len(held) + len(other) - both) - _ROUNDING:
+                    up[rb] = ra
+                    good.append(True)
+                    continue
+            good.append(False)
         keep = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -504,7 +520,10 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
         return known.join(hubs, "root").where("a <> node").select("a", F.col("node").alias("b"))
 
     def by_star(found: DataFrame, salt: int) -> DataFrame:
-        hub = F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node", "n", "at", "root")).alias("hub")
+        # First the text with the fewest rare shingles before the common one, which edited copies have
+        # more of; then any.
+        first = [F.col("at").alias("first")] if salt == 0 else []
+        hub = F.min(F.struct(*first, F.xxhash64(F.lit(salt), "node").alias("h"), "node", "n", "at", "root")).alias("hub")
         both = found.join(found.groupBy("gram").agg(hub), "gram").where(F.col("root") != F.col("hub.root"))
         both = both.where(_possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), similarity, F.least))
         votes = both.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))

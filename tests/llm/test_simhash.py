@@ -217,3 +217,14 @@ def test_texts_that_share_a_passage_make_no_pairs(docs, monkeypatch):
     batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*rows_of)), pa.array([bits[r[1]] for r in rows_of], pa.binary())], names=["key", "node", "n", "at", "root", "bits"])
     list(noted([batch], 0.8))
     assert sum(made) == 0 and s.keep_one_each(docs(rows)).count() == 150
+
+
+def test_checked_pairs_come_back_as_a_forest():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(60)) + f" end{k}" for k in range(30)] + ["something else altogether " * 20]
+    pairs = [(i, j, texts[i].encode(), texts[j].encode()) for i in range(31) for j in range(i + 1, 31)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["a", "b", "text_a", "text_b"]) for part in (pairs[:200], pairs[200:])]
+    found = [(r["a"], r["b"]) for out in s._check_task(batches, 5, 0.8) for r in out.to_pylist()]
+    labels = local_components(31, *(np.array(x) for x in zip(*found)))
+    assert len(found) == 29 and set(labels[:30]) == {0} and labels[30] == 30
