@@ -6,6 +6,7 @@ import multiprocessing
 import random
 import time
 from collections.abc import Callable, Iterator
+from multiprocessing import connection
 from typing import Protocol
 
 import numpy as np
@@ -144,36 +145,89 @@ def _one_record(pipe, make: Callable[[], Scorer], row: pd.DataFrame, seed: int)
         pipe.close()
 
 
-def run_isolated(make: Callable[[], Scorer], row: pd.DataFrame, seed: int, seconds: float) -> tuple:
-    """``(prob, outcome, error_type, error)`` of one record in a process of its own. A worker beyond
-    the wall-clock limit is ended and gives a failure, as does one that dies."""
-    here, there = multiprocessing.get_context("fork").Pipe(duplex=False)
-    worker = multiprocessing.get_context("fork").Process(target=_one_record, args=(there, make, row, seed), daemon=True)
-    worker.start()
-    there.close()
+#: Processes that a task has at once: waiting for the time limit takes no processor.
+ISOLATED_AT_ONCE = 32
+#: Seconds after which a worker that has not answered is looked at again.
+_LOOK = 0.05
+
+
+class _Worker:
+    """One record in a process of its own, with a wall-clock limit."""
+
+    def __init__(self, make: Callable[[], Scorer], row: pd.DataFrame, seed: int, seconds: float):
+        self.seconds = seconds
+        fork = multiprocessing.get_context("fork")
+        self.pipe, there = fork.Pipe(duplex=False)
+        self.process = fork.Process(target=_one_record, args=(there, make, row, seed), daemon=True)
+        self.process.start()
+        there.close()
+        self.until, self.ticks = time.monotonic() + seconds, 0
+
+    def computing(self) -> bool:
+        """Whether it uses, or wants, a processor since the last look; where that cannot be seen it is taken to."""
+        try:
+            with open(f"/proc/{self.process.pid}/stat") as f:
+                state, *fields = f.read().rpartition(")")[2].split()
+        except OSError:
+            return True
+        before, self.ticks = self.ticks, int(fields[10]) + int(fields[11])
+        return state in "RD" or self.ticks - before > 2
+
+    def result(self) -> tuple:
+        """To be asked for when the pipe is ready or the time is over; ends the process."""
+        try:
+            if not self.pipe.poll(0):
+                return None, "model_execution_error", "TimeoutExpired", timeout_error(self.seconds)
+            return self.pipe.recv()
+        except EOFError:
+            return None, "model_execution_error", "WorkerDied", "the worker ended without a result"
+        finally:
+            self.end()
+
+    def end(self) -> None:
+        if self.process.is_alive():
+            self.process.kill()
+        self.process.join()
+        self.process.close()
+        self.pipe.close()
+
+
+def _all_isolated(make: Callable[[], Scorer], rows: list[tuple[pd.DataFrame, int]], seconds: float, at_once: int) -> list[tuple]:
+    """Results in the order of ``rows``. A worker that answers within ``_LOOK`` seconds or computes runs
+    alone, so that none loses its time to others; beside those that only wait others start, and their time
+    limits run out together."""
+    out: list[tuple | None] = [None] * len(rows)
+    running: dict[int, _Worker] = {}
+    begun = 0
     try:
-        if not here.poll(seconds):
-            return None, "model_execution_error", "TimeoutExpired", timeout_error(seconds)
-        return here.recv()
-    except EOFError:
-        return None, "model_execution_error", "WorkerDied", "the worker ended without a result"
+        while begun < len(rows) or running:
+            room = begun < len(rows) and len(running) < at_once
+            if room and not any([w.computing() for w in running.values()]):
+                running[begun] = _Worker(make, *rows[begun], seconds)
+                begun += 1
+            left = max(0, min(w.until for w in running.values()) - time.monotonic())
+            ready = connection.wait([w.pipe for w in running.values()], min(left, _LOOK) if room else left)
+            for i in [i for i, w in running.items() if w.pipe in ready or w.until <= time.monotonic()]:
+                out[i] = running.pop(i).result()
     finally:
-        if worker.is_alive():
-            worker.kill()
-        worker.join()
-        here.close()
+        for w in running.values():
+            w.end()
+    return out
 
 
-def score_isolated(rows: DataFrame, scorer: str, key: str, seconds: float, key_type: str = "long", **options) -> DataFrame:
+def score_isolated(rows: DataFrame, scorer: str, key: str, seconds: float, key_type: str = "long", at_once: int = ISOLATED_AT_ONCE, **options) -> DataFrame:
     """``(key, seed, prob, outcome, error_type, error)`` of every row, each in a fresh process with
-    its own seed and a wall-clock limit; no row's failure costs another."""
-    importable(rows.sparkSession)
+    its own seed and a wall-clock limit; no row's failure costs another. A task has up to ``at_once``
+    processes; scorers that take much memory need fewer. Rows take long and are small, so they are
+    dealt out to all cores first: a small table is often one file."""
+    spark = importable(rows.sparkSession)
     factory = REGISTRY[scorer]
-    named = rows.withColumn("_seed", entry_seed(F.col(key)))
+    named = rows.withColumn("_seed", entry_seed(F.col(key))).repartition(4 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [run_isolated(lambda: factory(**options), batch.iloc[i : i + 1].drop(columns="_seed"), int(batch["_seed"].iloc[i]), seconds) for i in range(len(batch))]
+            bare = batch.drop(columns="_seed")
+            out = _all_isolated(lambda: factory(**options), [(bare.iloc[i : i + 1], int(batch["_seed"].iloc[i])) for i in range(len(batch))], seconds, at_once)
             made = pd.DataFrame(out, columns=["prob", "outcome", "error_type", "error"])
             yield pd.concat([batch[[key]].reset_index(drop=True), batch[["_seed"]].rename(columns={"_seed": "seed"}).reset_index(drop=True), made], axis=1)
 

@@ -136,3 +136,36 @@ def test_digest_of_a_large_file(spark):
     assert whole >= 1 << 63 and r["n"] == 70_000 and r["digest"] == (whole + (1 << 63)) % (1 << 64) - (1 << 63)
     assert releases.file_digests(rows.where("id < 100"), "file", ["id"]).first()["digest"] == small
     assert dict(releases.file_digests(rows, "file", ["id"]).dtypes)["digest"] == "bigint"
+
+
+def test_time_limits_run_out_together(spark):
+    """One after the other these rows would take 40 seconds in one task."""
+    import time
+
+    import pandas as pd
+
+    rows = [(pd.DataFrame({"id": [i], "k": [3 if i % 2 else 4 * (i % 4 == 0)]}), i) for i in range(80)]
+    began = time.monotonic()
+    found = scoring._all_isolated(scoring.REGISTRY["slow_or_broken"], rows, 1.0, 32)
+    assert time.monotonic() - began < 20
+    kinds = [r[2] for r in found]
+    assert kinds == ["TimeoutExpired" if i % 2 else "OSError" if i % 4 == 0 else None for i in range(80)]
+    assert all(r[0] == 0.5 for r in found if r[2] is None)
+
+    class Computes(scoring.SlowOrBrokenScorer):
+        def score(self, batch):
+            until = time.process_time() + 0.4
+            while time.process_time() < until:
+                pass
+            return [0.5]
+
+    # Side by side on one processor these would be over their limit.
+    import os
+    cores = os.sched_getaffinity(0)
+    try:
+        os.sched_setaffinity(0, {min(cores)})
+        assert [r[1] for r in scoring._all_isolated(Computes, [rows[1]] * 8, 2.0, 32)] == ["scored"] * 8
+    finally:
+        os.sched_setaffinity(0, cores)
+    df = spark.createDataFrame([(i, 0) for i in range(40)], "id long, k long").coalesce(1)
+    assert scoring.score_isolated(df, "slow_or_broken", "id", 5.0).where("prob = 0.5").count() == 40
