@@ -359,3 +359,17 @@ def test_listing_and_sinks(spark, tmp_path):
 def test_keyed_copies(spark):
     df = spark.createDataFrame([(1, True, False)], "id int, seen boolean, seen_m boolean")
     assert projections.keyed(df, ["seen"], "m").first()["seen_m"] is True
+
+
+def test_title_matches_shuffle_no_pairs(spark):
+    """Equal names match in pairs; only ids with several titles need their pairs made distinct."""
+    rows = spark.createDataFrame([("x", "a - b - c"), ("x", "a - b - c"), ("x", "a - b"), ("y", "a - b"), (None, "a - b")], "key string, name string")
+    ref = spark.createDataFrame([("A", "b", 1), ("a", "B", 1), ("a", "b - c", 2), ("a", "b", 2), ("a", "b", None), ("q", "b", 3)], "title string, artist string, id long")
+    found = catalogue.title_matches(rows, ref, "key", "name")
+    wanted = [(k, i) for k in ("x", "y", None) for i in (1, 2, None)]
+    assert sorted(map(repr, ((r["key"], r["id"]) for r in found.collect()))) == sorted(map(repr, wanted))
+    many = spark.range(300).select(F.col("id").alias("key"), F.lit("a - b").alias("name"))
+    plain = catalogue.title_matches(many, spark.range(300).select(F.lit("a").alias("title"), F.lit("b").alias("artist"), "id"), "key", "name")
+    # The one aggregate over joined pairs is that of ids with several titles.
+    plan = plain._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plain.count() == 90_000 and plan[0].startswith("Union") and sum(line.lstrip(" :+-").startswith("Aggregate [key") and "id" in line.split("]")[0] for line in plan) == 1
