@@ -90,3 +90,21 @@ def test_order_three_equals_brute_force(docs):
         assert len(found) == len(rows) and sum(r["n_triples"] for r in found) > 0
         for r in found:
             assert (r["n_triples"], r["n_pairs"], r["n_singles"], r["n_unseen"], r["score"]) == want[r["doc_id"]]
+
+
+def test_slices_and_rounds_change_nothing(docs, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 25) % 20)) for i in range(60)] + [(70, ""), (71, None), (71, "w1 w2")]
+    want = sorted(map(repr, lm.score_documents(docs(rows)).selectExpr("doc_id", "n_triples", "n_pairs", "round(score, 6) as score").collect()))
+    monkeypatch.setattr(lm, "PARCEL_BYTES", 500)
+    monkeypatch.setattr(lm, "SLICES", 2)
+    got = sorted(map(repr, lm.score_documents(docs(rows)).selectExpr("doc_id", "n_triples", "n_pairs", "round(score, 6) as score").collect()))
+    assert got == want and len(got) == len(rows)
+
+
+def test_hashes_of_ngrams_are_those_of_spark(spark):
+    words = np.array([1, 2**63 + 5, 3], dtype=np.uint64)
+    found = lm.Places(words, np.array([3]), 3).hashes
+    a, b, c = (int(x) for x in words.view(np.int64))
+    pair, triple = spark.sql(f"select xxhash64(bigint('{b}'), bigint('{c}')), xxhash64(bigint('{a}'), bigint('{b}'), bigint('{c}'))").first()
+    assert (pair, triple) == (int(found[2].view(np.int64)[2]), int(found[3].view(np.int64)[2]))
