@@ -108,3 +108,41 @@ def test_hashes_of_ngrams_are_those_of_spark(spark):
     a, b, c = (int(x) for x in words.view(np.int64))
     pair, triple = spark.sql(f"select xxhash64(bigint('{b}'), bigint('{c}')), xxhash64(bigint('{a}'), bigint('{b}'), bigint('{c}'))").first()
     assert (pair, triple) == (int(found[2].view(np.int64)[2]), int(found[3].view(np.int64)[2]))
+
+
+def test_places_are_named_by_first_places_and_own_counts():
+    words = np.array([7, 9, 7, 9, 7, 5, 7, 9], dtype=np.uint64)  # of texts of five, none and three words
+    places = lm.Places(words, np.array([5, 0, 3]), 2)
+    named = [[(x >> 32, x & 0xFFFFFFFF) if x >= 0 else None for x in lm._named(places, k).tolist()] for k in (1, 2)]
+    assert named[0] == [(0, 3), (1, 2), (0, 3), (1, 2), (0, 3), (5, 1), (0, 1), (1, 1)]
+    assert named[1] == [None, (1, 2), (2, 2), (1, 2), (2, 2), None, (6, 1), (1, 1)]
+
+
+def test_ngrams_that_agree_in_upper_bits_are_told_apart():
+    rng = np.random.default_rng(1)
+    for grams in (rng.integers(0, 9, 200), rng.integers(0, 2**63, 50)[rng.integers(0, 50, 300)], np.zeros(0)):
+        grams = grams.astype(np.uint64)
+        order, first = lm._together(grams)
+        runs = [grams[order[i:j]] for i, j in zip(first, [*first[1:], len(grams)])]
+        assert sorted(order.tolist()) == list(range(len(grams))) and len(runs) == len(set(grams.tolist()))
+        assert all(len(set(r.tolist())) == 1 for r in runs) and all((np.diff(order[i:j]) > 0).all() for i, j in zip(first, [*first[1:], len(grams)]))
+
+
+def test_words_of_all_lengths_have_hashes_of_their_own():
+    words = [b"x" * n for n in range(1, 200)] + [b"x" * 70 + b"y", b"a\0", b"a", b"\0", b"\0\0", b"abcdefgh", b"abcdefgh\0", "ñ".encode()]
+    hashes, sizes = lm._word_hashes([b"\t" + b" \n".join(words) + b" ", b"", b"  ", b" ".join(words).upper(), b"X\x0bx\x0c\xa0"])
+    n = len(words)
+    assert sizes.tolist() == [n, 0, 0, n, 3] and len(set(hashes[:n].tolist())) == n
+    assert hashes[:n].tolist() == hashes[n : 2 * n].tolist() and hashes[-3] == hashes[-2] == hashes[0]
+    assert lm._word_hashes([])[0].tolist() == [] and lm._word_hashes([b""])[1].tolist() == [0]
+
+
+def test_places_are_joined_by_keys_of_64_bits(docs, spark, monkeypatch):
+    plans = []
+    scored = lm._scored
+    monkeypatch.setattr(lm, "_scored", lambda *a: plans.append(scored(*a)) or plans[-1])
+    lm.score_documents(docs([(1, "a b c"), (2, "a b c")])).collect()
+    assert {dict(p.dtypes)["doc_id"] for p in plans} == {"bigint"}
+    text = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join LeftOuter" in line and "first" in line]
+    assert len(joins) == 3 and not any(" h#" in line for line in joins)
