@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from quern.llm import _tokens
 from quern.llm._tokens import TextEncoder, encoder
 from quern.llm.packing import SumOfSquares, pack_documents, padded_length, sequences
 
@@ -25,6 +26,15 @@ def test_cached_pieces_equal_the_library(text):
     assert np.frombuffer(encoder(PATH).encode(text), "<u4").tolist() == ids_of(text)
 
 
+def test_latin_texts_are_split_by_classes_spelt_out():
+    """Every character of Latin-1, in runs, between letters and before spaces; no such text takes the slower pattern."""
+    for a in map(chr, range(256)):
+        for text in (f"{a}{a}b {a}{a} ", f"x {a}é{a}1 {a}\n", f"'s{a}'ll {a}{a}\xa0{a}"):
+            assert _tokens._is_latin(text) and _tokens.LATIN_PIECES.findall(text) == _tokens.PIECES.findall(text)
+            assert np.frombuffer(encoder(PATH).encode(text), "<u4").tolist() == ids_of(text)
+    assert not _tokens._is_latin("aœ") and not _tokens._is_latin("日")
+
+
 def test_added_token_and_tiny_cache():
     enc = TextEncoder(PATH, limit=3)
     for text in ("x <|endoftext|> y", "a b c d e f g a b c", "", None):
