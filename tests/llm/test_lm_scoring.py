@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import lm_scoring as lm
@@ -146,3 +147,31 @@ def test_places_are_joined_by_keys_of_64_bits(docs, spark, monkeypatch):
     text = plans[0]._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in text.splitlines() if "Join LeftOuter" in line and "first" in line]
     assert len(joins) == 3 and not any(" h#" in line for line in joins)
+
+
+def test_a_parcel_without_long_ngrams():
+    """Texts of fewer words than the n-grams, or none, in a parcel or a slice of their own."""
+    for words, ends in (([], [0, 0]), ([5, 6], [0, 1, 2])):
+        texts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.int64()))
+        batch = pa.RecordBatch.from_arrays([pa.array([3] * len(texts), pa.int32()), texts], names=["slot", "words"])
+        for piece in range(2):
+            assert sum(b.num_rows for b in lm._count_task([batch], 3, piece, 2)) == 0
+
+
+def test_places_of_a_parcel_by_brute_force():
+    """First place and own count of every n-gram, and whether one text alone has it."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 3, 40, 1, 0, 60, 2])
+    words = rng.integers(0, 3, sizes.sum()).astype(np.uint64)
+    text = np.repeat(np.arange(len(sizes)), sizes).tolist()
+    ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array([9] * len(sizes), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(words.view(np.int64)))], names=["slot", "words"])
+    for k in (1, 2, 3):
+        grams = [tuple(words[i - k + 1 : i + 1].tolist()) if i >= k - 1 and text[i - k + 1] == text[i] else None for i in range(len(words))]
+        want = [-1 if g is None else (grams.index(g) << 32) | sum(h == g and t == text[i] for h, t in zip(grams, text)) for i, g in enumerate(grams)]
+        assert lm._named(lm.Places(words, sizes, k), k).tolist() == want
+        held = {g: [i for i, h in enumerate(grams) if h == g] for g in grams if g is not None}
+        alone = {at[0]: (len({text[i] for i in at}) == 1, len(at)) for at in held.values()}
+        found = [r for p in range(2) for b in lm._count_task([batch], k, p, 2) for r in b.to_pylist()]
+        assert {r["place"] & ((1 << 32) - 1): (r["place"] < 0, r["m"]) for r in found} == alone and len(found) == len(alone)
+        assert {(r["place"] & ((1 << 63) - 1)) >> 32 for r in found} == {9}
