@@ -373,3 +373,18 @@ def test_title_matches_shuffle_no_pairs(spark):
     # The one aggregate over joined pairs is that of ids with several titles.
     plan = plain._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert plain.count() == 90_000 and plan[0].startswith("Union") and sum(line.lstrip(" :+-").startswith("Aggregate [key") and "id" in line.split("]")[0] for line in plan) == 1
+
+
+def test_title_matches_are_stored_in_little_space(spark, tmp_path, monkeypatch):
+    """Pairs of equal names are written run by run, so files need much less than a number for each; runs change no pair."""
+    many = spark.range(1_500).select(F.xxhash64("id").alias("key"), F.lit("a - b").alias("name"))
+    ref = spark.range(1_500).select(F.lit("a").alias("title"), F.lit("b").alias("artist"), F.xxhash64(F.col("id") + 9).alias("id"))
+    catalogue.title_matches(many, ref, "key", "name").write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == 1_500**2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1_500**2 / 2
+    monkeypatch.setattr(catalogue, "RUN", 3)
+    monkeypatch.setattr(catalogue, "PIECE", 2)
+    rows = spark.createDataFrame([(k, n) for k in [*range(7), None] for n in ("a - b", "c - d")] + [(8, "e - f")], "key long, name string")
+    ref = spark.createDataFrame([("a", "b", i) for i in range(5)] + [("c", "d", None), ("g", "h", 9)], "title string, artist string, id long")
+    got = sorted(map(repr, map(tuple, catalogue.title_matches(rows, ref, "key", "name").collect())))
+    assert got == sorted(repr((k, i)) for k in [*range(7), None] for i in [*range(5), None])
