@@ -175,3 +175,27 @@ def test_places_of_a_parcel_by_brute_force():
         found = [r for p in range(2) for b in lm._count_task([batch], k, p, 2) for r in b.to_pylist()]
         assert {r["place"] & ((1 << 32) - 1): (r["place"] < 0, r["m"]) for r in found} == alone and len(found) == len(alone)
         assert {(r["place"] & ((1 << 63) - 1)) >> 32 for r in found} == {9}
+
+
+def test_runs_of_hashes_hold_the_rows_that_are_counted(docs, spark):
+    """Each task has a range of hashes, in order, and exploded runs are the n-grams of the parcel; no n-gram is a row of a shuffle."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([70_000, 0, 9, 30_000])
+    words = rng.integers(-(2**63), 2**63 - 1, 40_000)[rng.integers(0, 40_000, sizes.sum())]
+    ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array([2**31 - 1] * len(sizes), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(words))], names=["slot", "words"])
+    tasks = np.array([9, 4, 7], dtype=np.int32)
+    for k in (1, 2):
+        want = {(r["h"], r["place"], r["m"]) for b in lm._count_task([batch], k, 1, 2) for r in b.to_pylist()}
+        runs = [r for b in lm._run_task([batch], k, 1, 2, tasks) for r in b.to_pylist()]
+        got = [(h, (r["slot"] << 32 | f & (2**31 - 1)) - (2**63 if f < 0 else 0), m) for r in runs for h, f, m in zip(r["h"], r["first"], r["m"], strict=True)]
+        assert len(want) == len(got) > 1_000 and set(got) == want
+        of = {t: [h % 2**64 for r in runs if r["task"] == t for h in r["h"]] for t in tasks.tolist()}
+        assert max(of[9]) < min(of[4]) and max(of[4]) < min(of[7])
+    assert list(lm._run_task([batch.slice(1, 1)], 2, 0, 1, tasks)) == []
+    lm.prepare(spark)
+    hashed, slots, size = lm._hashed(docs([(1, "a b c"), (2, "a b c")]), "doc_id", "text")
+    for exploded in lm._exploded(hashed, lm._names(spark, slots), size, 2):
+        plan = exploded._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert [i for i, x in enumerate(plan) if "Generate posexplode" in x] < [i for i, x in enumerate(plan) if "Repartition" in x]
+        assert sorted(r["one"] & (lm._ONE - 1) for r in exploded.collect()) in ([1, 1, 1, 1], [2, 2])
