@@ -199,3 +199,36 @@ def test_runs_of_hashes_hold_the_rows_that_are_counted(docs, spark):
         plan = exploded._jdf.queryExecution().optimizedPlan().toString().splitlines()
         assert [i for i, x in enumerate(plan) if "Generate posexplode" in x] < [i for i, x in enumerate(plan) if "Repartition" in x]
         assert sorted(r["one"] & (lm._ONE - 1) for r in exploded.collect()) in ([1, 1, 1, 1], [2, 2])
+
+
+def test_hashes_of_words_are_read_from_lists_and_from_bytes():
+    texts = [[], [5, -6], [], [7], [2**63 - 1, 0, 1], []]
+    both = [pa.array(texts, pa.list_(pa.int64())), pa.array([np.array(t, dtype=np.int64).tobytes() for t in texts], pa.binary())]
+    for i, j in ((0, 6), (1, 5), (2, 3), (3, 5), (5, 6), (2, 2)):
+        for column in both:
+            words, sizes = lm._numbers(column.slice(i, j - i))
+            assert words.view(np.int64).tolist() == sum(texts[i:j], []) and sizes.tolist() == [len(t) for t in texts[i:j]]
+
+
+def test_counts_are_packed_by_parcels_and_joined_by_runs_of_places():
+    """Every count comes back at its first place, whatever tasks and files it went through; no n-gram is a row of a table."""
+    rng = np.random.default_rng(4)
+    place = np.concatenate([(s << 32) + rng.permutation(5_000)[:n] for s, n in ((3, 900), (2**31 - 1, 40), (0, 1))])
+    want = dict(zip(place.tolist(), rng.integers(2, 2**39, len(place)).tolist()))
+    shuffled, packed = rng.permutation(place), []
+    for part in (shuffled[:500], shuffled[500:], shuffled[:0]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array([want[p] for p in x.tolist()], pa.int64())], names=["place", "c"]) for x in (part[:7], part[7:])]
+        packed += list(lm._pack_task(batches))
+    assert list(lm._pack_task([])) == [] and sum(b.num_rows for b in packed) <= 6
+    rows = [r for b in lm._block_task(packed, 8) for r in b.to_pylist()]
+    assert all(len(r["c"]) == 8 and r["first"] % 8 == 0 and any(r["c"]) for r in rows) and len({(r["slot"], r["first"]) for r in rows}) == len(rows)
+    assert {(r["slot"] << 32) + r["first"] + i: c for r in rows for i, c in enumerate(r["c"]) if c} == want
+
+
+def test_documents_longer_than_a_run_of_places(docs, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.2, 300) % 200)) for i in range(12)]
+    want = sorted(map(repr, lm.score_documents(docs(rows)).selectExpr("doc_id", "n_triples", "n_pairs", "n_singles", "n_unseen", "round(score, 6)").collect()))
+    monkeypatch.setattr(lm, "_PLACES", 16)
+    got = sorted(map(repr, lm.score_documents(docs(rows)).selectExpr("doc_id", "n_triples", "n_pairs", "n_singles", "n_unseen", "round(score, 6)").collect()))
+    assert got == want and len(got) == 12
